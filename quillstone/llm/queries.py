@@ -1,14 +1,18 @@
 """The operators' queries over the whole tables, and DuckDB SQL where SQL can express them."""
 
-from quillstone.llm import exact_dedup, mixing, packing, sharding, simhash, token_files
+from quillstone.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality, sharding, simhash, token_files, vector_search
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
+    "op4_vector_search": vector_search.op4_vector_search,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op7_simhash": simhash.op7_simhash,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_token_files": token_files.op9_token_files,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
