@@ -59,7 +59,7 @@ def section_key(text: Column) -> Column:
 def registration_number(text: Column) -> Column:
     """Digits without leading zeros; null if there is none, '0' if all are zero."""
     digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.when(digits == "", None).otherwise(F.coalesce(empty_to_null(F.regexp_replace(digits, "^0+", "")), F.lit("0")))
+    return F.when(digits != "", F.coalesce(empty_to_null(F.regexp_replace(digits, "^0+", "")), F.lit("0")))
 
 
 def registration_label(number: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PROFILE = T.StructType.fromDDL(
-    "run_id string, slug string, name string, site string, registration_number string, specialty_primary array<string>, specialty_sub array<string>,"
-    " qualifications string, about_text string, has_photo boolean, bio_depth string, plain_english_score int, booking_state string, slots_28_days int,"
-    " insurers array<string>, treatments array<string>, consultation_times array<string>, memberships array<string>, practising_since int, price double,"
-    " manually_reviewed boolean, scrape_status string"
-)
+_STRINGS, _TEXT, _INT = T.ArrayType(T.StringType()), T.StringType(), T.IntegerType()
+_FIELDS = {
+    "run_id": _TEXT, "slug": _TEXT, "name": _TEXT, "site": _TEXT, "registration_number": _TEXT, "specialty_primary": _STRINGS, "specialty_sub": _STRINGS, "qualifications": _TEXT, "about_text": _TEXT,
+    "has_photo": T.BooleanType(), "bio_depth": _TEXT, "plain_english_score": _INT, "booking_state": _TEXT, "slots_28_days": _INT, "insurers": _STRINGS, "treatments": _STRINGS, "consultation_times": _STRINGS,
+    "memberships": _STRINGS, "practising_since": _INT, "price": T.DoubleType(), "manually_reviewed": T.BooleanType(), "scrape_status": _TEXT,
+}
+PROFILE = T.StructType([T.StructField(k, v) for k, v in _FIELDS.items()])
 BIO_DEPTHS = ["missing", "thin", "adequate", "substantive"]
 BOOKING_STATES = ["not_bookable", "bookable_no_slots", "bookable_with_slots"]
 

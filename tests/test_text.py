@@ -12,8 +12,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize("raw, key", [("dr_adam_lawson", "adam lawson"), ("Dr. Akeel Alisa", "akeel alisa"), ("Mr O'Connor-Smith", "oconnor smith"), ("Prof  Dr A  B", "a b"), ("", "")])
 def test_name_key(spark, raw, key):
-    got = one(spark, text.name_key(F.lit(raw)))
-    assert got == (key if raw != "Mr O'Connor-Smith" else "oconnor smith")
+    assert one(spark, text.name_key(F.lit(raw))) == key
 
 
 @pytest.mark.parametrize("raw, number", [("02211202", "2211202"), ("GMC 4428132", "4428132"), ("000", "0"), ("none", None), (None, None)])
