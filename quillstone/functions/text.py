@@ -203,7 +203,9 @@ def age_restriction(text: Column) -> Column:
 
 
 def rating(text: Column) -> Column:
-    return empty_to_null(F.regexp_extract(text, r"(?i)CQC[^.]{0,40}?\b(Outstanding|Good|Requires improvement|Inadequate)\b", 1))
+    """The inspectors' rating, with or without a colon before it."""
+    # Fixed value: the pattern.
+    return empty_to_null(F.regexp_extract(text, r"(?i)CQC\s*(?:Overall\s+)?rating\s*:?\s*(Outstanding|Good|Requires improvement|Inadequate)", 1))
 
 
 def labelled_parts(**parts: Column) -> Column:
