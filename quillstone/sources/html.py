@@ -76,7 +76,7 @@ class Outline(HTMLParser):
         for _, depth, section in self.sections:
             if tag == "li" and words:
                 section["items"].append(words)
-            if tag == "a" and words and o["a"].get("href"):
+            if tag == "a" and words and o["a"].get("href") and o["depth"] > depth:  # within the heading's siblings
                 section["links"].append({"href": o["a"]["href"], "text": words})
             if o["level"] and words:
                 section["subheads"].append(words)
