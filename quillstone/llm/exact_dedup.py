@@ -8,7 +8,7 @@ keeps the least and the greatest chunk of each place, so a group of any size str
 map-side aggregation and never meets in one task. Groups in which a place has two
 different chunks (collisions) are split by their whole texts.
 
-Nulls count as empty texts. A null doc_id is kept as a document of its own name. Rows that repeat both
+Nulls count as empty texts. A null doc_id never names a group that has another. Rows that repeat both
 doc_id and text share one verdict and count in group_size. An empty table gives an empty result.
 Extra input columns are ignored.
 """
@@ -97,7 +97,7 @@ def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
         parted = whole.join(split, KEY, "left_semi").groupBy(*KEY, "body").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("k"), F.collect_set(F.struct("doc_id", "raw")).alias("who"))
         parted = parted.select(F.explode("who").alias("w"), "n", "k").select(F.col("w.doc_id").alias("pd"), F.col("w.raw").alias("pr"), "n", "k")
         found = prints.join(groups, KEY, "left").join(parted, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("raw") == F.col("pr")), "left")
-        found = found.withColumn("keep_id", F.coalesce("k", "keep_id")).withColumn("group_size", F.coalesce("n", "group_size"))
+        found = found.withColumn("keep_id", F.when(F.col("n").isNull(), F.col("keep_id")).otherwise(F.col("k"))).withColumn("group_size", F.coalesce("n", "group_size"))
     keep = F.coalesce("keep_id", "doc_id")
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "raw")
 

@@ -121,6 +121,33 @@ def _spanning(fps: np.ndarray, shard: np.ndarray, block: np.ndarray, cross: np.n
     return np.r_[own, pairs[:, 0]], np.r_[label[own], pairs[:, 1]]
 
 
+def whole_shards(batches, shard: list[str], columns: list[str], most_pairs: int = 2_000_000):
+    """Tables {column: array} of whole shards, numbered in "shard", from batches sorted by shard: as many at a time as have about most_pairs pairs."""
+    kept = None
+
+    def cut(t, number):
+        start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        work = np.cumsum(np.diff(np.r_[start, len(number)]) ** 2) // most_pairs
+        ends = np.r_[start[np.flatnonzero(np.r_[True, work[1:] != work[:-1]])], len(number)]
+        for i, j in zip(ends[:-1], ends[1:]):
+            yield {k: v[i:j] for k, v in t.items()} | {"shard": number[i:j]}
+
+    for batch in batches:
+        t = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*shard, *columns)}
+        if kept is not None:
+            t = {k: np.concatenate([kept[k], t[k]]) for k in t}
+        if not len(t[shard[0]]):
+            continue
+        new = np.r_[True, np.any([t[k][1:] != t[k][:-1] for k in shard], axis=0)]
+        last = np.flatnonzero(new)[-1]  # this shard may go on in the next batch
+        number = np.cumsum(new)
+        if last:
+            yield from cut({k: v[:last] for k, v in t.items()}, number[:last])
+        kept = {k: v[last:] for k, v in t.items()}
+    if kept is not None:
+        yield from cut(kept, np.zeros(len(kept[shard[0]]), np.int64))
+
+
 def links(fps: DataFrame, radius: int = 3, tree_rows: int = 512) -> DataFrame:
     """(a, b): edges over the column `fp` of distinct fingerprints, whose components are those of all links."""
     bands = radius + 1
@@ -134,31 +161,9 @@ def links(fps: DataFrame, radius: int = 3, tree_rows: int = 512) -> DataFrame:
     shard = ["band", "key", "i", "j"]
 
     def run(batches):
-        kept = None
-
-        def flush(t):
-            # some trees at a time, as many as have about two million pairs
-            start = np.flatnonzero(np.r_[True, t["shard"][1:] != t["shard"][:-1]])
-            work = np.cumsum(np.diff(np.r_[start, len(t["shard"])]).astype(np.int64) ** 2) // 2_000_000
-            cut = np.r_[start[np.flatnonzero(np.r_[True, work[1:] != work[:-1]])], len(t["shard"])]
-            for i, j in zip(cut[:-1], cut[1:]):
-                fp = t["fp"][i:j]
-                a, b = _spanning(fp.view(np.uint64), t["shard"][i:j], t["block"][i:j], t["cross"][i:j], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
-
-        for batch in batches:
-            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*shard, "fp", "block")}
-            t = {"fp": c["fp"].astype(np.int64), "block": c["block"], "cross": c["i"] != c["j"], "shard": np.stack([c[k].astype(np.int64) for k in shard], 1)}
-            if kept is not None:
-                t = {k: np.concatenate([kept[k], t[k]]) for k in t if k != "id"}
-            same = np.r_[True, (t["shard"][1:] != t["shard"][:-1]).any(axis=1)]
-            last = np.flatnonzero(same)[-1] if len(same) else 0  # this shard may go on in the next batch
-            number = np.cumsum(same)
-            if last:
-                yield from flush({k: (number if k == "shard" else t[k])[:last] for k in t})
-            kept = {k: t[k][last:] for k in t}
-        if kept is not None and len(kept["fp"]):
-            yield from flush(kept | {"shard": np.zeros(len(kept["fp"]), np.int64)})
+        for t in whole_shards(batches, shard, ["fp", "block"]):
+            a, b = _spanning(t["fp"].view(np.uint64), t["shard"], t["block"], t["i"] != t["j"], radius)
+            yield pa.RecordBatch.from_arrays([pa.array(t["fp"][a]), pa.array(t["fp"][b])], ["a", "b"])
 
     return pairs.repartition(*shard).sortWithinPartitions(*shard, "fp").mapInArrow(run, "a long, b long")
 
