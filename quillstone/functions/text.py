@@ -215,7 +215,7 @@ def labelled_parts(**parts: Column) -> Column:
 
 def without_fences(text: Column) -> Column:
     """Without the code fences around an answer."""
-    return F.trim(F.regexp_replace(text, r"(?m)^```[a-z]*\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^```[a-z]*\s*$", ""), r"^\s+|\s+$", "")
 
 
 def plain(text: Column) -> Column:

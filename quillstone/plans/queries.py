@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import arrays, text
 from quillstone.functions.numbers import half_up
-from quillstone.operators import compare, corroboration, filters, matching, metrics, scoring
+from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, scoring
 from quillstone.operators.filters import ProfileFilter
 from quillstone.schema import PROFILES_SQL, profiles, validate
 from quillstone.sources import html, sinks, sitemaps, snapshots
@@ -611,6 +611,60 @@ def sitemap_urls(spark, sf_dir):
     return sitemaps.profile_urls(xml, "http").select("url", "slug")
 
 
+# ---- the desk
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in scoring.FLAGS.items()) + ") AS t (code, severity, description)")
+def flag_dictionary(spark, sf_dir):
+    return desk.flag_dictionary(spark)
+
+
+@query(_ALL + "SELECT severity, count(*) AS n FROM (SELECT split_part(x, ':', 2) AS code FROM (SELECT unnest(flags) AS x FROM a)) JOIN (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in scoring.FLAGS.items()) + ") AS d (code, severity) USING (code) GROUP BY 1")
+def flags_by_severity(spark, sf_dir):
+    codes = run(spark, sf_dir, None).select(F.explode("flags.code").alias("code"))
+    return codes.join(desk.flag_dictionary(spark), "code").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT n_name FROM nation WHERE n_name ILIKE '%on_1%' ORDER BY 1 LIMIT 50")
+def facet_search(spark, sf_dir):
+    return desk.facet_search(table(spark, sf_dir, "nation"), "n_name", "ON_1")
+
+
+@query("SELECT l_orderkey AS slug, l_linenumber AS line, l_returnflag AS flag FROM lineitem ORDER BY CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END DESC, l_orderkey, l_linenumber LIMIT 25")
+def links_by_confidence(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    links = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("slug"), flag.alias("flag"), F.when(flag == "R", "high").when(flag == "A", "medium").otherwise("low").alias("match_confidence"))
+    return desk.by_confidence(links, 25).select(F.floor(F.col("slug") / 100).alias("slug"), (F.col("slug") % 100).cast("int").alias("line"), "flag")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn DESC")
+def newest_children(spark, sf_dir):
+    return desk.newest(table(spark, sf_dir, "conversations"), F.col("conv_id") == 3, "turn", "role").select("conv_id", "turn", "role")
+
+
+@query(_PAIRS + ", ".join(["SELECT " + _UP("100.0 * count(*) FILTER (ra - ha > 2) / greatest(count(*), 1)") + " AS rival_better_pct", _UP("100.0 * count(*) FILTER (ra - ha < -2) / greatest(count(*), 1)") + " AS home_better_pct", _UP("100.0 * count(*) FILTER (abs(ra - ha) <= 2) / greatest(count(*), 1)") + " AS ties_pct FROM l"]))
+def win_rates(spark, sf_dir):
+    return desk.win_rates(compare.aggregate(*_linked(spark, sf_dir)))
+
+
+@query("SELECT user_id, printf('%dm %ds', s // 60, s % 60) AS took FROM (SELECT user_id, CAST(epoch(max(ts)) AS BIGINT) // 1 - CAST(epoch(min(ts)) AS BIGINT) AS s FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1)")
+def run_durations(spark, sf_dir):
+    ends = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ends.select("user_id", text.duration(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")).alias("took"))
+
+
+@query(_ALL + "SELECT run_id, slug, CASE WHEN membership_count > 0 THEN '[\"society\"]' ELSE '[]' END AS memberships, qualifications FROM p")
+def element_contents(spark, sf_dir):
+    p = profiles(spark, sf_dir)
+    return p.select("run_id", "slug", desk.element_content(F.lit("memberships")).alias("memberships"), desk.element_content(F.lit("qualifications")).alias("qualifications"))
+
+
+@query("SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: len(list_filter(a, lambda y: lower(y) = lower(x))) = 0)), '|') AS words FROM (SELECT doc_id, list_slice(string_split(text, ' '), 1, 8) AS a, list_slice(string_split(text, ' '), 9, 20) AS b FROM documents)")
+def merged_words(spark, sf_dir):
+    words = F.split("text", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(arrays.merged_ci(F.slice(words, 1, 8), F.slice(words, 9, 12)), "|").alias("words"))
+
+
 def tool(name: str):
     """Named queries for callers that ask by name."""
     return QUERIES[name]

@@ -69,3 +69,25 @@ def test_arrays(spark):
     assert one(spark, arrays.missing(F.lit(None).cast("array<string>"))) is True
     assert one(spark, arrays.has(F.lit(None).cast("array<string>"), lambda x: x == "a")) is False
     assert one(spark, arrays.overlaps_ci(a, ["B"])) is True
+
+
+def test_model_answers(spark):
+    from quillstone.operators import desk
+
+    assert one(spark, desk.answer_list(F.lit('```json\n["a", "b"]\n```'))) == ["a", "b"]
+    assert one(spark, desk.answer_list(F.lit("- a\n- b; c"))) == ["a", "b", "c"]
+    assert one(spark, desk.answer_list(F.lit("null"))) is None and one(spark, desk.answer_text(F.lit(" NULL "))) is None
+    assert one(spark, desk.answer_year(F.lit("since 2011"))) == 2011
+    good = '{"plain_english_score": 4, "bio_depth": "thin", "treatment_specificity": "generic", "qualifications_completeness": "minimal", "languages": ["fr"]}'
+    assert one(spark, desk.assessment(F.lit(good))).languages == ["fr"]
+    for bad in (good.replace("4", "6"), good.replace("thin", "odd"), "no json"):
+        assert one(spark, desk.assessment(F.lit(bad))) is None
+    images = spark.createDataFrame([("s", f"u{i}", i, 2) for i in range(5)] + [("s", "x", None, None)], "slug string, url string, width int, height int")
+    assert [r.url for r in desk.largest_images(images).orderBy("rank").collect()] == ["u4", "u3", "u2"]
+    assert desk.shuffled(images, 3).count() == 3
+    assert tuple(spark.range(1).select(*desk.bar(F.lit(0), F.lit(0))).first()) == (0.0, 0.0)
+    assert one(spark, desk.queries_for(F.lit("A B"), F.lit("Leeds"), F.lit("Knees")))[1] == '"A B" Leeds'
+    assert one(spark, text.plain(F.lit("# Head\n- **a** [b](c)"))) == "Head\na b"
+    assert one(spark, text.registration_label(F.lit("HCPC 012"))) == "HCPC-12"
+    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    assert one(spark, arrays.keys_outside(m, ["a"])) == ["b"]
