@@ -1,11 +1,11 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids (spherical-free k-means) and the codebooks of the residuals' `parts` sub-vectors are fitted on at most
-`most_train` vectors, those whose vec_id has the least hashes. Every vector is indexed: its cell and the codes of its residual. A query
-goes to the `probes` cells whose centroids have the largest inner product with it, and on to further cells until they hold
-k vectors besides itself. In a cell (cut into pieces of about `piece_rows` rows, so that a hot cell is many tasks' work) the
-queries' tables of inner products with the codebooks give every vector's approximate score at once; the `rerank` best are
-scored exactly, in double precision, on the original vectors, and a query's k best of all its cells remain.
+Coarse centroids (k-means) and the codebooks of the residuals' `parts` sub-vectors are fitted on at most `most_train` vectors, those whose vec_id has
+the least hashes. Every vector is indexed: its cell and the codes of its residual. How many cells a query visits is fitted on the same sample: the fewest
+that reach `reach` of the sampled queries' true neighbours (few in clustered data, over half in data without clusters). A query goes to the cells whose
+centroids have the largest inner product with it, and on until they hold k vectors besides itself. Cells are gathered in groups of about `group_rows` rows, and a larger
+cell is cut into several groups, so a hot cell is many tasks' work. In a group the query's tables of inner products with the codebooks give every
+vector's approximate score at once; the `rerank` best are scored exactly, in double precision, on the original vectors, and the k best of all groups remain.
 
 Vectors that are null, zero, or hold null or non-finite components, or are not of the commonest length, take no part. Ties go to the
 smaller vec_id. Rows that repeat a vec_id are one candidate each and ask one query together. An empty table gives an empty result.
@@ -76,7 +76,36 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return v.where(F.size("v") == (length.n if length else 0))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None = None, probes: int = 24, parts: int = 16, rerank: int = 100, most_train: int = 20_000, piece_rows: int = 2048) -> DataFrame:
+def fitted_probes(sample: np.ndarray, index: Index, k: int, reach: float, queries: int = 256) -> int:
+    """The fewest cells to visit so that `queries` sampled vectors reach that share of their k nearest in the sample."""
+    some = np.arange(0, len(sample), max(1, len(sample) // queries))
+    scores = sample[some] @ sample.T
+    scores[np.arange(len(some)), some] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(sample[some] @ index.coarse.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(rank, nearest(sample, index.coarse)[best], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(reach * len(needed)) - 1)]) + 1
+
+
+def layout(sizes: np.ndarray, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's first group and its number of groups: cells share a group up to `group_rows` rows, larger ones have several of their own."""
+    first, pieces, group, held = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if held and held + n > group_rows:
+            group, held = group + 1, 0
+        first[c] = group
+        if n > group_rows:
+            pieces[c] = -(-n // group_rows)
+            group, held = group + int(pieces[c]), 0
+        else:
+            held += n
+    return first, pieces
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None = None, reach: float = 0.97, parts: int = 16, rerank: int = 200, most_train: int = 20_000, group_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     good = usable(vectors)
@@ -84,65 +113,66 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None =
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_train).toPandas().sort_values("vec_id")
     if not len(sample):
         return spark.createDataFrame([], schema)
-    total = good.count()
-    index = Index(np.stack(sample["v"].to_numpy()), cells or min(4096, max(1, round(math.sqrt(total)))), parts)
+    total, known = good.count(), np.stack(sample["v"].to_numpy())
+    index = Index(known, cells or min(4096, max(1, round(math.sqrt(total)))), parts)
+    probes = fitted_probes(known, index, k, reach)
 
     def place(batches):
         for pdf in batches:
-            cell, codes = index.encode(np.stack(pdf["v"].to_numpy())) if len(pdf) else (np.zeros(0), np.zeros((0, 1), np.uint8))
-            yield pdf.assign(cell=cell, codes=[c.tobytes() for c in codes])
+            if len(pdf):
+                cell, codes = index.encode(np.stack(pdf["v"].to_numpy()))
+                yield pdf.assign(cell=cell, codes=[c.tobytes() for c in codes])
 
     placed = stored(good.mapInPandas(place, "vec_id long, v array<double>, cell int, codes binary"), "index")
-    sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell: 4096 at most
-    size = np.array([sizes.get(c, 0) for c in range(len(index.coarse))])
-    pieces = np.maximum(1, -(-size // piece_rows))
+    counts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell: 4096 at most
+    size = np.array([counts.get(c, 0) for c in range(len(index.coarse))])
+    first, pieces = layout(size, group_rows)
 
     def ask(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            q = np.stack(pdf["v"].to_numpy())
-            order = np.argsort(-(q @ index.coarse.T), axis=1, kind="stable")
-            held = np.cumsum(size[order], axis=1)
+            order = np.argsort(-(np.stack(pdf["v"].to_numpy()) @ index.coarse.T), axis=1, kind="stable")
             # enough cells for k vectors besides the query, however small they are
-            upto = np.maximum(probes, (held < k + 1).sum(axis=1) + 1)
-            cells = [o[:u] for o, u in zip(order, upto)]
-            cells = [c[size[c] > 0] for c in cells]
-            rows = [(i, c, p) for i, row in enumerate(cells) for c in row.tolist() for p in range(pieces[c])]
-            at = np.array([r[0] for r in rows], int)
-            yield pd.DataFrame({"query_id": pdf["vec_id"].to_numpy()[at], "q": pdf["v"].to_numpy()[at], "cell": [r[1] for r in rows], "piece": [r[2] for r in rows]})
+            upto = np.maximum(probes, (np.cumsum(size[order], axis=1) < k + 1).sum(axis=1) + 1)
+            out = []
+            for name, v, row, n in zip(pdf["vec_id"], pdf["v"], order, upto):
+                groups: dict[int, list[int]] = {}
+                for c in row[:n].tolist():
+                    for g in range(first[c], first[c] + pieces[c] if size[c] else first[c]):
+                        groups.setdefault(g, []).append(c)
+                out += [(name, v, g, cs) for g, cs in groups.items()]
+            yield pd.DataFrame(out, columns=["query_id", "q", "grp", "cells"])
 
     queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.mapInPandas(ask, "query_id long, q array<double>, cell int, piece int")
-    number = F.create_map(*[x for c in range(len(pieces)) for x in (F.lit(c), F.lit(int(pieces[c])))]) if (pieces > 1).any() else None
-    piece = F.lit(0) if number is None else F.pmod(F.xxhash64("vec_id"), number[F.col("cell")]).cast("int")
-    held = placed.withColumn("piece", piece)
+    asked = queries.mapInPandas(ask, "query_id long, q array<double>, grp int, cells array<int>")
+    places = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, pieces))], "cell int, first int, pieces int")
+    held = placed.join(F.broadcast(places), "cell").withColumn("grp", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int")).select("grp", "vec_id", "v", "cell", "codes")
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             right = right.sort_values("vec_id", kind="stable")
-            ids, x = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
+            ids, x, cell = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["cell"].to_numpy()
             codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(ids), -1)
-            centre = index.coarse[right["cell"].iloc[0]]
             for i in range(0, len(left), 64):
                 some = left.iloc[i : i + 64]
                 q = np.stack(some["q"].to_numpy())
-                near = np.repeat((q @ centre)[:, None], len(ids), axis=1)
+                near = (q @ index.coarse.T)[:, cell]
                 for p, t in enumerate(index.tables(q).transpose(1, 0, 2)):
                     near += t[:, codes[:, p]]
-                for row, query, own in zip(near, q, some["query_id"].to_numpy()):
-                    row[ids == own] = -np.inf
-                    n = min(rerank, len(ids))
-                    # every vector tied with the last place is reranked too, equal copies so stay in order of vec_id
-                    best = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if n < len(ids) else np.arange(len(ids))
-                    best = best[ids[best] != own]
-                    exact = (x[best] * query).sum(axis=1)
-                    top = np.lexsort((ids[best], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best][top], "score": exact[top]}))
+                for row, query, own, cells in zip(near, q, some["query_id"].to_numpy(), some["cells"]):
+                    at = np.flatnonzero(np.isin(cell, cells) & (ids != own))
+                    if len(at) > rerank:
+                        # what ties with the last place is reranked too, so equal copies stay in order of vec_id
+                        bound = np.partition(row[at], len(at) - rerank)[len(at) - rerank]
+                        at = at[row[at] >= bound]
+                    exact = (x[at] * query).sum(axis=1)
+                    top = np.lexsort((ids[at], -exact))[:k]
+                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at][top], "score": exact[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = asked.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInPandas(find, "query_id long, vec_id long, score double")
+    found = asked.groupBy("grp").cogroup(held.groupBy("grp")).applyInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -215,7 +215,7 @@ def test_vector_search(spark):
     rows += [(3000, None), (3020, [0.0] * 16), (3040, [None] * 16), (3060, [float("nan")] * 16), (3080, [float("inf")] * 16), (3100, [1.0] * 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in vector_search.search(df, piece_rows=300).orderBy("query_id", "rank").collect():
+    for r in vector_search.search(df, group_rows=300).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     x = x.astype(np.float32).astype(float)
     recall = []
