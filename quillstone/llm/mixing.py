@@ -9,7 +9,7 @@ schedule is made from each source's number of blocks (at most about `most_blocks
 slot by a join on (source, block).
 
 Without weights, sources get bytes ** `temperature` shares, so a hot source is held back and
-small ones are lifted. A null source is the source ''. Sources without a weight (or with weight 0)
+small ones are lifted. More than `most_sources` sources are an error. A null source is the source ''. Sources without a weight (or with weight 0)
 are not in the mixture. Null texts count as one byte's worth. Rows that repeat count as often as they occur.
 An empty table gives an empty result. Extra columns are kept by `mix` and ignored by `schedule`.
 """
@@ -48,11 +48,13 @@ def pfair(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str,
     return out
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None, most_blocks: int = 4_000) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None, most_blocks: int = 4_000, most_sources: int = 10_000) -> DataFrame:
     """One row a document: doc_id, source, bytes, block, and release, deadline, slot, or nulls where its block is not in the mixture."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long").alias("bytes"))
     rows = rows.withColumn("spread", F.xxhash64("doc_id", "source"))
-    sizes = {r.source: r.bytes for r in rows.groupBy("source").agg(F.sum("bytes").alias("bytes")).collect()}
+    sizes = {r.source: r.bytes for r in rows.groupBy("source").agg(F.sum("bytes").alias("bytes")).limit(most_sources + 1).collect()}
+    if len(sizes) > most_sources:
+        raise ValueError(f"more than {most_sources} sources; group them first")
     if weights is None:
         weights = {s: float(b) ** temperature for s, b in sizes.items()}
     total = sum(sizes.values())
@@ -67,7 +69,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     return out.select("doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None) -> DataFrame:
     """The documents of the mixture with all their columns."""
     keep = schedule(docs, weights, temperature, block_bytes).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.coalesce("source", F.lit("")) == F.col("__s"))
