@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.config import NON_PROCEDURAL, ScoringConfig
 from quillstone.functions import arrays, numbers, text
 
-# Flag codes, severities and messages; the first seven come from scoring, the others from the stages before.
+# Flag codes, severities and messages; the first eight come from scoring, the others from the stages before.
 FLAGS = {
     "PROFILE_NO_PHOTO": ("fail", "Profile has no photo"),
     "CONTENT_MISSING_BIO": ("fail", "Profile has no bio/about section"),
@@ -22,14 +22,14 @@ FLAGS = {
     "BOOKING_NOT_BOOKABLE": ("info", "Not bookable online"),
     "CONTENT_CMS_CORRUPTION": ("warn", "CMS text corruption detected (formatting artifacts)"),
     "PROFILE_SUBSTANTIVE_DECLARATION": ("info", "Declaration contains substantive financial interests"),
-    "PROFILE_NON_NUFFIELD_HOSPITAL": ("info", "Primary hospital is not a Nuffield facility"),
+    "PROFILE_OUTSIDE_NETWORK": ("info", "Primary hospital is outside the network"),
     "PROFILE_AGE_RESTRICTION": ("info", "Patient age restriction"),
     "QA_LOW_CONFIDENCE": ("warn", "Low confidence"),
 }
 BOOKING_POINTS, RIVAL_MISSING_POINTS = {"bookable_with_slots": 10.0, "bookable_no_slots": 5.0}, 30.0
 
 # Places whose mention locates a biography.
-PLACES = ["london", "manchester", "birmingham", "bristol", "leeds", "edinburgh", "glasgow", "cardiff", "oxford", "cambridge", "hospital", "clinic", "nuffield", "harley street", "surrey", "kent", "essex", "hertfordshire"]
+PLACES = ["london", "manchester", "birmingham", "bristol", "leeds", "edinburgh", "glasgow", "cardiff", "oxford", "cambridge", "hospital", "clinic", "harley street", "surrey", "kent", "essex", "hertfordshire"]
 
 
 def dimensions(config: ScoringConfig | None = None) -> dict[str, tuple[Column, float]]:
@@ -112,8 +112,8 @@ def rival_adjusted(score: Column) -> Column:
     return score / (100.0 - RIVAL_MISSING_POINTS) * 100.0
 
 
-def seo_parts(keywords: Column | None = None) -> dict[str, Column]:
-    """Five parts of a search score over about_text; keywords default to treatments and specialties."""
+def seo_parts(keywords: Column | None = None, brands: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Five parts of a search score over about_text; keywords default to treatments and specialties. `brands`: further names that locate a biography."""
     bio = F.coalesce("about_text", F.lit(""))
     low = F.lower(bio)
     words = keywords if keywords is not None else F.concat(F.coalesce("treatments", F.array().cast("array<string>")), F.coalesce("specialty_primary", F.array().cast("array<string>")))
@@ -123,7 +123,7 @@ def seo_parts(keywords: Column | None = None) -> dict[str, Column]:
     count = F.size(F.filter(F.split(bio, r"(?U)\s+"), lambda w: w != ""))
     english = F.col("plain_english_score")
     filled = [F.length(bio) > 0, ~arrays.missing(F.col("treatments")), F.col("qualifications").isNotNull(), ~arrays.missing(F.col("memberships")), F.col("practising_since").isNotNull(), ~arrays.missing(F.col("specialty_primary"))]
-    located = text.any_of([low.contains(p) for p in PLACES]) | F.coalesce(F.contains(low, F.lower("site")), F.lit(False))
+    located = text.any_of([low.contains(p) for p in (*PLACES, *brands)]) | F.coalesce(F.contains(low, F.lower("site")), F.lit(False))
     return {
         "keyword_richness": F.when(F.length(bio) > 0, rich).otherwise(0.0),
         "content_length": F.when(count >= 300, 20.0).when(count >= 150, 10.0).otherwise(0.0),

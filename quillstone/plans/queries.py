@@ -315,7 +315,7 @@ def presence_counts(spark, sf_dir):
     return metrics.presence(profiles(spark, sf_dir), {"photo": c("has_photo"), "about": c("about_text").isNotNull(), "dear": c("price") > 200, "anomalies": c("site").isNull() & c("about_text").isNull()})
 
 
-@query(_ALL + "SELECT name, n FROM (SELECT x AS name, count(*) AS n FROM (SELECT unnest(list_slice(['axa', 'bupa', 'vitality'], 1, insurer_count)) AS x FROM p) GROUP BY 1)")
+@query(_ALL + "SELECT name, n FROM (SELECT x AS name, count(*) AS n FROM (SELECT unnest(list_slice(['axa', 'aviva', 'vitality'], 1, insurer_count)) AS x FROM p) GROUP BY 1)")
 def insurer_frequency(spark, sf_dir):
     return metrics.frequency(profiles(spark, sf_dir), "insurers")
 

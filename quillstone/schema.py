@@ -54,7 +54,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 13 != 0, (1 + n % 5).cast("int")).alias("plain_english_score"),
         F.when(i % 3 == 0, "bookable_with_slots").when(i % 3 == 1, "bookable_no_slots").otherwise("not_bookable").alias("booking_state"),
         F.when(i % 3 == 0, (n % 9).cast("int")).alias("slots_28_days"),
-        some(["axa", "bupa", "vitality"], 4).alias("insurers"),
+        some(["axa", "aviva", "vitality"], 4).alias("insurers"),
         some(["biopsy", "scan"], 3).alias("treatments"),
         some(["mon am"], 2).alias("consultation_times"),
         F.slice(F.array(F.lit("society")), F.lit(1), (i % 2).cast("int")).alias("memberships"),

@@ -137,8 +137,8 @@ def _text(category: str) -> Column:
     return text.empty_to_null(F.array_join(_first(_of(category)).blocks, "\n"))
 
 
-def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """`pages` without its html, with the profile fields that a page shows. A null page has nulls and empty arrays."""
+def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...] = ()) -> DataFrame:
+    """`pages` without its html, with the profile fields that a page shows. A null page has nulls and empty arrays. Links to `own_domains` are no external website."""
     p = pages.withColumn("o", outline(F.col(html_col)))
     classified = F.transform("o.sections", lambda s: F.struct(text.heading_category(s.heading, s.tag).alias("category"), s.heading.alias("heading"), s.blocks.alias("blocks"), s["items"].alias("items"), s.subheads.alias("subheads"), s.links.alias("links")))
     p = p.withColumn("classified", classified)
@@ -153,7 +153,7 @@ def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
     numbers = F.when(F.size(numbers) > 0, F.array_distinct(numbers)).when(F.size(tel) > 0, F.array_distinct(tel)).otherwise(text.phones(F.col("o.body")))
     mail = _first(F.filter("o.links", lambda a: a.href.startswith("mailto:"))).href
     # wrapped links and these platforms are nobody's own site
-    own = lambda a: a.href.startswith("http") & ~text.any_of([F.coalesce(text.host(a.href), F.lit("")).contains(d) for d in ("facebook.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com", "nuffieldhealth", "safelinks.protection")])
+    own = lambda a: a.href.startswith("http") & ~text.any_of([F.coalesce(text.host(a.href), F.lit("")).contains(d) for d in ("facebook.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com", "safelinks.protection", *own_domains)])
     year = F.coalesce(
         text.first_year(_first(_of("PRACTISING_SINCE")).heading),
         text.first_year(F.array_join(_first(_of("PRACTISING_SINCE")).blocks, " ")),
