@@ -84,7 +84,8 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
 def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, and raw, which tells apart texts that share a doc_id."""
     prints = stored(fingerprints(docs, chunk_bytes), "prints")
-    groups = prints.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1")
+    # a table of its own, so that Spark can cut a hot group's side of the joins below
+    groups = stored(prints.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1"), "groups")
     members = stored(prints.join(groups, KEY).select("doc_id", "raw", *KEY).distinct(), "members")
     same = F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.raw") == F.col("t.raw"))
     whole = texts(docs).withColumn("raw", F.xxhash64("text")).alias("t").join(members.hint("shuffle_hash").alias("m"), same).select("m.doc_id", "m.raw", *[f"m.{k}" for k in KEY], ascii_lower("text").cast("binary").alias("body"))
