@@ -95,10 +95,11 @@ def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     if split.isEmpty():
         found = prints.join(groups, KEY, "left")
     else:  # the fingerprint is shared by different texts
-        parted = whole.join(split, KEY, "left_semi").groupBy(*KEY, "body").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("k"), F.collect_set(F.struct("doc_id", "raw")).alias("who"))
-        parted = parted.select(F.explode("who").alias("w"), "n", "k").select(F.col("w.doc_id").alias("pd"), F.col("w.raw").alias("pr"), "n", "k")
-        found = prints.join(groups, KEY, "left").join(parted, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("raw") == F.col("pr")), "left")
-        found = found.withColumn("keep_id", F.when(F.col("n").isNull(), F.col("keep_id")).otherwise(F.col("k"))).withColumn("group_size", F.coalesce("n", "group_size"))
+        parted = whole.join(split, KEY, "left_semi").groupBy(*KEY, "body").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("k"))
+        parted = parted.select(*[F.col(c).alias(f"p_{c}") for c in KEY], F.sha2("body", 256).alias("p_sha"), F.lit(True).alias("own"), "n", "k")
+        same_text = [F.col(c) == F.col(f"p_{c}") for c in KEY] + [F.col("text_sha256") == F.col("p_sha")]
+        found = prints.join(groups, KEY, "left").join(parted, same_text, "left")
+        found = found.withColumn("keep_id", F.when(F.col("own"), F.col("k")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("n", "group_size"))
     keep = F.coalesce("keep_id", "doc_id")
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "raw")
 
