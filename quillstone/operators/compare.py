@@ -65,18 +65,18 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 def aggregate(pairs: DataFrame, home: DataFrame) -> DataFrame:
     """One row over all pairs; scores within two points tie. matched_count counts linked pairs, home_only may go below zero."""
-    total = home.agg(F.count(F.lit(1)).alias("total_home"))
+    rows = pairs.withColumn("is_home", F.lit(False)).unionByName(home.select(F.lit(True).alias("is_home")), allowMissingColumns=True)
     diff = F.col("rival_adjusted") - F.col("home_adjusted")
     tiers = [count_where(F.col(f"{s}.tier") == t).alias(f"{n}_{t.lower()}") for s, n in (("h", "home"), ("r", "rival")) for t in ("Gold", "Silver", "Bronze", "Incomplete")]
-    whole = pairs.agg(
-        F.count(F.lit(1)).alias("matched_count"),
+    out = rows.agg(
+        count_where(F.col("is_home")).alias("total_home"),
+        count_where(~F.col("is_home")).alias("matched_count"),
         *[half_up(F.avg(F.when(diff.isNotNull(), F.col(c))), 1).alias(n) for c, n in (("h.score", "home_avg_score"), ("r.score", "rival_avg_score"), ("home_adjusted", "home_avg_adjusted"), ("rival_adjusted", "rival_avg_adjusted"))],
         count_where(diff > 2).alias("rival_better"),
         count_where(diff < -2).alias("home_better"),
         count_where(F.abs(diff) <= 2).alias("ties"),
         *tiers,
     )
-    out = whole.crossJoin(total)  # one row each
     rate = F.when(F.col("total_home") > 0, F.col("matched_count") / F.col("total_home")).otherwise(0.0)
     return out.withColumns({"home_only": F.col("total_home") - F.col("matched_count"), "match_rate": half_up(rate, 4)})
 
@@ -112,3 +112,8 @@ def checked_links(links: DataFrame, home_number: DataFrame, rival_number: DataFr
     kept = both.where(~F.coalesce(F.col("hn") != F.col("rn"), F.lit(False)))
     same = F.coalesce(F.col("hn") == F.col("rn"), F.lit(False))
     return kept.withColumns({"match_confidence": F.when(same, "high").otherwise(F.col("match_confidence")), "match_method": F.when(same, "number_match").otherwise(F.col("match_method")), "registration_number": F.coalesce("hn", "rn")}).drop("hn", "rn")
+
+
+def number_status(home: Column, rival: Column) -> Column:
+    """How two registration numbers stand to each other."""
+    return F.when(home.isNotNull() & rival.isNotNull(), F.when(home == rival, "match").otherwise("mismatch")).when(home.isNotNull(), "missing_on_rival").when(rival.isNotNull(), "missing_on_home").otherwise("missing_both")

@@ -15,7 +15,7 @@ _CONSENT = {"ccc", "cookie-consent", "onetrust-consent-sdk"}
 _LINKS = "array<struct<href:string,text:string>>"
 OUTLINE = (
     f"title string, h1s array<struct<text:string,named:boolean,consent:boolean>>, metas array<struct<name:string,content:string>>, links {_LINKS}, frames array<string>,"
-    " photo string, telephones array<string>, booking boolean, sites array<string>,"
+    " photo string, images array<struct<src:string,alt:string>>, marks array<string>, telephones array<string>, booking boolean, sites array<string>,"
     f" sections array<struct<tag:string,heading:string,blocks:array<string>,items:array<string>,subheads:array<string>,links:{_LINKS}>>, body string"
 )
 
@@ -26,7 +26,7 @@ class Outline(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack, self.text, self.open, self.skip = [], [], [], 0
-        self.out = {"title": None, "h1s": [], "metas": [], "links": [], "frames": [], "photo": None, "telephones": [], "booking": False, "sites": [], "sections": []}
+        self.out = {"title": None, "h1s": [], "metas": [], "links": [], "frames": [], "photo": None, "images": [], "marks": [], "telephones": [], "booking": False, "sites": [], "sections": []}
         self.sections: list[tuple[int, int, dict]] = []  # level, depth, section
 
     def handle_starttag(self, tag, attrs):
@@ -40,8 +40,11 @@ class Outline(HTMLParser):
             self.out["metas"].append({"name": a.get("name") or a.get("property"), "content": a.get("content")})
         elif tag == "iframe":
             self.out["frames"].append(a.get("src"))
-        elif tag == "img" and self.out["photo"] is None and any("consultant__image" in m for _, m in self.stack):
-            self.out["photo"] = a.get("src")
+        elif tag == "img":
+            self.out["images"].append({"src": a.get("src"), "alt": a.get("alt")})
+            if self.out["photo"] is None and any("consultant__image" in m for _, m in self.stack):
+                self.out["photo"] = a.get("src")
+        self.out["marks"] += [m for m in marks if "assured" in m]
         if tag in _VOID:
             if tag == "br":
                 self.text.append("\n")
@@ -106,7 +109,7 @@ class Outline(HTMLParser):
 
 
 def _outlines(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([Outline().result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "telephones", "booking", "sites", "sections", "body"])
+    return pd.DataFrame([Outline().result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "images", "marks", "telephones", "booking", "sites", "sections", "body"])
 
 
 def outline(html: Column) -> Column:
@@ -212,7 +215,63 @@ def sections_by_key(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return p.select(*[c for c in pages.columns if c != html_col], F.map_from_entries(merged).alias("sections"))
 
 
+def section_values(sections: Column, *headings: str) -> Column:
+    """The values of the first named section that has any."""
+    found = [F.try_element_at(sections, text.section_key(F.lit(h)))["values"] for h in headings]
+    return F.coalesce(*[F.when(F.size(v) > 0, v) for v in found])
+
+
 def section_list(sections: Column, *headings: str) -> Column:
-    """The delimited values of the first named section that has any."""
-    values = F.coalesce(*[F.when(F.size(F.try_element_at(sections, text.section_key(F.lit(h)))["values"]) > 0, F.try_element_at(sections, text.section_key(F.lit(h)))["values"]) for h in headings])
-    return F.array_distinct(F.flatten(F.transform(values, text.delimited)))
+    """section_values cut at semicolons and commas."""
+    return F.array_distinct(F.flatten(F.transform(section_values(sections, *headings), text.delimited)))
+
+
+# The headings under which rivals' pages list a field.
+RIVAL_HEADINGS = {
+    "about_text": ["About", "About me", "Biography", "Profile", "Overview"],
+    "specialty_primary": ["Specialties", "Speciality", "Specialty", "Main specialties", "Primary specialty"],
+    "specialty_sub": ["Sub-specialties", "Sub specialties", "Sub-specialities", "Other specialties"],
+    "treatments": ["Treatments", "Procedures", "Treatments and procedures", "Treatments & procedures", "Specialises in"],
+    "qualifications": ["Qualifications", "Qualifications and credentials", "Education and qualifications", "Credentials"],
+    "memberships": ["Memberships", "Affiliations / memberships", "Professional memberships", "Memberships and associations", "Professional bodies", "Professional bodies (positions held - last 3 yrs)"],
+    "clinical_interests": ["Clinical interests", "Special interests", "Areas of interest", "Interests"],
+    "languages": ["Languages", "Languages spoken"],
+    "hospitals": ["Hospitals", "Hospital affiliations", "Practises at", "Available at", "Locations", "Where I practise"],
+    "registration": ["GMC registration", "Registration"],
+    "training": ["Additional training"],
+}
+
+
+def parse_rival(pages: DataFrame, html_col: str = "html", badge: str = "accredited") -> DataFrame:
+    """`pages` without its html, with the fields that a rival's profile page shows; `badge`: a word of its badges' image texts."""
+    kept = [c for c in pages.columns if c != html_col]
+    p = sections_by_key(pages.withColumn("__html", F.col(html_col)), html_col).withColumn("o", outline(F.col("__html")))
+    headings = lambda field: RIVAL_HEADINGS[field]
+    given = _first(F.filter("o.metas", lambda m: F.lower(m["name"]) == "description")).content
+    from_meta = lambda pattern: text.delimited(text.empty_to_null(F.regexp_extract(given, pattern, 1)))
+    words = lambda field: text.normalise(F.array_join(section_values(F.col("sections"), *headings(field)), " "))
+    listed = lambda field, found=None: F.coalesce(*([F.when(F.size(found) > 0, found)] if found is not None else []), section_list(F.col("sections"), *headings(field)), F.array().cast("array<string>"))
+    tel = F.transform(F.filter("o.links", lambda a: a.href.startswith("tel:")), lambda a: text.spaces(a.text))
+    mail = F.transform(F.filter("o.links", lambda a: a.href.startswith("mailto:")), lambda a: F.trim(F.try_url_decode(F.regexp_replace(a.href, r"^mailto:|\?.*$", ""))))
+    sites = F.transform(F.filter("o.links", lambda a: a.href.startswith("http") & F.lower(a.text).contains("website")), lambda a: a.href)
+    fields = {
+        "name": F.coalesce(text.normalise(F.regexp_extract(given, r"Name:\s*([^,]+)", 1)), text.normalise(F.regexp_extract("o.title", r"^([^:|]+)", 1))),
+        "registration_number": text.registration_number(text.empty_to_null(F.regexp_extract(F.array_join(section_values(F.col("sections"), *headings("registration")), " "), r"(\d{5,8})", 1))),
+        "has_photo": F.exists("o.images", lambda i: i.src.startswith("http") & (F.lower(i.alt) == F.lower(F.regexp_extract(given, r"Name:\s*([^,]+)", 1)))),
+        "about_text": words("about_text"),
+        "specialty_primary": listed("specialty_primary", from_meta(r"(?i),\s*specialty:\s*(.*?)(?:,\s*subspecialty:|$)")),
+        "specialty_sub": listed("specialty_sub", from_meta(r"(?i)subspecialty:\s*(.*)$")),
+        "treatments": listed("treatments"),
+        "qualifications": text.empty_to_null(F.concat_ws(" ", words("qualifications"), words("training"))),
+        "memberships": listed("memberships"),
+        "clinical_interests": listed("clinical_interests"),
+        "languages": listed("languages"),
+        "hospitals": listed("hospitals"),
+        "fee_assured": F.when(F.exists("o.marks", lambda m: m.contains("not-fee-assured")), False).when(F.exists("o.marks", lambda m: m.contains("fee-assured")), True),
+        "phones": F.array_distinct(tel),
+        "emails": F.array_distinct(mail),
+        "websites": F.array_distinct(sites),
+        "badges": F.array_distinct(F.transform(F.filter("o.images", lambda i: F.lower(i.alt).contains(badge)), lambda i: i.alt)),
+    }
+    mapped = F.array_distinct(F.transform(F.array(*[F.lit(h) for hs in RIVAL_HEADINGS.values() for h in hs]), text.section_key))
+    return p.select(*kept, *[v.alias(k) for k, v in fields.items()], "sections", F.array_except(F.map_keys("sections"), mapped).alias("unmapped"))

@@ -50,3 +50,14 @@ def booking_prices(responses: DataFrame, column: str = "body") -> DataFrame:
     one = F.array(F.from_json(column, "struct<price:string>"))
     prices = F.transform(F.when(F.ltrim(F.col(column)).startswith("["), many).otherwise(one), lambda x: x.price.try_cast("double"))
     return responses.select("practitioner_id", F.array_min(prices).alias("price")).groupBy("practitioner_id").agg(F.min("price").alias("price"))
+
+
+# Image types by file ending.
+IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif"}
+
+
+def photos(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, mime, bytes) of a folder of images; other files are left out."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.([A-Za-z]+)$", 1).alias("slug"), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("kind"), F.col("content").alias("bytes"))
+    mime = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in IMAGE_TYPES.items()])
+    return files.select("slug", mime.alias("mime"), "bytes").where("mime is not null")

@@ -78,7 +78,7 @@ def copy_run(spark: SparkSession, source: str, target: str, run_id: str) -> None
 
 
 def truncate(spark: SparkSession, path: str) -> None:
-    spark.read.parquet(path).limit(0).write.mode("overwrite").parquet(path + ".empty")
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
