@@ -37,6 +37,11 @@ def newest(df: DataFrame, key: Column, time: str, tie: str) -> DataFrame:
     return df.where(key).orderBy(F.desc(time), tie)
 
 
+def newest_first(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """All rows with their place among their key's, newest first."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), tie)))
+
+
 def largest_images(images: DataFrame, most: int = 3) -> DataFrame:
     """Each slug's images of the greatest area; unknown sides count 0."""
     area = F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))

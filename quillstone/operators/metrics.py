@@ -139,6 +139,7 @@ def _actions(scored: DataFrame, points: dict[str, tuple[str, float]]) -> DataFra
 
 
 def quick_actions(scored: DataFrame, most: int = 5) -> DataFrame:
+    # Labels and points.
     points = {
         "missing_photos": ("Add profile photos", 10), "missing_bios": ("Write missing biographies", 15), "thin_bios": ("Expand thin biographies", 10),
         "missing_qualifications": ("Add qualifications and credentials", 10), "missing_insurers": ("List accepted insurers", 8), "missing_times": ("Add consultation times", 7),
@@ -147,6 +148,7 @@ def quick_actions(scored: DataFrame, most: int = 5) -> DataFrame:
 
 
 def action_centre(scored: DataFrame) -> DataFrame:
+    # Labels and points.
     points = {
         "missing_photos": ("Add missing photos", 10), "bio_needs_expansion": ("Expand thin/missing biographies", 12.5), "missing_insurers": ("List accepted insurers", 8),
         "missing_times": ("Add consultation times", 7), "missing_qualifications": ("Add qualifications and credentials", 10), "missing_memberships": ("Add professional memberships", 5),

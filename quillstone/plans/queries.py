@@ -301,12 +301,11 @@ def narrative(spark, sf_dir):
     return metrics.narrative(run(spark, sf_dir))
 
 
-@query(_ALL + f"SELECT slug, CASE WHEN score > m THEN 'above' WHEN score < m THEN 'below' ELSE 'equal' END AS standing FROM (SELECT slug, score, unnest(specialty_primary) AS x FROM t) s JOIN (SELECT x, {_MEAN('score')} AS m FROM (SELECT score, unnest(specialty_primary) AS x FROM t) GROUP BY x) USING (x) WHERE x IN ('en', 'fr', 'de', 'es')")
+@query(_ALL + f"SELECT slug, x, CASE WHEN score > m THEN 'above' WHEN score < m THEN 'below' ELSE 'equal' END AS standing FROM (SELECT slug, score, unnest(specialty_primary) AS x FROM t) s JOIN (SELECT x, {_MEAN('score')} AS m FROM (SELECT score, unnest(specialty_primary) AS x FROM t) GROUP BY x) USING (x)")
 def specialty_standing(spark, sf_dir):
     scored = run(spark, sf_dir).select("slug", "score", F.explode("specialty_primary").alias("x"))
     means = scored.groupBy("x").agg(half_up(F.avg("score"), 1).alias("m"))
-    out = scored.join(means, "x").where(F.col("x").isin("en", "fr", "de", "es"))
-    return out.select("slug", F.when(F.col("score") > F.col("m"), "above").when(F.col("score") < F.col("m"), "below").otherwise("equal").alias("standing"))
+    return scored.join(means, "x").select("slug", "x", F.when(F.col("score") > F.col("m"), "above").when(F.col("score") < F.col("m"), "below").otherwise("equal").alias("standing"))
 
 
 @query(_ALL + "SELECT count(*) FILTER (has_photo) AS photo, count(about_text) AS about, count(*) FILTER (price > 200) AS dear, count(*) FILTER (site IS NULL AND about_text IS NULL) AS anomalies FROM p")
@@ -516,9 +515,9 @@ def page_headings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(text.normalise(h1), F.lit("")).alias("heading"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(m, lambda x, i: len(list_filter(m[1:i - 1], lambda y: lower(y) = lower(x))) = 0), '|') AS words FROM (SELECT doc_id, list_slice(string_split(text, ' '), 1, 30) AS m FROM documents)")
+@query("SELECT item_id, array_to_string(list_filter(m, lambda x, i: len(list_filter(m[1:i - 1], lambda y: lower(y) = lower(x))) = 0), '|') AS words FROM (SELECT item_id, string_split(text, ' ') AS m FROM benchmark)")
 def distinct_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(arrays.distinct_ci(F.slice(F.split("text", " "), 1, 30)), "|").alias("words"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(arrays.distinct_ci(F.split("text", " ")), "|").alias("words"))
 
 
 @query("SELECT page_id, length(x) > 0 AS has_text, substr(x, 1, 3000) AS snippet FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM pages)")
@@ -566,13 +565,13 @@ def event_windows(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
-UNION ALL SELECT -o_orderkey, NULL, o_totalprice + 1 FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 3 = 0 AND o_orderkey > 0"""
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
+UNION ALL SELECT -o_orderkey - 1, NULL, o_totalprice + 1 FROM orders WHERE o_orderstatus = 'P'"""
 )
 def merge_upsert(spark, sf_dir):
-    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    tenth = old.where("o_orderkey % 10 = 0")
-    delta = tenth.union(tenth.where("o_orderkey % 3 = 0 AND o_orderkey > 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+    orders = table(spark, sf_dir, "orders")
+    old, pending = orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    delta = pending.union(pending.withColumn("o_orderkey", -F.col("o_orderkey") - 1))
     delta = delta.select("o_orderkey", F.lit(None).cast("string").alias("o_orderpriority"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.array(F.lit("o_orderpriority"), F.lit("o_totalprice")).alias("changed"))
     return snapshots.merge(old, delta, ["o_orderkey"])
 
@@ -637,9 +636,9 @@ def links_by_confidence(spark, sf_dir):
     return desk.by_confidence(links, 25).select(F.floor(F.col("slug") / 100).alias("slug"), (F.col("slug") % 100).cast("int").alias("line"), "flag")
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn DESC")
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS INT) AS place FROM conversations")
 def newest_children(spark, sf_dir):
-    return desk.newest(table(spark, sf_dir, "conversations"), F.col("conv_id") == 3, "turn", "role").select("conv_id", "turn", "role")
+    return desk.newest_first(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "role", "place")
 
 
 @query(_PAIRS + ", ".join(["SELECT " + _UP("100.0 * count(*) FILTER (ra - ha > 2) / greatest(count(*), 1)") + " AS rival_better_pct", _UP("100.0 * count(*) FILTER (ra - ha < -2) / greatest(count(*), 1)") + " AS home_better_pct", _UP("100.0 * count(*) FILTER (abs(ra - ha) <= 2) / greatest(count(*), 1)") + " AS ties_pct FROM l"]))
@@ -659,10 +658,10 @@ def element_contents(spark, sf_dir):
     return p.select("run_id", "slug", desk.element_content(F.lit("memberships")).alias("memberships"), desk.element_content(F.lit("qualifications")).alias("qualifications"))
 
 
-@query("SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: len(list_filter(a, lambda y: lower(y) = lower(x))) = 0)), '|') AS words FROM (SELECT doc_id, list_slice(string_split(text, ' '), 1, 8) AS a, list_slice(string_split(text, ' '), 9, 20) AS b FROM documents)")
+@query("SELECT p_partkey, array_to_string(list_concat(a, list_filter(b, lambda x: len(list_filter(a, lambda y: lower(y) = lower(x))) = 0)), '|') AS words FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(concat(upper(p_name), ' ', p_type), ' ') AS b FROM part)")
 def merged_words(spark, sf_dir):
-    words = F.split("text", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(arrays.merged_ci(F.slice(words, 1, 8), F.slice(words, 9, 12)), "|").alias("words"))
+    names, types = F.split("p_name", " "), F.split(F.concat(F.upper("p_name"), F.lit(" "), "p_type"), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(arrays.merged_ci(names, types), "|").alias("words"))
 
 
 def tool(name: str):

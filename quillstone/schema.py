@@ -47,7 +47,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("GMC %07d", i).alias("registration_number"),
         F.array("lang", "source").alias("specialty_primary"),
         F.array().cast("array<string>").alias("specialty_sub"),
-        F.when(i % 7 != 0, F.substring("text", 1, 80)).alias("qualifications"),
+        F.when(i % 7 != 0, F.concat("lang", F.lit(" diploma, "), "source")).alias("qualifications"),
         F.when(i % 11 != 0, F.col("text")).alias("about_text"),
         (F.col("toxic") == 0).alias("has_photo"),
         F.when(i % 11 == 0, "missing").when(n <= 300, "thin").when(n <= 1000, "adequate").otherwise("substantive").alias("bio_depth"),
@@ -68,7 +68,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILES_SQL = """
 SELECT concat('run-', d.doc_id % 2) AS run_id, concat('p-', d.doc_id // 2) AS slug, concat('Dr ', split_part(d.text, ' ', 1), ' ', d.lang) AS name,
   CASE WHEN d.doc_id % 17 <> 0 THEN d.source END AS site, 'GMC ' || lpad(d.doc_id::VARCHAR, 7, '0') AS registration_number, [d.lang, d.source] AS specialty_primary,
-  CASE WHEN d.doc_id % 7 <> 0 THEN substr(d.text, 1, 80) END AS qualifications, CASE WHEN d.doc_id % 11 <> 0 THEN d.text END AS about_text,
+  CASE WHEN d.doc_id % 7 <> 0 THEN concat(d.lang, ' diploma, ', d.source) END AS qualifications, CASE WHEN d.doc_id % 11 <> 0 THEN d.text END AS about_text,
   l.toxic = 0 AS has_photo,
   CASE WHEN d.doc_id % 11 = 0 THEN 'missing' WHEN d.n_chars <= 300 THEN 'thin' WHEN d.n_chars <= 1000 THEN 'adequate' ELSE 'substantive' END AS bio_depth,
   CASE WHEN d.doc_id % 13 <> 0 THEN CAST(1 + d.n_chars % 5 AS INT) END AS plain_english_score,
