@@ -193,7 +193,8 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, tree_rows: int = 51
     linked = member.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "rep")
     named = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(named, "root").select(F.col("fp").alias("lfp"), "least")
-    whole = fps.join(linked, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("wfp"), F.coalesce("least", "rep").alias("component_id"))
+    # a table of its own, so that Spark can cut a hot fingerprint's side of the join
+    whole = stored(fps.join(linked, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("wfp"), F.coalesce("least", "rep").alias("component_id")), "named")
     return prints.join(whole, F.col("fp") == F.col("wfp")).select("doc_id", "fp", "component_id")
 
 
