@@ -2,9 +2,9 @@
 
 Each source's documents, in a hashed order, are cut into blocks of `block_bytes` bytes. Block k of a
 source of weight w (weights sum to 1) is released at slot floor(k / w) and due at slot ceil((k + 1) / w);
-at each slot the released block with the earliest deadline goes next. Until a source with a
-target runs out, every source is within one block of its share at every slot. There the mixture ends:
-what is left over of the other sources is not in it. Blocks are counted, not collected: the
+at each slot the released block with the earliest deadline goes next. A source that runs out leaves its
+share to the others in the ratio of their weights, so the mixture has every block, and at every slot every source is
+within one block of its share. Blocks are counted, not collected: the
 schedule is made from each source's number of blocks (at most about `most_blocks` in all), and rows get their
 slot by a join on (source, block).
 
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from fractions import Fraction
+from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,28 +28,46 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import running, table
 
 
-def pfair(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) by earliest deadline first, until a source that is due has no block left."""
-    exact = {s: Fraction(w).limit_denominator(1_000_000) for s, w in weights.items() if w > 0}
-    whole = sum(exact.values())
-    exact = {s: w / whole for s, w in exact.items()}
-    out, ready, waiting = [], [], []
+def whole_plan(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block of the weighted sources, by earliest deadline first.
+
+    In virtual time v a source of weight w has had min(blocks, w v) blocks; the sum over all sources is the slot. So one that runs out
+    leaves its share to the others, and the windows are those of the even flow: they always can be met.
+    """
+    most = sum(w for s, w in weights.items() if w > 0)
+    exact = {s: max(1, round(w / most * 10**12)) for s, w in weights.items() if w > 0 and blocks.get(s, 0) > 0}
+    ends = sorted((Fraction(blocks[s], w), blocks[s], w) for s, w in exact.items())
+    at = [e for e, _, _ in ends]
+    done = [0, *accumulate(n for _, n, _ in ends)]
+    left = [sum(exact.values()) - gone for gone in (0, *accumulate(w for _, _, w in ends))]
+
+    def flow(k: int, w: int) -> int:
+        """w times the slot at virtual time k / w."""
+        i = bisect_left(at, Fraction(k, w))
+        return done[i] * w + k * left[i]
+
+    jobs = []
     for s, w in exact.items():
-        heapq.heappush(waiting, (0, s, 0))
-    for slot in range(sum(blocks.get(s, 0) for s in exact)):
-        while waiting and waiting[0][0] <= slot:
-            release, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((k + 1) / exact[s]), s, k, release))
-        if not ready:
-            continue
+        slots = [flow(k, w) for k in range(blocks[s] + 1)]
+        jobs += [(a // w, -(-b // w), s, k) for k, (a, b) in enumerate(pairwise(slots))]
+    jobs.sort(reverse=True)
+    out, ready = [], []
+    for slot in range(len(jobs)):
+        while jobs and jobs[-1][0] <= slot:
+            release, deadline, s, k = jobs.pop()
+            heapq.heappush(ready, (deadline, s, k, release))
         deadline, s, k, release = heapq.heappop(ready)
-        if k >= blocks.get(s, 0):
-            break
         out.append((s, k, release, deadline, slot))
-        heapq.heappush(waiting, (math.floor((k + 1) / exact[s]), s, k + 1))
     return out
 
 
+def pfair(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int]]:
+    """The slots of whole_plan() in which every weighted source still gets its given share."""
+    most = sum(w for w in weights.values() if w > 0)
+    lasting = min((math.floor(blocks.get(s, 0) * most / w + 1e-9) for s, w in weights.items() if w > 0), default=0)
+    return whole_plan(blocks, weights)[:lasting]
+
+
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None, most_blocks: int = 4_000, most_sources: int = 10_000) -> DataFrame:
     """One row a document: doc_id, source, bytes, block, and release, deadline, slot, or nulls where its block is not in the mixture."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long").alias("bytes"))
@@ -63,7 +83,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     before = running(rows, "source", ["spread", "doc_id", "bytes"], F.col("bytes"))
     rows = before.withColumn("block", F.floor(F.col("before") / block_bytes).cast("long"))
     # the last block of a source may be short; a block that one document overflows leaves its next places empty
-    plan = pfair({s: -(-b // block_bytes) for s, b in sizes.items()}, weights)
+    plan = whole_plan({s: -(-b // block_bytes) for s, b in sizes.items()}, weights)
     slots = docs.sparkSession.createDataFrame(plan, "s string, k long, release long, deadline long, slot long")
     out = rows.join(F.broadcast(slots), (F.col("source") == F.col("s")) & (F.col("block") == F.col("k")), "left")
     return out.select("doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept"))

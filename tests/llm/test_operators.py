@@ -182,6 +182,33 @@ def test_pfair_stays_within_one_block():
     assert mixing.pfair({}, {}) == [] and mixing.pfair({"a": 3}, {"a": 1.0, "b": 0}) == [("a", k, k, k + 1, k) for k in range(3)]
 
 
+def test_a_source_that_runs_out_leaves_its_share():
+    """Every block gets a slot, and at every slot every source is within one block of what an even flow gives it."""
+    blocks = {"hot": 1320, "tiny": 1} | {f"s{i}": 200 + 37 * i for i in range(10)}
+    weights = {s: n**0.7 for s, n in blocks.items()} | {"absent": 40.0, "none": 0.0}
+    plan = mixing.whole_plan(blocks, weights)
+    assert sorted(p[:2] for p in plan) == sorted((s, k) for s, n in blocks.items() for k in range(n))
+    assert [p[4] for p in plan] == list(range(len(plan))) and all(release <= slot < deadline for _, _, release, deadline, slot in plan)
+    seen, flow = Counter(), dict.fromkeys(blocks, 0.0)
+    for s, *_ in plan:
+        seen[s] += 1
+        slot = 1.0
+        while slot > 1e-9:  # the flow of one slot, in steps up to the next source's end
+            active = [x for x in blocks if blocks[x] - flow[x] > 1e-9]
+            whole = sum(weights[x] for x in active)
+            step = min([slot] + [(blocks[x] - flow[x]) * whole / weights[x] for x in active])
+            for x in active:
+                flow[x] += step * weights[x] / whole
+            slot -= step
+        assert all(abs(seen[x] - flow[x]) < 1 + 1e-6 for x in blocks)
+
+
+def test_mixing_keeps_every_row(spark):
+    df = documents(spark, [(i, "word " * 20, "en", "small" if i < 3 else "hot") for i in range(300)] + [(900, None, None, None)])
+    assert mixing.schedule(df, block_bytes=200).where("kept").count() == 301
+    assert sorted(r.doc_id for r in mixing.mix(df, block_bytes=200).collect()) == [*range(300), 900]
+
+
 def test_mixing(spark, odd):
     got = mixing.schedule(odd, {"a": 0.5, "b": 0.25, "c": 0.25}, block_bytes=60).collect()
     assert len(got) == odd.count() and all(g.source in "abc" for g in got if g.kept) and any(g.kept for g in got)
