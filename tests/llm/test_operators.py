@@ -209,6 +209,16 @@ def test_mixing_keeps_every_row(spark):
     assert sorted(r.doc_id for r in mixing.mix(df, block_bytes=200).collect()) == [*range(300), 900]
 
 
+def test_mixing_of_many_sources(spark):
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 20).alias("text"), F.when(F.col("id") < 11_000, F.concat(F.lit("host"), "id")).otherwise("hot").alias("source"))
+    got = mixing.schedule(df, block_bytes=6000).toPandas()
+    assert len(got) == 12_000 and got["kept"].all() and got["source"].nunique() == 11_001
+    sizes = got.groupby("slot")["bytes"].sum()
+    assert sizes.max() < 6000 + 60 and (got.groupby("source")["slot"].nunique().drop("hot") == 1).all()
+    some = mixing.schedule(df, {"hot": 1.0, "host1": 0.5, "host2": 0.5}, block_bytes=6000).where("kept").toPandas()
+    assert len(some) == 1002 and set(some["source"]) == {"hot", "host1", "host2"}
+
+
 def test_mixing(spark, odd):
     got = mixing.schedule(odd, {"a": 0.5, "b": 0.25, "c": 0.25}, block_bytes=60).collect()
     assert len(got) == odd.count() and all(g.source in "abc" for g in got if g.kept) and any(g.kept for g in got)
