@@ -433,6 +433,20 @@ def test_near_copies(spark, odd):
     assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(got)
 
 
+def test_near_copies_of_one_template(spark, monkeypatch):
+    """Pairs just above 0.8 among texts of one template at 0.75, whose distances by sketch overlap."""
+    template, rows = " ".join(f"t{i}" for i in range(104)), []
+    for i in range(120):
+        own = [f"o{i}x{k}" for k in range(17)]
+        if i % 3 == 1:
+            own[:5] = [f"o{i - 1}x{k}" for k in range(5)]
+        rows.append((i, f"{template} {' '.join(own)}", "en", "a"))
+    # every group is cut, and neither tables nor radii lose a pair
+    monkeypatch.setattr(near_copies.candidates, "__defaults__", (12, 1, 64, 256, 1, 50))
+    got = {r.doc_id: r.class_id for r in near_copies.groups(documents(spark, rows)).collect()}
+    assert got == {i: i - (i % 3 == 1) for i in range(120)}
+
+
 # ---- 8
 
 
