@@ -6,6 +6,8 @@ Within an element of a rewrite, in the order given, a fact gathers the later fac
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,19 @@ SCHEMA = "rewrite_id string, element string, fact string, confidence string, sou
 
 
 def _stars(rows: list[tuple], least: float) -> list[tuple]:
-    words, taken, out = [set(r[-1]) for r in rows], set(), []
+    words, taken, out, later = [set(r[-1]) for r in rows], set(), [], defaultdict(list)
+    for i in reversed(range(len(rows))):
+        for w in words[i]:
+            later[w].append(i)
     for i, (_, _, source, url, fact, confidence, _) in enumerate(rows):
+        for w in words[i]:
+            later[w].pop()  # itself: each word's facts after this one are left
         if i in taken:
             continue
         star = [(SURE.get(confidence, 3), fact, confidence, source, url)]
-        for j in range(i + 1, len(rows)):
-            if j not in taken and rows[j][3] != url and words[i] and words[j] and len(words[i] & words[j]) >= least * len(words[i] | words[j]):
+        shared = Counter(j for w in words[i] for j in later[w])
+        for j in sorted(shared):
+            if j not in taken and rows[j][3] != url and shared[j] >= least * (len(words[i]) + len(words[j]) - shared[j]):
                 taken.add(j)
                 star.append((SURE.get(rows[j][5], 3), rows[j][4], rows[j][5], rows[j][2], rows[j][3]))
         _, fact, confidence, _, _ = min(star, key=lambda r: r[0])

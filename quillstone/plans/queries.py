@@ -458,10 +458,9 @@ def fuzzy_match(spark, sf_dir):
 
 @query()
 def corroborate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    lines = docs.select(F.col("doc_id"), "source", F.posexplode(F.split("text", r"[.\n]")).alias("fact_ord", "fact")).where(F.length("fact") > 20)
-    facts = lines.select(F.sha1(F.array_join(F.sort_array(text.fact_words(F.col("fact"))), " ")).substr(1, 8).alias("rewrite_id"), F.col("doc_id").alias("source_ord"), "fact_ord", F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("url"), F.lit("bio").alias("element"), "fact", F.lit("medium").alias("confidence"))
-    return corroboration.corroborate(facts.groupBy("rewrite_id", "element", "url").agg(*[F.min(c).alias(c) for c in ("source_ord", "fact_ord", "source_id", "fact", "confidence")]))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"[.\n]")).alias("fact_ord", "fact")).where(F.trim("fact") != "")
+    address = F.format_string("conversation/%d/turn/%d", "conv_id", "turn")
+    return corroboration.corroborate(turns.select(F.col("conv_id").cast("string").alias("rewrite_id"), F.col("turn").alias("source_ord"), "fact_ord", F.col("turn").cast("string").alias("source_id"), address.alias("url"), F.lit("bio").alias("element"), "fact", F.lit("medium").alias("confidence")))
 
 
 # ---- text

@@ -59,3 +59,20 @@ def test_entry_module(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_facts_that_differ_are_corroborated(spark, tmp_path):
+    turns = [
+        (1, 0, "user", "Leads knee surgery unit. Plays chess on sundays"),
+        (1, 1, "assistant", "leads large knee surgery unit.\n\nWrote four books. Ski"),
+        (1, 2, "user", "Plays chess most sundays. Plays chess on sundays"),
+        (2, 0, "user", "Leads knee surgery unit"),
+        (2, 1, "user", None),
+    ]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(c, f"src{t}", x) for c, t, _, x in turns], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["corroborate"](spark, str(tmp_path)).collect()
+    # a fact gathers the later ones of other turns that share 0.4 of the words, also two of one turn
+    want = {("1", "Leads knee surgery unit"): ["0", "1"], ("1", "Plays chess on sundays"): ["0", "2"], ("1", "Wrote four books"): ["1"], ("1", "Ski"): ["1"], ("2", "Leads knee surgery unit"): ["0"]}
+    assert {(r.rewrite_id, r.fact.strip()): r.source_ids for r in got} == want and len(got) == len(want)
+    assert all(r.corroborated == (len(r.source_ids) > 1) for r in got)

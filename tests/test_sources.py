@@ -1,6 +1,7 @@
 """Readers, writers, snapshots, matching and streams on small fixtures."""
 
 import gzip
+import random
 
 from pyspark.sql import functions as F
 
@@ -105,6 +106,19 @@ def test_links(spark):
     assert [(r.slug, r.rival_id, r.match_confidence, r.match_method) for r in kept] == [("a", "1", "high", "number_match")]
 
 
+def test_stars_are_those_of_all_pairs():
+    rng = random.Random(4)
+    rows = [("r", "bio", f"s{i}", f"u{rng.randint(0, 5)}", f"f{i}", rng.choice(["high", "medium", "low", None]), [f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 6))]) for i in range(300)]
+    taken, want = set(), []
+    for i, r in enumerate(rows):
+        if i not in taken:
+            x = set(r[-1])
+            alike = [j for j in range(i + 1, 300) if j not in taken and rows[j][3] != r[3] and x & set(rows[j][-1]) and len(x & set(rows[j][-1])) >= 0.4 * len(x | set(rows[j][-1]))]
+            taken.update(alike)
+            want.append([r[2], *(rows[j][2] for j in alike)])
+    assert [star[2] for star in corroboration._stars(rows, 0.4)] == want and taken
+
+
 def test_corroboration(spark):
     facts = [{"element": "bio", "fact": "Leads knee surgery unit", "confidence": "low"}, {"element": "bio", "fact": "plays chess", "confidence": "high"}]
     other = [{"element": "bio", "fact": "leads the knee surgery unit!", "confidence": "high"}]
