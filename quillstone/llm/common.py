@@ -47,6 +47,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """texts() with `raw`, the text's hash: (doc_id, raw) tells apart texts that share a doc_id or have none."""
+    return texts(docs).withColumn("raw", F.xxhash64("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs`, all columns, without the texts in `gone` (doc_id, raw) and with one of rows that repeat both (any one, should they differ in other columns)."""
+    left = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__raw"))
+    twice = left.groupBy("__id", "__raw").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__id").alias("__i"), F.col("__raw").alias("__r"))
+    gone = gone.select(F.col("doc_id").alias("__i"), F.col("raw").alias("__r")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__raw") == F.col("__r"))
+    twice = stored(twice, "repeats")
+    if twice.isEmpty():
+        return left.join(gone.hint("shuffle_hash"), same, "left_anti").select("__row.*")
+    both = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__i", "__r")]
+    once = left.join(twice.alias("a").join(gone.alias("b"), both, "left_anti"), same, "left_semi").dropDuplicates(["__id", "__raw"])
+    out = left.join(gone.union(twice).hint("shuffle_hash"), same, "left_anti").union(once)
+    return out.select("__row.*")
+
+
 def dealt(df: DataFrame, rows_each: int, *keys) -> DataFrame:
     """Spread over about one partition for each `rows_each` rows, by `keys`."""
     return df.repartition(max(1, math.ceil(df.count() / rows_each)), *keys)

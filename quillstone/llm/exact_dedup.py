@@ -9,8 +9,9 @@ map-side aggregation and never meets in one task. Groups in which a place has tw
 different chunks (collisions) are split by their whole texts.
 
 Nulls count as empty texts. A null doc_id never names a group that has another. Rows that repeat both
-doc_id and text share one verdict and count in group_size. An empty table gives an empty result.
-Extra input columns are ignored.
+doc_id and text share one verdict and count in group_size; `deduplicate` keeps one of them. Very long texts
+are hashed and compared by chunks. An empty table gives an empty result.
+Extra input columns are ignored by `verdicts` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, stored, table, texts
+from quillstone.llm.common import ascii_lower, keyed_texts, stored, table, without
 
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 CHUNK = 1 << 16
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
             longs = [pa.array(v, pa.int64()) for v in (n, h1, h2)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), *longs, pa.array(sha, pa.string())], ["doc_id", "raw", "n_bytes", "h1", "h2", "text_sha256"])
 
-    return texts(docs).withColumn("raw", F.xxhash64("text")).select("doc_id", "text", "raw").mapInArrow(run, schema)
+    return keyed_texts(docs).mapInArrow(run, schema)
 
 
 def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -88,7 +89,7 @@ def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     groups = stored(prints.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1"), "groups")
     members = stored(prints.join(groups, KEY).select("doc_id", "raw", *KEY).distinct(), "members")
     same = F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.raw") == F.col("t.raw"))
-    whole = texts(docs).withColumn("raw", F.xxhash64("text")).alias("t").join(members.hint("shuffle_hash").alias("m"), same).select("m.doc_id", "m.raw", *[f"m.{k}" for k in KEY], ascii_lower("text").cast("binary").alias("body"))
+    whole = keyed_texts(docs).alias("t").join(members.hint("shuffle_hash").alias("m"), same).select("m.doc_id", "m.raw", *[f"m.{k}" for k in KEY], ascii_lower("text").cast("binary").alias("body"))
     at = F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n_bytes"), F.lit(1)) / chunk_bytes).cast("int") - 1))
     places = whole.select(*KEY, "body", at.alias("at")).select(*KEY, "at", F.expr(f"substring(body, at * {chunk_bytes} + 1, {chunk_bytes})").alias("part"))
     split = stored(places.groupBy(*KEY, "at").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select(*KEY).distinct(), "collisions")
@@ -105,10 +106,12 @@ def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
-    """`docs`, all columns, with the row of the largest doc_id of each group of equal texts."""
-    gone = verdicts(docs, chunk_bytes).where("not kept").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).distinct()
-    raw = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (raw == F.col("__raw")), "left_anti")
+    """`docs`, all columns, with one row of the largest doc_id of each group of equal texts."""
+    of = verdicts(docs, chunk_bytes)
+    # texts that differ in case may share the doc_id that stays: the one of the least hash does
+    kept = of.where("kept").groupBy("doc_id", "text_sha256").agg(F.min("raw").alias("raw"), F.max("raw").alias("other")).where("raw <> other")
+    twice = of.join(kept.select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("raw").alias("k_raw")), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_sha256") == F.col("k_sha"))).where("raw <> k_raw")
+    return without(docs, of.where("not kept").select("doc_id", "raw").union(twice.select("doc_id", "raw")))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,27 +4,32 @@ Fingerprint: whole text with A-Z lowered, words `[^\\x20\\x09-\\x0D]+`, shingles
 repeats, space-joined; a bit of the 64 is 1 if set in more than half the shingles' XXH64 values (seed 42).
 Fewer words than `width`: one shingle of them all; no word: fingerprint zero.
 
-Distinct fingerprints link at `radius` or fewer differing bits. Two such agree on at least one of
-radius + 1 bit bands, so a shard is the fingerprints of one band value. Shards of more than `tree_rows`
+Distinct fingerprints link at `radius` or fewer differing bits. Of p pieces of the bits two such agree on p - radius
+at least, so there is a table for each choice of so many pieces, and a shard is the fingerprints that have the
+same bits there; p grows with the number of fingerprints (4 up to four million at a radius of 3), so that shards stay small. Shards of more than `tree_rows`
 are cut into blocks and every pair of blocks is searched, so no task holds more than two blocks. A
 task builds BK-trees for its shards (children keyed by the Hamming distance to their parent) and
-each fingerprint follows only the edges within the radius of its distance. Found links leave
+each fingerprint follows only the edges within the radius of its distance. Trees are built where a shuffle brings a shard together, not
+broadcast: a broadcast of all shards' trees would grow with the input. Found links leave
 a task as spanning edges, never as all pairs. Components come from alternating large-star and
 small-star rounds over tables in the shared folder.
 
 Null texts count as empty, and all texts without a word are linked. A null doc_id gets the component of its
-fingerprint and never names one. Rows that repeat get equal rows. An empty table gives an empty result.
-Extra input columns are ignored.
+fingerprint and never names one that has another. Rows that repeat get equal rows in `groups`, and one of them is kept by `deduplicate`, which tells rows apart by
+doc_id and text. Very long texts are hashed one at a time. An empty table gives an empty result.
+Extra input columns are ignored by `groups` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import stored, table, texts
+from quillstone.llm.common import keyed_texts, stored, table, without
 
 SEED = 42
 
@@ -50,14 +55,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp has the 64 bits as a long."""
+    """(doc_id, raw, fp): fp has the 64 bits as a long."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(x.as_buffer().to_pybytes(), width) for x in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "raw", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, raw long, fp long")
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,13 +153,20 @@ def whole_shards(batches, shard: list[str], columns: list[str], most_pairs: int
         yield from cut(kept, np.zeros(len(kept[shard[0]]), np.int64))
 
 
+def tables(n: int, radius: int, tree_rows: int) -> list[int]:
+    """Masks of the bits that name a shard in each table: the fewest pieces of which some stay equal, with keys wide enough that n random fingerprints share them a few at a time."""
+    for pieces in range(radius + 1, 65):
+        cut = [64 * i // pieces for i in range(pieces + 1)]
+        masks = [sum(((1 << (cut[i + 1] - cut[i])) - 1) << cut[i] for i in some) for some in combinations(range(pieces), pieces - radius)]
+        if n <= tree_rows // 8 << min(m.bit_count() for m in masks) or pieces >= radius + 5:
+            return masks
+
+
 def links(fps: DataFrame, radius: int = 3, tree_rows: int = 512) -> DataFrame:
     """(a, b): edges over the column `fp` of distinct fingerprints, whose components are those of all links."""
-    bands = radius + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    cuts = [F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(bands)]
-    banded = fps.select("fp", F.posexplode(F.array(*cuts)).alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / tree_rows).cast("int").alias("blocks"))
+    masks = [m - (1 << 64) if m >> 63 else m for m in tables(fps.count(), radius, tree_rows)]
+    banded = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "key"))
+    sizes = stored(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / tree_rows).cast("int").alias("blocks")), "shards")
     placed = banded.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = placed.select("band", "key", "fp", "block", other).select("band", "key", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -184,24 +196,29 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(docs: DataFrame, width: int = 3, radius: int = 3, tree_rows: int = 512) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id that links reach."""
+def classes(docs: DataFrame, width: int = 3, radius: int = 3, tree_rows: int = 512) -> DataFrame:
+    """(doc_id, raw, fp, keep_id, keep_raw): of each text, told apart by doc_id and its hash, the first text of its component."""
     prints = stored(fingerprints(docs, width), "simhash")
-    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    stars = components(links(fps, radius, tree_rows))
-    member = stars.union(stars.select("root", "root").distinct())
-    linked = member.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "rep")
-    named = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = linked.join(named, "root").select(F.col("fp").alias("lfp"), "least")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("k")
+    fps = stored(prints.groupBy("fp").agg(first), "distinct")
+    stars = components(links(fps.select("fp"), radius, tree_rows))
+    linked = fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "k", F.coalesce("root", "fp").alias("class"))
+    named = stored(linked.groupBy("class").agg(F.min("k").alias("best")), "component-names")
     # a table of its own, so that Spark can cut a hot fingerprint's side of the join
-    whole = stored(fps.join(linked, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("wfp"), F.coalesce("least", "rep").alias("component_id")), "named")
-    return prints.join(whole, F.col("fp") == F.col("wfp")).select("doc_id", "fp", "component_id")
+    whole = stored(linked.join(named, "class").select(F.col("fp").alias("wfp"), F.col("best").alias("k")), "named")
+    return prints.join(whole, F.col("fp") == F.col("wfp")).select("doc_id", "raw", "fp", F.col("k.doc_id").alias("keep_id"), F.col("k.raw").alias("keep_raw"))
+
+
+def groups(docs: DataFrame, width: int = 3, radius: int = 3, tree_rows: int = 512) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id that links reach."""
+    return classes(docs, width, radius, tree_rows).select("doc_id", "fp", F.col("keep_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """`docs`, all columns, with the document of the least doc_id of each component."""
-    gone = groups(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """`docs`, all columns, with one row of each component: one with its least doc_id (of several texts there, that of the least hash)."""
+    of = classes(docs, width, radius)
+    gone = of.where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw")))).select("doc_id", "raw")
+    return without(docs, gone)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,18 +405,17 @@ def test_forest_finds_every_link():
     assert set(zip(a.tolist(), b.tolist())) == near and len(near) > 300
 
 
-def test_near_copies(spark, odd):
-    """Classes are the components of exact similarity, in dense groups of near copies too."""
-    rng = random.Random(6)
-    base = [[f"w{rng.randint(0, 400)}" for _ in range(120)] for _ in range(3)]
-    rows = []
-    for i in range(240):  # chains and balls: each changes a few words of a base or of the text before
-        words = list(base[i % 3])
-        for _ in range(rng.randint(0, 4)):
-            words[rng.randrange(120)] = f"x{rng.randint(0, 9)}"
-        rows.append((1000 + i, " ".join(words), "en", "a"))
-    docs = odd.unionByName(documents(spark, rows))
-    sets = {r.doc_id: set(near_copies.shingle_set((r.text or "").encode(), 5).tolist()) for r in docs.where("doc_id is not null").collect()}
+def word_sets(rows, width=5):
+    """Shingle sets of (key, text) rows as tuples of words."""
+    out = {}
+    for key, t in rows:
+        words = low(t).split()
+        out[key] = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+    return out
+
+
+def brute_classes(sets, least=0.8):
+    """The first key of each key's class, by comparing all pairs."""
     label = {i: i for i in sets}
 
     def find(i):
@@ -424,27 +423,95 @@ def test_near_copies(spark, odd):
             i = label[i]
         return i
 
-    for i in sorted(sets):
-        for j in sets:
-            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+    names = sorted(sets)
+    for x, i in enumerate(names):
+        for j in names[x + 1 :]:
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 label[b] = a
-    got = {r.doc_id: r.class_id for r in near_copies.groups(docs).collect() if r.doc_id is not None}
-    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(got)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("how", [{}, {"most": 4, "block": 2048}, {"most": 2, "block": 16}])
+def test_near_copies(spark, odd, how):
+    """Classes are the components of exact similarity, in dense groups of near copies too, whether pairs, tiles or leaders find them."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(120)] for _ in range(3)]
+    rows = []
+    for i in range(240):  # chains and balls: each changes a few words of a base or of the text before
+        words = list(base[i % 3])
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(120)] = f"x{rng.randint(0, 9)}"
+        rows.append((1000 + i, " ".join(words), "en", "a"))
+    for i in range(60):  # short texts, some with a word more than another
+        rows.append((2000 + i, " ".join(f"s{i // 2}y{k}" for k in range(8 + i % 2 + i // 20)), "en", "a"))
+    docs = odd.unionByName(documents(spark, rows))
+    want = brute_classes(word_sets((r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()))
+    got = {r.doc_id: r.class_id for r in near_copies.groups(docs, **how).collect() if r.doc_id is not None}
+    assert got == want and len(set(got.values())) < len(got) - 150
 
 
-def test_near_copies_of_one_template(spark, monkeypatch):
-    """Pairs just above 0.8 among texts of one template at 0.75, whose distances by sketch overlap."""
+def test_near_copies_of_one_template(spark):
+    """Pairs just above 0.8 among texts of one template at 0.75, whose distances by sketch overlap; in one tile, and in many."""
     template, rows = " ".join(f"t{i}" for i in range(104)), []
     for i in range(120):
         own = [f"o{i}x{k}" for k in range(17)]
         if i % 3 == 1:
             own[:5] = [f"o{i - 1}x{k}" for k in range(5)]
         rows.append((i, f"{template} {' '.join(own)}", "en", "a"))
-    # every group is cut, and neither tables nor radii lose a pair
-    monkeypatch.setattr(near_copies.candidates, "__defaults__", (12, 1, 64, 256, 1, 50))
-    got = {r.doc_id: r.class_id for r in near_copies.groups(documents(spark, rows)).collect()}
-    assert got == {i: i - (i % 3 == 1) for i in range(120)}
+    for most, block in ((128, 2048), (1, 2048), (1, 20)):
+        got = {r.doc_id: r.class_id for r in near_copies.groups(documents(spark, rows), most=most, block=block).collect()}
+        assert got == {i: i - (i % 3 == 1) for i in range(120)}
+
+
+def test_no_near_copy_is_lost_by_shared_ids(spark):
+    """Texts that share a doc_id, repeated rows and rows without doc_id are judged by their texts; one row of each class stays."""
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(3, one), (5, one + " more"), (5, two), (None, two + " more"), (None, "alone"), (7, "twice"), (7, "twice"), (None, "ghost"), (None, "ghost"), (9, one), (9, one), (2, ""), (4, None), (6, "   ")]
+    df = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    for module, stays in ((near_copies, {(3, one), (5, two), (None, "alone"), (7, "twice"), (None, "ghost")}), (simhash, None), (exact_dedup, None)):
+        out = module.deduplicate(df)
+        left = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == df.columns and len(left) == len(set(left))
+        if module is exact_dedup:
+            stays = {(9, one), (5, one + " more"), (5, two), (None, two + " more"), (None, "alone"), (7, "twice"), (None, "ghost"), (4, None), (6, "   ")}
+        if module is simhash:
+            prints = {(i, t): simhash.fingerprint(low(t)) for i, t in rows}
+            names = {k: n for n, k in enumerate(sorted(prints, key=lambda k: (k[0] is None, k[0] or 0)))}
+            label = brute_components({n: prints[k] for k, n in names.items()}, 3)
+            heads = {n for n in label.values()}
+            assert len(left) == len(heads) and {label[names[x]] for x in left} == heads
+            continue
+        empties = [x for x in left if not (x[1] or "").strip()]
+        assert set(left) - set(empties) == {x for x in stays if (x[1] or "").strip()}
+        assert empties == ([(2, "")] if module is near_copies else empties) and len(empties) == (1 if module is near_copies else 2)
+
+
+def test_bits_are_counted_right():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 254, 255, 256, 700):
+        h = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+        assert near_copies.fingerprint(h) == sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in h) * 2 > n)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(40)]
+    a, b = np.triu_indices(40, 1)
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert near_copies.common_members(sets, a, b, columns=64, step=100).tolist() == want
+
+
+def test_the_radius_loses_no_similar_pair():
+    """The chance that fingerprints of sets of similarity 0.8 differ in more than 30 bits, for the sizes that are worst."""
+
+    def differs(o, a, b):  # the chance that a majority bit differs: o members in common, a and b of their own
+        pmf = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+        total = 0.0
+        for k, p in enumerate(pmf(o)):
+            s = 2 * k - o
+            x, y = (float(pmf(n)[[2 * i - n + s > 0 for i in range(n + 1)]].sum()) for n in (a, b))
+            total += p * (x * (1 - y) + y * (1 - x))
+        return total
+
+    worst = max(differs(o, a, o // 4 - a) for o in range(1, 90) for a in range(o // 4 + 1))
+    assert sum(math.comb(64, k) * worst**k * (1 - worst) ** (64 - k) for k in range(31, 65)) < 1e-7
 
 
 # ---- 8
@@ -537,8 +604,8 @@ def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir):
         if name == "exact_dedup":
             assert len(after) == len({low(t) for t in before.values()}) == len({low(t) for t in after.values()})
         if name == "simhash":
-            sets = {i: set(near_copies.shingle_set(t.encode(), 5).tolist()) for i, t in after.items()}
-            assert not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in sets for j in sets if i < j)
+            want = brute_classes(word_sets(before.items()))
+            assert after.keys() == set(want.values())
         docs = spark.createDataFrame(out.collect(), out.schema)
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
