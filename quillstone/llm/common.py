@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_dir: str | None = None
+_scratch: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there and no executor's loss costs more than a reread."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """stored() with the table's path, for discard()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within go to a folder of their own, which is deleted at the end; yields a way to store what is to stay."""
+    outer, folder = list(_scratch), f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner, _scratch[:] = list(_scratch), outer
+        try:
+            return stored(df, name)
+        finally:
+            _scratch[:] = inner
+
+    _scratch.append(folder)
+    try:
+        yield keep
+    finally:
+        _scratch[:] = outer
+        discard(spark, folder)
 
 
 def ascii_lower(col):
@@ -67,9 +100,28 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return out.select("__row.*")
 
 
-def dealt(df: DataFrame, rows_each: int, *keys) -> DataFrame:
-    """Spread over about one partition for each `rows_each` rows, by `keys`."""
-    return df.repartition(max(1, math.ceil(df.count() / rows_each)), *keys)
+def collapsed(docs: DataFrame) -> DataFrame:
+    """keyed_texts() with rows that repeat (doc_id, text) as one, and how many they are in `copies`: so that many equal rows are not one task's work."""
+    rows = keyed_texts(docs)
+    twice = stored(rows.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_id").alias("i"), F.col("raw").alias("r"), "copies"), "repeats")
+    if twice.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("raw") == F.col("r"))
+    many = rows.join(twice, same).drop("i", "r").dropDuplicates(["doc_id", "raw"])
+    return rows.join(twice, same, "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(many)
+
+
+def sums_before(df: DataFrame, key: str, value: str, name: str, most: int = 10_000) -> DataFrame:
+    """(key, name): the sum of `value` over the rows of lesser keys. Keys are distinct longs from 0 on. No window holds more than `most` rows: larger tables are summed by ranges of keys first."""
+    df = df.select(key, value)
+    earlier = lambda w: F.coalesce(F.sum(value).over(w.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    if df.count() <= most:
+        return df.select(key, earlier(Window.partitionBy()).alias(name))
+    wide, base = f"{key}_range", f"{name}_base"  # names of their own at each level
+    cut = df.withColumn(wide, F.floor(F.col(key) / most))
+    bases = sums_before(cut.groupBy(wide).agg(F.sum(value).alias(value)), wide, value, base, most)
+    within = cut.withColumn("__in", earlier(Window.partitionBy(wide)))
+    return within.join(bases, wide).select(key, (F.col(base) + F.col("__in")).alias(name))
 
 
 def running(df: DataFrame, key: str, order: list[str], value=None, name: str = "before", rows_each: int | None = None, most_buckets: int = 50_000) -> DataFrame:

@@ -92,7 +92,9 @@ def verdicts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     whole = keyed_texts(docs).alias("t").join(members.hint("shuffle_hash").alias("m"), same).select("m.doc_id", "m.raw", *[f"m.{k}" for k in KEY], ascii_lower("text").cast("binary").alias("body"))
     at = F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n_bytes"), F.lit(1)) / chunk_bytes).cast("int") - 1))
     places = whole.select(*KEY, "body", at.alias("at")).select(*KEY, "at", F.expr(f"substring(body, at * {chunk_bytes} + 1, {chunk_bytes})").alias("part"))
-    split = stored(places.groupBy(*KEY, "at").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select(*KEY).distinct(), "collisions")
+    # in two steps, so that the tasks' parts of a hot group don't all go to one task
+    some = places.groupBy(*KEY, "at", F.pmod(F.spark_partition_id(), F.lit(32)).alias("salt")).agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    split = stored(some.groupBy(*KEY, "at").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select(*KEY).distinct(), "collisions")
     if split.isEmpty():
         found = prints.join(groups, KEY, "left")
     else:  # the fingerprint is shared by different texts

@@ -7,44 +7,54 @@ training documents of that language. The score is the languages' softmax of minu
 are close.
 
 Up to four languages (seven bits) the code is exhaustive; more get seeded random codewords, of those tried the ones farthest apart.
-Classifiers are fitted on about `per_lang` documents of each language at most, chosen by a hash of doc_id, in Spark tasks that give back
-one fixed-size table of counts each. Every whole text is then classified in the tasks that read it.
+Every language that occurs is learned, however many there are. Classifiers are fitted on about `per_lang` documents of each at most, chosen by a hash of
+doc_id: tasks count n-grams in a table of fixed size for each language they meet, tables of a language are added up on executors, and the driver adds one
+at a time to the bits' sums. What the driver and each task hold is the model: bits x 32,768 weights and languages x bits. Every whole text is then classified in the tasks that read it.
 
-A null text or one without a letter is `und` with score 0. Null langs are not learned from. With no language known, all are `und`; with
-one, it is everyone's with a letter. A null doc_id is never held out. Rows that repeat get equal rows. An empty table gives an empty result.
+A null text or one without a letter (of any script; numerals are none) is `und` with score 0. Null langs are not learned from. With no language known, all are `und`; with
+one, it is everyone's with a letter. Equal losses go to the language first in the alphabet. A null doc_id is never held out. Rows that repeat get equal rows. Very long texts are held one at a
+time and counted whole. An empty table gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import table
+from quillstone.llm.common import stored, table
 
 BUCKETS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of bits, 0 or 1."""
     if n <= 4:
         columns = [c for c in range(1, 1 << n >> 1)] if n > 1 else [1]
         return np.array([[c >> i & 1 for c in columns] for i in range(n)], np.int64)
     rng, bits, best, far = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, -1
-    for _ in range(200):
+    for _ in range(max(1, min(200, 200_000_000 // (n * n)))):
         m = rng.integers(0, 2, (n, bits))
         m = m[:, (m.sum(axis=0) > 0) & (m.sum(axis=0) < n)]
-        d = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i))
+        d = min(_least_distance(m[i : i + 500], m, i) for i in range(0, n, 500))
         if d > far:
             best, far = m, d
     return best
 
 
+def _least_distance(some: np.ndarray, words: np.ndarray, first: int) -> float:
+    x, y = some.astype(np.float32), words.astype(np.float32)
+    d = x @ (1 - y).T + (1 - x) @ y.T
+    d[np.arange(len(x)), first + np.arange(len(x))] = np.inf
+    return float(d.min())
+
+
 def grams(text: str) -> np.ndarray:
     """Hashed 1-, 2- and 3-grams of the lower-case text's bytes with all but letters as spaces."""
     b = np.frombuffer(b" " + text.lower().encode().translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
@@ -57,22 +67,30 @@ def grams(text: str) -> np.ndarray:
 class Codes:
     """langs, codewords, classifier weights [bucket, bit] and decoding weights [lang, bit]."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
+    def __init__(self, langs: list[str], counts):
+        """counts: each language's table of n-gram counts, in order; only one is held at a time."""
         self.langs, self.code = langs, codewords(len(langs))
-        share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)  # each language weighs the same
-        ones = self.code.T[:, :, None] * share[None]
-        zeros = (1 - self.code.T)[:, :, None] * share[None]
-        n1, n0 = np.maximum(self.code.sum(axis=0), 1)[:, None], np.maximum((1 - self.code).sum(axis=0), 1)[:, None]
-        self.weight = (np.log(np.maximum(ones.sum(axis=1) / n1, 1e-12)) - np.log(np.maximum(zeros.sum(axis=1) / n0, 1e-12))).T.astype(np.float32).copy()
+        ones, whole = np.zeros((self.code.shape[1], BUCKETS)), np.zeros(BUCKETS)
+        for word, n in zip(self.code, counts):
+            share = (n + 0.5) / (n.sum() + 0.5 * BUCKETS)  # each language weighs the same
+            whole += share
+            for bit in np.flatnonzero(word):
+                ones[bit] += share
+        n1 = self.code.sum(axis=0)[:, None]
+        zeros = (whole - ones) / np.maximum(len(langs) - n1, 1)
+        self.weight = (np.log(np.maximum(ones / np.maximum(n1, 1), 1e-12)) - np.log(np.maximum(zeros, 1e-12))).T.astype(np.float32).copy()
         if len(langs) == 1:
             self.weight = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
         self.trust = np.ones(self.code.shape) / self.code.shape[1]
 
     def margins(self, text: str) -> np.ndarray:
         g = grams(text)
-        total = np.zeros(self.weight.shape[1])
-        for i in range(0, len(g), 1 << 16):
-            total += self.weight[g[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        if len(g) > 2 * BUCKETS:
+            total = np.bincount(g, minlength=BUCKETS) @ self.weight.astype(np.float64)
+        else:
+            total = np.zeros(self.weight.shape[1])
+            for i in range(0, len(g), 1 << 13):
+                total += self.weight[g[i : i + (1 << 13)]].sum(axis=0, dtype=np.float64)
         return total / len(g) * min(len(g), 300) / 10  # the mean odds, firmer up to some hundred n-grams
 
     def right(self, text: str, lang: int) -> np.ndarray:
@@ -92,42 +110,75 @@ def _remainder(mod: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)), F.lit(0))
 
 
-def train(docs: DataFrame, mod: int = 4, held_out: int = 2, per_lang: int = 3000, most_langs: int = 500) -> Codes | None:
+def train(docs: DataFrame, mod: int = 4, held_out: int = 2, per_lang: int = 3000) -> Codes | None:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & (_remainder(mod) != held_out))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # a row a language, as the model has
     langs = sorted(sizes)
     if not langs:
         return None
-    rate = F.create_map(*[x for s in langs for x in (F.lit(s), F.lit(min(1.0, per_lang / sizes[s])))])
-    spread = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
-    some = usable.where(F.col("lang").isin(langs) & (spread < rate[F.col("lang")])).where("text is not null").repartition(8)
     place = {s: i for i, s in enumerate(langs)}
+    # the languages, no more than the model has rows
+    rates = docs.sparkSession.createDataFrame([(s, i, min(1.0, per_lang / sizes[s])) for s, i in place.items()], "lang string, place int, rate double")
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.col("text")), 33) / F.lit(float(1 << 31))
+    some = usable.join(F.broadcast(rates), "lang").where("text is not null").where(spread < F.col("rate")).select("place", "text")
+    some = stored(some.repartition(max(8, min(200, sum(min(per_lang, n) for n in sizes.values()) // 2000))), "language-sample")
 
     def count(batches):
-        total = np.zeros((len(langs), BUCKETS))
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist()):
+                if at not in held and len(held) >= 256:  # 64 MB
+                    yield tables(held)
+                    held = {}
+                held[at] = held.get(at, 0) + np.bincount(grams(text), minlength=BUCKETS)
+        yield tables(held)
+
+    def tables(held):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<u8").tobytes() for v in held.values()], pa.binary())], ["place", "counts"])
+
+    def add(batches):
+        now, total = None, None
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                total[place[lang]] += np.bincount(grams(text), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
+            for at, raw in zip(batch.column("place").to_pylist(), batch.column("counts").to_pylist()):
+                if at != now and now is not None:
+                    yield tables({now: total})
+                total = np.frombuffer(raw, "<u8") + (total if at == now else 0)
+                now = at
+        if now is not None:
+            yield tables({now: total})
 
-    tables = [np.frombuffer(r.total).reshape(len(langs), BUCKETS) for r in some.select("text", "lang").mapInArrow(count, "total binary").collect()]
-    codes = Codes(langs, sum(tables, np.zeros((len(langs), BUCKETS))))
+    whole = some.mapInArrow(count, "place int, counts binary").repartition("place").sortWithinPartitions("place").mapInArrow(add, "place int, counts binary")
+    codes = Codes(langs, _in_order(stored(whole, "language-counts"), len(langs)))
 
     def check(batches):
-        right, seen = np.zeros(codes.code.shape), np.zeros(len(langs))
+        right, seen = np.zeros(codes.code.shape, np.int64), np.zeros(len(langs), np.int64)
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                right[place[lang]] += codes.right(text, place[lang])
-                seen[place[lang]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([right.tobytes()]), pa.array([seen.tobytes()])], ["right", "seen"])
-
-    rows = some.select("text", "lang").mapInArrow(check, "right binary, seen binary").collect()
-    right = sum(np.frombuffer(r.right).reshape(codes.code.shape) for r in rows)
-    trust = (right + 1) / (sum(np.frombuffer(r.seen) for r in rows)[:, None] + 2)
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist()):
+                right[at] += codes.right(text, at)
+                seen[at] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), pa.array(list(right[at]), pa.list_(pa.int64()))], ["place", "seen", "right"])
+
+    checked = some.mapInArrow(check, "place int, seen long, right array<long>").groupBy("place").agg(F.sum("seen").alias("seen"), *[F.sum(F.get("right", F.lit(b))).alias(f"b{b}") for b in range(codes.code.shape[1])])
+    trust = np.full(codes.code.shape, 0.5)
+    for r in checked.toLocalIterator():
+        trust[r.place] = (np.array(r[2:], float) + 1) / (r.seen + 2)
     codes.trust = trust / trust.sum(axis=1, keepdims=True)
     return codes
 
 
+def _in_order(counts: DataFrame, n: int):
+    """Each language's table, zeros for those of which no text was drawn; one partition at a time is at the driver."""
+    at = 0
+    for r in counts.repartitionByRange(max(1, n // 64), "place").sortWithinPartitions("place").toLocalIterator():
+        for _ in range(at, r.place):
+            yield np.zeros(BUCKETS)
+        yield np.frombuffer(r.counts, "<u8").astype(float)
+        at = r.place + 1
+    for _ in range(at, n):
+        yield np.zeros(BUCKETS)
+
+
 def identify(docs: DataFrame, codes: Codes | None, close: float = 0.5) -> DataFrame:
     """(doc_id, text, lang_pred, score, ambiguous): ambiguous if the second language scores over `close` times the first."""
 
@@ -135,7 +186,7 @@ def identify(docs: DataFrame, codes: Codes | None, close: float = 0.5) -> DataFr
         for batch in batches:
             langs, scores, close_by = [], [], []
             for text in batch.column("text").to_pylist():
-                if codes is None or not text or not _LETTER.search(text):
+                if codes is None or not has_letter(text):
                     langs.append("und"), scores.append(0.0), close_by.append(True)
                     continue
                 best, p, second = codes.decode(text)

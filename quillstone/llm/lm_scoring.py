@@ -7,14 +7,16 @@ documents under counts from the others (expectation-maximisation over each bucke
 log2(ML / lower order), in steps of 1/16: its size is fixed, and it holds every event of the fold). Scores use the counts of all
 training documents.
 
-Counts never leave the executors. Documents are dealt by a hash over blocks of about `block_bytes` of text. A block sends the
+Counts never leave the executors. Documents are dealt by a hash of doc_id and text over blocks of about `block_bytes` of text. A block sends the
 n-grams it holds, each once with its count, to buckets by their 64-bit hash, as sorted packed arrays: a word
-that is everywhere is one entry a block, so no key is hot. A bucket adds up its n-grams and answers each block with
+that is everywhere is one entry a block, so no key is hot. A block's messages are as many as the buckets, until these outnumber its n-grams, so
+their number grows with the input at most. A bucket adds up its n-grams and answers each block with
 the totals alone, in the order the block asked. The block then scores its documents. N-grams are told apart by 64-bit hashes.
+The default order is 2: with 3 the n-grams that cross the shuffle, both ways, take more than four times the input's bytes on disk.
 
 Nulls count as empty texts: one end token. A null doc_id is a training document. Rows that repeat count and are scored as often as
-they occur. Without training documents every token has probability 1. An empty table gives an empty result. Extra input
-columns are ignored.
+they occur, but are read as one. A very long text is a block of its own size, held by one task. Without training documents every token has probability 1. An empty table gives an empty result. Extra input
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import stored, table, texts
+from quillstone.llm.common import collapsed, stored, table, texts
 
 _M1, _M2, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), 0x5851F42D4C957F2D
 STEPS, NONE = 16, -10_000  # steps of the histogram for each power of two; the bin of events that the higher order gives no chance
@@ -74,10 +76,13 @@ class Block:
             used, place = np.unique(key, return_inverse=True)
             self.keys.append(used), self.places.append(place)
 
-    def counts(self, k: int, docs: np.ndarray) -> np.ndarray:
-        """How often the marked documents hold each key of order k + 1."""
-        token = np.repeat(docs, np.diff(np.r_[self.starts, self.ends[-1:] + 1]))
-        return np.bincount(self.places[k][token], minlength=len(self.keys[k]))
+    def counts(self, k: int, copies: np.ndarray) -> np.ndarray:
+        """How often the documents, each that many times, hold each key of order k + 1."""
+        token = np.repeat(copies, np.diff(np.r_[self.starts, self.ends[-1:] + 1]))
+        out = np.zeros(len(self.keys[k]), np.int64)
+        for n in np.unique(token):
+            out += n * np.bincount(self.places[k][token == n], minlength=len(out))
+        return out
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -89,6 +94,16 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(_U8).ravel(), dtype=np.uint64)
 
 
+def _pack_counts(n: np.ndarray) -> bytes:
+    """Unsigned 32 bits each, or 64 where one needs them; the first byte says which."""
+    width = 4 if not len(n) or n.max() < 1 << 32 else 8
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def _by_block(batches, columns):
     """(block, {column: list}) from batches sorted by block."""
     now, rows = None, {c: [] for c in columns}
@@ -157,15 +172,21 @@ def fit_weights(events: list[tuple[int, int, int]], rounds: int = 60) -> np.ndar
 
 
 def _dealt(docs: DataFrame, blocks: int, fold_blocks: int, fold_mod: int, held_out: int, fold: int) -> DataFrame:
-    """(block, doc_id, text, held_out); the fold's documents have blocks of their own, from `blocks` on."""
+    """(block, doc_id, text, copies, held_out); the fold's documents have blocks of their own, from `blocks` on."""
     part = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold_mod)), F.lit(-1))
-    spread = F.xxhash64("doc_id")
+    spread = F.xxhash64("doc_id", "raw")
     block = F.when(part == fold, blocks + F.pmod(spread, F.lit(fold_blocks))).otherwise(F.pmod(spread, F.lit(blocks))).cast("int")
-    return texts(docs).select(block.alias("block"), "doc_id", F.col("text").cast("binary").alias("text"), (part == held_out).alias("held_out"))
+    return collapsed(docs).select(block.alias("block"), "doc_id", F.col("text").cast("binary").alias("text"), "copies", (part == held_out).alias("held_out"))
 
 
 def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2, fold: int = 3, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10 of the model's probability)."""
+    found = score_distinct(docs, order, fold_mod, held_out, fold, block_bytes)
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
+def score_distinct(docs: DataFrame, order: int, fold_mod: int, held_out: int, fold: int, block_bytes: int) -> DataFrame:
+    """score() of distinct rows, and how many `copies` each stands for."""
     total = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     fold_blocks = max(1, math.ceil(blocks / fold_mod))
@@ -173,20 +194,21 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
     rows = _dealt(docs, blocks, fold_blocks, fold_mod, held_out, fold)
 
     def ask(batches):
-        for number, got in _by_block(batches, ["text", "held_out"]):
+        for number, got in _by_block(batches, ["text", "copies", "held_out"]):
             block = Block(got["text"], order)
-            train = ~np.array(got["held_out"])
+            copies = np.where(got["held_out"], 0, got["copies"])
             for k in range(order):
-                keys, n = block.keys[k], block.counts(k, train).astype("<u4")
-                cut = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() if bits else [0]
-                cut.append(len(keys))
-                used = [b for b in range(1 << bits) if cut[b] < cut[b + 1]]
+                keys, n = block.keys[k], block.counts(k, copies)
+                # as many messages as there are buckets, or n-grams, whichever are fewer
+                used, start = np.unique(keys >> np.uint64(64 - bits), return_index=True) if bits else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+                cut = np.r_[start, len(keys)].tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int32()), pa.array([k] * len(used), pa.int32()), pa.array([_pack_keys(keys[cut[b] : cut[b + 1]]) for b in used], pa.binary()), pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary())],
+                    [pa.array(used.astype(np.int32)), pa.array([number] * len(used), pa.int32()), pa.array([k] * len(used), pa.int32()), pa.array([_pack_keys(keys[i:j]) for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([_pack_counts(n[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())],
                     ["bucket", "block", "level", "keys", "counts"],
                 )
 
-    asked = rows.repartition(blocks + fold_blocks, "block").sortWithinPartitions("block").mapInArrow(ask, "bucket int, block int, level int, keys binary, counts binary")
+    whole = blocks + fold_blocks
+    asked = rows.repartition(whole, "block").sortWithinPartitions("block").mapInArrow(ask, "bucket int, block int, level int, keys binary, counts binary")
     answer_schema = "bucket int, block int, level int, total binary, kept binary, distinct long, tokens long, fold_tokens long, bins array<int>, events array<long>"
     arrow = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("total", pa.binary()), ("kept", pa.binary()), ("distinct", pa.int64()), ("tokens", pa.int64()), ("fold_tokens", pa.int64()), ("bins", pa.list_(pa.int32())), ("events", pa.list_(pa.int64()))])
 
@@ -196,16 +218,16 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
         for k in np.unique(levels).tolist():
             at = np.flatnonzero(levels == k)
             keys = [_unpack_keys(group.column("keys")[i].as_py()) for i in at]
-            n = np.concatenate([np.frombuffer(group.column("counts")[i].as_py(), "<u4") for i in at]).astype(np.int64)
+            n = np.concatenate([_unpack_counts(group.column("counts")[i].as_py()) for i in at])
             ends = np.cumsum([len(x) for x in keys])
             in_fold = np.repeat(names[at] >= blocks, [len(x) for x in keys])
             used, place = np.unique(np.concatenate(keys), return_inverse=True)
-            whole = np.bincount(place, n, len(used)).astype(np.int64)
+            whole = np.bincount(place, n, len(used)).astype(np.int64)  # doubles: exact up to 2**53
             folds = np.bincount(place, n * in_fold, len(used)).astype(np.int64)
             for i, b, a in zip(at, ends.tolist(), [0, *ends.tolist()]):
                 mine = place[a:b]
-                kept = (whole - folds)[mine].astype("<u4").tobytes() if names[i] >= blocks else None
-                out.append((bucket, int(names[i]), k, whole[mine].astype("<u4").tobytes(), kept, None, None, None, None, None))
+                kept = _pack_counts((whole - folds)[mine]) if names[i] >= blocks else None
+                out.append((bucket, int(names[i]), k, _pack_counts(whole[mine]), kept, None, None, None, None, None))
             if k == 0:
                 seen, kept = folds > 0, whole - folds
                 bins = np.where(kept > 0, np.rint(STEPS * np.log2(np.maximum(kept, 1))), NONE)[seen].astype(int)
@@ -213,8 +235,8 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
                 out.append((bucket, -1, 0, None, None, int((whole > 0).sum()), int(whole.sum()), int(folds.sum()), which.tolist(), np.bincount(back, folds[seen], len(which)).astype(int).tolist()))
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
 
-    answers = stored(asked.groupBy("bucket").applyInArrow(answer, answer_schema), "ngrams")
-    train_docs, fold_docs = rows.agg(F.count_if(~F.col("held_out")), F.count_if(F.col("block") >= blocks)).first()
+    answers = stored(asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer, answer_schema), "ngrams")
+    train_docs, fold_docs = (x or 0 for x in rows.agg(F.sum(F.when(~F.col("held_out"), F.col("copies"))), F.sum(F.when(F.col("block") >= blocks, F.col("copies")))).first())
     stats = answers.where("block = -1")
     distinct, tokens, fold_tokens = (x or 0 for x in stats.agg(F.sum("distinct"), F.sum("tokens"), F.sum("fold_tokens")).first())
     model, kept_model = Model(tokens, distinct, train_docs), Model(tokens - fold_tokens, distinct, train_docs - fold_docs)
@@ -226,7 +248,7 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
         got: list[list] = [[] for _ in range(order)]
         level, bucket = right.column("level").to_pylist(), right.column("bucket").to_pylist()
         for i in sorted(range(len(level)), key=lambda i: bucket[i]):
-            got[level[i]].append(np.frombuffer(right.column(column)[i].as_py(), "<u4"))
+            got[level[i]].append(_unpack_counts(right.column(column)[i].as_py()))
         return [np.concatenate(x) for x in got]
 
     for k in range(1, order):  # a pass over the fold for each order: its weights rest on those below
@@ -237,14 +259,16 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
             lower = kept_model.probability(block, counts, k)
             bucket, ml, known = kept_model.ratios(block, counts, k, lower)
             at = np.where(ml > 0, np.rint(STEPS * np.log2(np.maximum(ml, 1e-300) / lower)), NONE).astype(int)[known]
-            both, n = np.unique(np.stack([bucket[known], at], 1), axis=0, return_counts=True)
+            copies = np.repeat(left.column("copies").to_numpy(), block.ends - block.starts + 1)[known]
+            both, place = np.unique(np.stack([bucket[known], at], 1), axis=0, return_inverse=True)
+            n = np.bincount(place.ravel(), copies, len(both)).astype(np.int64)
             return pa.table({"bucket": pa.array(both[:, 0], pa.int32()), "at": pa.array(both[:, 1], pa.int32()), "n": pa.array(n, pa.int64())})
 
-        mine = rows.where(F.col("block") >= blocks).groupBy("block").cogroup(answers.where(F.col("block") >= blocks).select("block", "level", "bucket", "kept").groupBy("block"))
+        mine = rows.where(F.col("block") >= blocks).repartition(fold_blocks, "block").groupBy("block").cogroup(answers.where(F.col("block") >= blocks).select("block", "level", "bucket", "kept").repartition(fold_blocks, "block").groupBy("block"))
         events = mine.applyInArrow(tune, "bucket int, at int, n long").groupBy("bucket", "at").agg(F.sum("n")).collect()
         kept_model.weights.append(fit_weights([tuple(x) for x in events]))
     model.weights = kept_model.weights
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, copies long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left.column("text").to_pylist(), order)
@@ -254,6 +278,7 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
+                "copies": left.column("copies"),
                 "held_out": left.column("held_out"),
                 "n_tokens": pa.array(block.ends - block.starts + 1, pa.int64()),
                 "n_known": pa.array(sums((c > 0).astype(np.int64)), pa.int64()),
@@ -264,7 +289,7 @@ def score(docs: DataFrame, order: int = 2, fold_mod: int = 7, held_out: int = 2,
         )
 
     asked_for = answers.where("block >= 0").select("block", "level", "bucket", "total")
-    return rows.groupBy("block").cogroup(asked_for.groupBy("block")).applyInArrow(finish, schema)
+    return rows.repartition(whole, "block").groupBy("block").cogroup(asked_for.repartition(whole, "block").groupBy("block")).applyInArrow(finish, schema)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,16 @@ Each source's documents, in a hashed order, are cut into blocks of `block_bytes`
 source of weight w (weights sum to 1) is released at slot floor(k / w) and due at slot ceil((k + 1) / w);
 at each slot the released block with the earliest deadline goes next. A source that runs out leaves its
 share to the others in the ratio of their weights, so the mixture has every block, and at every slot every source is
-within one block of its share. Blocks are counted, not collected: the
+within one block of its share; its documents' bytes are within one block and its largest document, as a document is in the block where it begins. `mix` puts
+the documents into that order and drops those of sources without a weight. Blocks are counted, not collected: the
 schedule is made from each unit's number of blocks (at most about three times `most_blocks` in all), and rows get their
 slot by a join on (unit, block).
 
 Without weights, sources get bytes ** `temperature` shares, so a hot source is held back and
 small ones are lifted. Any number of sources will do: those smaller than a block share blocks by a hash of their names, so their
 `block` is one of the shared unit's, and names and sizes stay in a Spark table. A null source is the source ''. Sources without a weight (or with weight 0)
-are not in the mixture. Null texts count as one byte's worth. Rows that repeat count as often as they occur.
-An empty table gives an empty result. Extra columns are kept by `mix` and ignored by `schedule`.
+are not in the mixture; a weight below 1e-12 of the greatest counts as that. Null texts count as one byte's worth. Rows that repeat count as often as they occur. A very long text is
+one block's, which it overflows. An empty table gives an empty result. Extra columns, whatever their names, are kept by `mix` and ignored by `schedule`.
 """
 
 from __future__ import annotations
@@ -104,25 +105,30 @@ def units(rows: DataFrame, weights: dict[str, float] | None, temperature: float,
     return rows.withColumn("unit", F.coalesce("own", pool + weighted)), bytes_of, weight_of, block_bytes
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None, most_blocks: int = 4_000) -> DataFrame:
-    """One row a document: doc_id, source, bytes, block, and release, deadline, slot, or nulls where its block is not in the mixture."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long").alias("bytes"))
-    rows = rows.withColumn("spread", F.xxhash64("doc_id", "source"))
+def _slots(docs: DataFrame, weights: dict[str, float] | None, temperature: float, block_bytes: int | None, most_blocks: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long").alias("bytes"))
+    # the place of reading tells equal rows apart, so many of them are cut like others; written once, so that it stays the same
+    rows = stored(rows.withColumn("spread", F.xxhash64("doc_id", "source", F.monotonically_increasing_id())), "mixing-rows")
     rows, sizes, weights, block_bytes = units(rows, weights, temperature, block_bytes, most_blocks)
     before = running(rows, "unit", ["spread", "doc_id", "bytes"], F.col("bytes"))
     rows = before.withColumn("block", F.floor(F.col("before") / block_bytes).cast("long"))
     # the last block of a unit may be short; a block that one document overflows leaves its next places empty
     plan = whole_plan({u: -(-b // block_bytes) for u, b in sizes.items()}, weights)
     slots = docs.sparkSession.createDataFrame(plan, "u int, k long, release long, deadline long, slot long")
-    out = rows.join(F.broadcast(slots), (F.col("unit") == F.col("u")) & (F.col("block") == F.col("k")), "left")
-    return out.select("doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept"))
+    return rows.join(F.broadcast(slots), (F.col("unit") == F.col("u")) & (F.col("block") == F.col("k")), "left")
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None, most_blocks: int = 4_000) -> DataFrame:
+    """One row a document: doc_id, source, bytes, block, and release, deadline, slot, or nulls where its block is not in the mixture."""
+    return _slots(docs, weights, temperature, block_bytes, most_blocks).select("doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None) -> DataFrame:
-    """The documents of the mixture with all their columns."""
-    keep = schedule(docs, weights, temperature, block_bytes).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.coalesce("source", F.lit("")) == F.col("__s"))
-    return docs.join(keep.hint("shuffle_hash"), same, "left_semi")
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_bytes: int | None = None, most_blocks: int = 4_000) -> DataFrame:
+    """The documents of the mixture with all their columns, partitions and rows in the order of slots. Rows that repeat doc_id, source and text share the first of their slots."""
+    slots = _slots(docs, weights, temperature, block_bytes, most_blocks).where("slot is not null").groupBy("doc_id", "source", "raw").agg(F.min("slot").alias("slot"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.coalesce("source", F.lit("")).alias("__s"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__raw"))
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__s") == F.col("source")) & (F.col("__raw") == F.col("raw"))
+    return rows.join(slots.hint("shuffle_hash"), same).repartitionByRange("slot", "raw").sortWithinPartitions("slot", "raw").select("__row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ the least weighted norm of what remains ("norm"), all as shares of a bin; ties g
 Blocks are large, so each leaves at most a bin or so less than full.
 
 Nulls count as empty texts, one end id long. Rows that repeat are packed as often as they occur. A null doc_id is
-kept. An empty table gives an empty result. Extra input columns are ignored.
+kept. A very long text is encoded whole, in one task. An empty table gives an empty result. Extra input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def vector_best_fit(lengths: np.ndarray, length: int, most_docs: int, most_cost:
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end_id: int = 2, most_docs: int | None = None, most_cost: float | None = None, rule: str = "norm", weights=(1.0, 0.25, 0.25), block_rows: int = 8192) -> DataFrame:
     """pieces() with sequence_id and offset. most_docs and most_cost default to what `length` tokens can never exceed."""
     vocabulary = vocabulary or default_vocabulary()
-    cut = stored(pieces(docs, vocabulary, length, end_id), "pieces")
+    cut = stored(pieces(docs, vocabulary, length, end_id).withColumn("read", F.monotonically_increasing_id()), "pieces")
     blocks = max(1, round(cut.count() / block_rows))
     docs_cap, cost_cap = most_docs or length, most_cost or float(length) ** 2
 
@@ -91,8 +91,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end
         return group.assign(sequence_id=group["block"] * (1 << 32) + bins, offset=offsets).drop(columns="block")
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks))
-    return cut.withColumn("block", block).groupBy("block").applyInPandas(run, schema)
+    # the place of reading, so that equal pieces are spread too
+    block = F.pmod(F.xxhash64("doc_id", "start", "read"), F.lit(blocks))
+    return cut.withColumn("block", block).drop("read").repartition(blocks, "block").groupBy("block").applyInPandas(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Labels are learned from at most `most_rows` labelled documents, those whose doc_id has the least hashes. Their statistics are computed
+Labels are learned from at most `most_rows` labelled documents, those whose doc_id has the least hashes (of documents that share such a doc_id, those of the least hashes with their statistics). Their statistics are computed
 by Spark tasks; the trees (logistic loss, `bins` quantile bins a statistic, complete trees of `depth` levels) are grown from
 gradient histograms on that bounded table. The trees are flattened into arrays of statistic, cut and leaf value, and all rows of a batch walk
 all trees at once in numpy. Every whole text is scored in the tasks that read it, without a shuffle.
 
 Nulls count as empty texts; empty texts are scored too. Null labels are no labels; repeated labels count as often as they occur. A null
-doc_id is never held out. Without labels every score is 0.5, with one class alone its share. An empty table gives an empty result.
-Other columns never enter a score.
+doc_id is never held out. Rows that repeat get equal scores. Very long texts are read whole, one at a time. Without labels every score is 0.5, with one class alone its share. An empty table gives an empty result.
+Other columns, whatever their names, never enter a score; `keep_good` keeps them.
 """
 
 from __future__ import annotations
@@ -135,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
             x = np.array([statistics(t) for t in pdf["text"]]).reshape(-1, len(STATISTICS))
             yield pd.DataFrame(x, columns=list(STATISTICS)).assign(y=pdf["y"].to_numpy(), doc_id=pdf["doc_id"].to_numpy())
 
-    got = chosen.mapInPandas(run, ", ".join(f"{s} double" for s in STATISTICS) + ", y double, doc_id long").limit(2 * most_rows).toPandas()
+    rows = chosen.mapInPandas(run, ", ".join(f"{s} double" for s in STATISTICS) + ", y double, doc_id long")
+    # where doc_ids repeat there may be more: those of the least hashes again
+    got = rows.orderBy(F.xxhash64("doc_id", *STATISTICS, "y"), "doc_id", *STATISTICS, "y").limit(most_rows).toPandas()
     got = got.sort_values(["doc_id", *STATISTICS, "y"])  # the same trees whatever order the tasks end in
     return Trees.fit(got[list(STATISTICS)].to_numpy(), (got["y"].to_numpy() > 0.5).astype(float))
 

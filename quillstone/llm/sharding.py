@@ -8,7 +8,7 @@ tree; the capacity is the smallest at which all items fit (by bisection). So sha
 within about a parcel, unless one group alone is larger than a shard's share.
 
 Null texts have size 16 and belong to the group of the empty text. An empty table gives an empty result.
-Rows that repeat are rows of one group. Extra input columns are ignored.
+Rows that repeat are rows of one group, a null doc_id is kept, and a very long text is one row's size. Extra input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def even_shards(items: list[tuple], shards: int) -> dict:
 def assign(docs: DataFrame, shards: int = 40, grain: int = 256) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) with sizes of shards near equal."""
     whole = texts(docs)
-    rows = stored(whole.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("grp")), "sizes")
+    rows = stored(whole.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("grp"), F.monotonically_increasing_id().alias("read")), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
     parcel = F.pmod(F.xxhash64("grp"), F.lit(shards * grain))
     groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
@@ -113,7 +113,7 @@ def assign(docs: DataFrame, shards: int = 40, grain: int = 256) -> DataFrame:
     of_big = spark.createDataFrame([(bytearray(k), v) for k, v in found.items() if isinstance(k, bytes)], "grp binary, big_shard int")
     of_small = spark.createDataFrame([(k, v) for k, v in found.items() if not isinstance(k, bytes)], "parcel long, small_shard int")
     out = rows.withColumn("parcel", parcel).join(F.broadcast(of_big), "grp", "left").join(F.broadcast(of_small), "parcel", "left")
-    out = out.select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "small_shard").alias("shard"), F.xxhash64("doc_id", "text_crc32").alias("spread"))
+    out = out.select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "small_shard").alias("shard"), F.xxhash64("doc_id", "text_crc32", "read").alias("spread"))
     return running(out, "shard", ["spread", "doc_id", "text_crc32"], name="slot").drop("spread")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import keyed_texts, stored, table, without
+from quillstone.llm.common import discard, keyed_texts, stored, stored_at, table, without
 
 SEED = 42
 
@@ -182,7 +182,8 @@ def links(fps: DataFrame, radius: int = 3, tree_rows: int = 512) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of (a, b) that is not its component's root, the least of it."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = stored_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -190,7 +191,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        now = stored(small.distinct(), "edges")
+        last_path = path
+        now, path = stored_at(small.distinct(), "edges")
+        discard(spark, last_path)
         last, state = state, tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == last or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,16 +1,18 @@
 """Token ids in files: frequency-ranked, byte-aligned codes with separate control bytes.
 
-A part is a range of doc_ids in ascending order. Its distinct ids are ranked by their frequency in the part,
+A part is a run of documents in ascending order of doc_id. Its distinct ids are ranked by their frequency in the part,
 commonest first, so that most ranks take one byte. Ranks are written in 1 to 4 bytes, little-endian,
 into one data stream; a control byte apart holds the four 2-bit byte counts of four ranks. Reading
 looks each control byte up in a table of its four byte counts and gathers all ranks of a block at once in numpy.
 
 Files are Parquet, so any Hadoop store and Spark's commit protocol serve: a row with block -1 has a part's ids by rank,
 the other rows have blocks of whole documents (doc_id list, counts, control bytes, data bytes) of about `block_ids` ids.
-(part, block) is the order; a part decodes alone. Parts are cut from the distribution of doc_id, about `part_bytes` of text each.
+(part, block) is the order; a part decodes alone. Spark's range partitioning cuts the documents into tasks of about `part_bytes` of text, by doc_id and, where
+many rows share one or have none, by the order in which they are read; a task starts a new part after `part_ids` ids, so what it holds is bounded. Parts are numbered by task, and
+where each begins comes from sums over ranges of parts.
 
-Nulls count as empty texts, one end id long; a null doc_id sorts first. Rows of equal doc_id stay together in a part, in order
-of their texts. An empty table gives no rows. Extra input columns are ignored.
+Nulls count as empty texts, one end id long; a null doc_id sorts first. Rows of equal doc_id follow each other in the order in which they are read. A very long text is
+encoded in one task, as a part of its own size. An empty table gives no rows. Extra input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import shared_dir, table, texts
+from quillstone.llm.common import shared_dir, stored, sums_before, table, texts
 from quillstone.llm.tokens import default_vocabulary, encoder
 
-FORMAT = "part int, block int, docs array<long>, counts array<int>, control binary, data binary"
-_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())])
+FORMAT = "part long, block int, docs array<long>, counts array<int>, control binary, data binary"
+_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())])
 #: byte counts of the four codes of each control byte
 _SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -75,30 +78,27 @@ def _write_part(part: int, docs: list, ids: list[np.ndarray], block_ids: int):
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_bytes: int = 6 << 20, block_ids: int = 1 << 18) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_bytes: int = 6 << 20, block_ids: int = 1 << 18, part_ids: int = 1 << 22) -> None:
     rows = texts(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(total / part_bytes))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] if parts > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts or []))]).cast("array<long>")
-    # the part's number: how many bounds are below the doc_id
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.aggregate(bounds, F.lit(0), lambda n, b: n + (b < F.col("doc_id")).cast("int")))
+    tasks = max(1, math.ceil(total / part_bytes))
 
     def run(batches):
-        enc, now, names, ids = encoder(vocabulary), None, [], []
+        enc, first, parts, names, ids, held = encoder(vocabulary), TaskContext.get().partitionId() << 32, 0, [], [], 0
         last = np.array([end_id], enc.dtype if end_id <= np.iinfo(enc.dtype).max else "<u4")
         for batch in batches:
-            for number, name, raw in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), enc.raws(batch.column("text").to_pylist())):
-                if number != now and names:
-                    yield _write_part(now, names, ids, block_ids)
-                    names, ids = [], []
-                now = number
+            for name, raw in zip(batch.column("doc_id").to_pylist(), enc.raws(batch.column("text").to_pylist())):
                 names.append(name), ids.append(np.concatenate([np.frombuffer(raw, enc.dtype), last]))
+                held += len(ids[-1])
+                if held >= part_ids:
+                    yield _write_part(first + parts, names, ids, block_ids)
+                    parts, names, ids, held = parts + 1, [], [], 0
         if names:
-            yield _write_part(now, names, ids, block_ids)
+            yield _write_part(first + parts, names, ids, block_ids)
 
-    ordered = rows.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, FORMAT).write.parquet(path)
+    order = ["doc_id", "read"]
+    ordered = rows.withColumn("read", F.monotonically_increasing_id()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(run, FORMAT).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +106,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(FORMAT).parquet(path)
     ranks = files.where("block = -1").select(F.col("part").alias("of"), F.col("counts")[0].alias("r_n"), F.col("control").alias("r_control"), F.col("data").alias("r_data"))
     blocks = files.where("block >= 0").join(ranks, F.col("part") == F.col("of")).drop("of")
-    schema = "part int, block int, at int, doc_id long, ids binary"
+    schema = "part long, block int, at int, doc_id long, ids binary"
 
     def run(batches):
         known = (None, None)
@@ -120,7 +120,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = (np.cumsum(counts) * 4).tolist()
                 found = [ids[a:b] for a, b in zip([0, *ends], ends)]
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([row["block"].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(row["docs"].as_py(), pa.int64()), pa.array(found, pa.binary())], ["part", "block", "at", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([row["block"].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(row["docs"].as_py(), pa.int64()), pa.array(found, pa.binary())], ["part", "block", "at", "doc_id", "ids"])
 
     return blocks.mapInArrow(run, schema)
 
@@ -129,8 +129,11 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
     files = spark.read.schema(FORMAT).parquet(path).where("block >= 0")
     sizes = files.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    # one row a part (some megabytes of text): sums over the parts, then over the blocks of each
-    before = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    # part: task << 32 plus its number in the task; a task has a few, so sums go over a task's parts and then over the tasks
+    parts = stored(sizes.groupBy("part").agg(F.sum("n").alias("n")).withColumn("task", F.shiftright("part", 32)), "parts")
+    tasks = sums_before(parts.groupBy("task").agg(F.sum("n").alias("n")), "task", "n", "b")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = parts.withColumn("inside", inside).join(tasks, "task").select("part", (F.col("inside") + F.col("b")).alias("b"))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("f", first).join(before, "part").select(F.col("part").alias("p"), F.col("block").alias("k"), (F.col("f") + F.col("b")).alias("base"))
     within = F.sum("n_tokens").over(Window.partitionBy("part", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))

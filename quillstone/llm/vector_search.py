@@ -7,8 +7,12 @@ centroids have the largest inner product with it, and on until they hold k vecto
 cell is cut into several groups, so a hot cell is many tasks' work. In a group the query's tables of inner products with the codebooks give every
 vector's approximate score at once; the `rerank` best are scored exactly, in double precision, on the original vectors, and the k best of all groups remain.
 
-Vectors that are null, zero, or hold null or non-finite components, or are not of the commonest length, take no part. Ties go to the
-smaller vec_id. Rows that repeat a vec_id are one candidate each and ask one query together. An empty table gives an empty result.
+Where data have no clusters, a fixed share of all vectors is visited by every query: as the queries are a share of the rows too, that work grows with the square of the
+input. A group's queries stream past its vectors, at most `part_queries` in one task.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor those not of the commonest length (of equally common ones the shortest), as no inner product
+joins different lengths; a null vec_id neither. Ties go to the smaller vec_id. Rows that repeat a vec_id are one candidate each and ask one query together, with the least of their vectors. An empty table
+gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +109,7 @@ def layout(sizes: np.ndarray, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return first, pieces
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None = None, reach: float = 0.97, parts: int = 16, rerank: int = 200, most_train: int = 20_000, group_rows: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None = None, reach: float = 0.97, parts: int = 16, rerank: int = 200, most_train: int = 20_000, group_rows: int = 4096, part_queries: int = 100_000) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     good = usable(vectors)
@@ -146,36 +150,67 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None =
 
     queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.mapInPandas(ask, "query_id long, q array<double>, grp int, cells array<int>")
-    places = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, pieces))], "cell int, first int, pieces int")
-    held = placed.join(F.broadcast(places), "cell").withColumn("grp", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int")).select("grp", "vec_id", "v", "cell", "codes")
-
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("vec_id", kind="stable")
-            ids, x, cell = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["cell"].to_numpy()
-            codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(ids), -1)
-            for i in range(0, len(left), 64):
-                some = left.iloc[i : i + 64]
-                q = np.stack(some["q"].to_numpy())
-                near = (q @ index.coarse.T)[:, cell]
-                for p, t in enumerate(index.tables(q).transpose(1, 0, 2)):
-                    near += t[:, codes[:, p]]
-                for row, query, own, cells in zip(near, q, some["query_id"].to_numpy(), some["cells"]):
-                    at = np.flatnonzero(np.isin(cell, cells) & (ids != own))
-                    if len(at) > rerank:
-                        # what ties with the last place is reranked too, so equal copies stay in order of vec_id
-                        bound = np.partition(row[at], len(at) - rerank)[len(at) - rerank]
-                        at = at[row[at] >= bound]
-                    exact = (x[at] * query).sum(axis=1)
-                    top = np.lexsort((ids[at], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at][top], "score": exact[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = asked.groupBy("grp").cogroup(held.groupBy("grp")).applyInPandas(find, "query_id long, vec_id long, score double")
+    places = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, pieces))], "cell int, first int, pieces int")  # a row a cell
+    held = placed.join(F.broadcast(places), "cell").withColumn("grp", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int"))
+    # a group's queries stream past its vectors; many are cut into parts, each of which meets the vectors in a task of its own
+    cuts = max(1, math.ceil(queries.count() / part_queries))
+    vectors_ = held.select("grp", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("part"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "v", "cell", "codes", F.lit(None).cast("array<int>").alias("cells"))
+    queries_ = asked.select("grp", F.pmod(F.xxhash64("query_id"), F.lit(cuts)).cast("int").alias("part"), F.lit(1).alias("side"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), "cells")
+    groups = int(first.max()) + int(pieces[first.argmax()])
+
+    def find(batches):
+        now, kept, built = None, [], None
+        for pdf in batches:
+            key = pdf["grp"].to_numpy() * cuts + pdf["part"].to_numpy()
+            side = pdf["side"].to_numpy()
+            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]) if len(pdf) else []
+            for i, j in zip(cut, [*cut[1:], len(pdf)]):
+                if key[i] != now:
+                    now, kept, built = key[i], [], None
+                rows = pdf.iloc[i:j]
+                if not side[i]:
+                    kept.append(rows)
+                elif kept:
+                    built = built or _Held(pd.concat(kept), len(size))
+                    for k in range(0, len(rows), 64):
+                        yield built.nearest(rows.iloc[k : k + 64], index, rerank, top)
+
+    top, order = k, ["grp", "part", "side"]
+    found = vectors_.union(queries_).repartition(groups * cuts, "grp", "part").sortWithinPartitions(*order).mapInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Held:
+    """The vectors of a group, in order of vec_id."""
+
+    def __init__(self, rows: pd.DataFrame, cells: int):
+        rows = rows.sort_values("id", kind="stable")
+        self.ids, self.x, self.cell = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), rows["cell"].to_numpy().astype(np.int64)
+        self.codes = np.ascontiguousarray(np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1).T)
+        self.cells = cells
+
+    def nearest(self, queries: pd.DataFrame, index: Index, rerank: int, k: int) -> pd.DataFrame:
+        """Each query's k best of those in its cells: approximate scores of all from the asymmetric tables, exact ones of the `rerank` best."""
+        q, names = np.stack(queries["v"].to_numpy()), queries["id"].to_numpy()
+        visited = np.zeros((len(q), self.cells), bool)
+        for i, cells in enumerate(queries["cells"]):
+            visited[i, cells] = True
+        near = (q @ index.coarse.T).astype(np.float32)[:, self.cell]
+        tables = index.tables(q).astype(np.float32)
+        for p, codes in enumerate(self.codes):
+            near += tables[:, p][:, codes]
+        near[~visited[:, self.cell] | (self.ids == names[:, None])] = -np.inf
+        # what ties with the last place is reranked too, so equal copies stay in order of vec_id
+        bound = np.partition(near, near.shape[1] - rerank, axis=1)[:, -rerank] if near.shape[1] > rerank else np.full(len(q), -np.inf)
+        out = []
+        for name, query, row, least in zip(names, q, near, bound):
+            at = np.flatnonzero((row >= least) & (row > -np.inf))
+            exact = (self.x[at] * query).sum(axis=1)
+            best = np.lexsort((self.ids[at], -exact))[:k]
+            out.append((np.full(len(best), name), self.ids[at][best], exact[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+
+
 def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
