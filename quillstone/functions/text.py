@@ -104,6 +104,11 @@ def first_year(text: Column) -> Column:
     return F.when(year.between(1950, 2030), year)
 
 
+def whole_year(text: Column) -> Column:
+    """The first year of 1900 to 2099 that stands by itself, no part of a longer word."""
+    return empty_to_null(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1)).cast("int")
+
+
 def heading_category(text: Column, tag: Column) -> Column:
     """A section heading's category, calls to action first; null if unknown."""
     low = F.lower(F.trim(text))
@@ -191,15 +196,45 @@ def duration(start: Column, end: Column) -> Column:
     return F.format_string("%dm %ds", F.floor(seconds / 60).cast("int"), (seconds % 60).cast("int"))
 
 
-def age_restriction(text: Column) -> Column:
-    """(least, most) age from a short text; null if it states none."""
-    low = F.regexp_extract(text, r"(?i)\baged?\s+(\d{1,3})\s*(?:-|to)\s*(\d{1,3})", 1)
-    high = F.regexp_extract(text, r"(?i)\baged?\s+(\d{1,3})\s*(?:-|to)\s*(\d{1,3})", 2)
-    least = F.regexp_extract(text, r"(?i)\baged?\s+(?:over\s+)?(\d{1,3})", 1)
-    a, b, c = (F.when(x != "", x.cast("int")) for x in (low, high, least))
-    adults = text.rlike("(?i)only sees? adults|adults only")
-    pair = lambda x, y: F.struct(x.cast("int").alias("least"), y.cast("int").alias("most"))
-    return F.when(adults, pair(F.lit(18), F.lit(None))).when((a <= b) & (b <= 120), pair(a, b)).when(c <= 120, pair(c, F.lit(None)))
+# The patterns of age limits, of words that asterisks break, and of a registration number.
+ADULTS_ONLY = r"(?i)only\s+sees?\s+adults"
+AGE_RANGE = r"(?i)(?:from\s+(?:the\s+)?)?ages?\s+(?:of\s+)?(\d{1,3})\s*(?:to|-)\s*(\d{1,3})"
+AGE_LEAST = r"(?i)(?:ages?\s+(?:of\s+)?(?:over|above)|(?:over|above)\s+(?:the\s+)?age\s+(?:of\s+)?)(\d{1,3})"
+BROKEN_WORD = r"\w\*{2,}\w|\*{2,}\w+\*{2,}"
+REGISTRATION = r"(?i)GMC\s*number:\s*([A-Za-z0-9-]+)"
+
+
+def _age(text: Column, least: Column, most: Column) -> Column:
+    return F.struct(text.alias("text"), least.cast("int").alias("least"), most.cast("int").alias("most"))
+
+
+def age_limit(text: Column) -> Column:
+    """(text, least, most) from a short text: a range up to 120, else a least age; null if it states none."""
+    a, b, c = (empty_to_null(F.regexp_extract(text, p, i)).cast("int") for p, i in ((AGE_RANGE, 1), (AGE_RANGE, 2), (AGE_LEAST, 1)))
+    ranged = F.when((a <= b) & (b <= 120), _age(F.regexp_extract(text, AGE_RANGE, 0), a, b))
+    return ranged.when(c <= 120, _age(F.regexp_extract(text, AGE_LEAST, 0), c, F.lit(None)))
+
+
+def age_restriction(body: Column, candidates: Column) -> Column:
+    """A page's age limit: adults only if its body says so anywhere, else the first that one of the candidates, short texts in order, states."""
+    adults = empty_to_null(F.regexp_extract(body, ADULTS_ONLY, 0))
+    found = F.get(F.filter(F.transform(candidates, age_limit), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(adults.isNotNull(), _age(adults, F.lit(18), F.lit(None))).otherwise(found)
+
+
+def broken_words(text: Column) -> Column:
+    """Whether asterisks break a word or stand around one."""
+    return text.rlike(BROKEN_WORD)
+
+
+def registration_code(text: Column) -> Column:
+    """The registration number that a page states, as it stands there."""
+    return empty_to_null(F.regexp_extract(text, REGISTRATION, 1))
+
+
+def booking_code(number: Column) -> Column:
+    """A registration number if it is all digits."""
+    return F.when(number.rlike("^[0-9]+$"), number)
 
 
 def rating(text: Column) -> Column:

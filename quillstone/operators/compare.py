@@ -17,8 +17,10 @@ def ranked_value(column: Column, ranks: dict[str, int], unknown: int | None = No
     return F.coalesce(*[F.when(column == k, v) for k, v in ranks.items()], F.lit(unknown))
 
 
-def preferred_links(links: DataFrame) -> DataFrame:
-    """Each slug's link of the greatest confidence, then the latest, then the least rival_id. By a combinable aggregate: no slug's links gather."""
+def preferred_links(links: DataFrame, rivals: DataFrame | None = None) -> DataFrame:
+    """Each slug's link of the greatest confidence, then the latest, then the least rival_id; with `rivals` only links to theirs. By a combinable aggregate: no slug's links gather."""
+    if rivals is not None:
+        links = links.join(rivals.select("rival_id"), "rival_id", "left_semi")
     best = F.struct(-ranked_value(F.col("match_confidence"), CONFIDENCE, 0), -F.unix_micros(F.col("matched_at").cast("timestamp")), F.col("rival_id"))
     return links.groupBy("slug").agg(F.min_by(F.struct("rival_id", "match_confidence", "matched_at"), best).alias("l")).select("slug", "l.*")
 
@@ -63,6 +65,13 @@ def compared(pairs: DataFrame) -> DataFrame:
     )
 
 
+def single(home: DataFrame, rival: DataFrame, links: DataFrame, slug: str) -> DataFrame:
+    """(slug, comparison): one profile's comparison with its preferred link as a struct of scores, tiers and seven dimensions; null if it has no link or a side is missing. One row always."""
+    mine = pairs(home.where(F.col("slug") == slug), rival, links.where(F.col("slug") == slug))
+    found = compared(mine).select("slug", F.struct("rival_id", "match_confidence", "home_score", "rival_score", "home_tier", "rival_tier", "home_adjusted", "rival_adjusted", "dimensions").alias("comparison"))
+    return home.sparkSession.createDataFrame([(slug,)], "slug string").join(found, "slug", "left")
+
+
 def aggregate(pairs: DataFrame, home: DataFrame) -> DataFrame:
     """One row over all pairs; scores within two points tie. matched_count counts linked pairs, home_only may go below zero."""
     rows = pairs.withColumn("is_home", F.lit(False)).unionByName(home.select(F.lit(True).alias("is_home")), allowMissingColumns=True)
@@ -94,6 +103,13 @@ def deltas(pairs: DataFrame) -> DataFrame:
     return out.withColumn("lead", F.when(F.col("delta") > 2, "rival").when(F.col("delta") < -2, "home").otherwise("tie"))
 
 
+def delta_page(pairs: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
+    """A page of deltas, the home side's greatest leads first, with each row's rank."""
+    order = [F.asc("delta"), F.asc("slug")]
+    some = deltas(pairs).orderBy(*order).offset((number - 1) * size).limit(size)
+    return some.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + (number - 1) * size)  # `size` rows
+
+
 def top_gaps(pairs: DataFrame, most: int = 20) -> DataFrame:
     order = [F.desc("delta"), F.asc("slug")]
     top = deltas(pairs).where("delta > 0").orderBy(*order).limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.numbers import percent
-from quillstone.functions.text import empty_to_null, first_year, without_fences
+from quillstone.functions.text import empty_to_null, whole_year, without_fences
 from quillstone.operators.compare import CONFIDENCE, ranked_value
 from quillstone.operators.scoring import FLAGS
 
@@ -67,8 +67,11 @@ def sources_by_support(facts: DataFrame) -> DataFrame:
 
 
 def queries_for(name: Column, site: Column, specialty: Column) -> Column:
-    """Web searches for a person."""
-    return F.array(F.concat_ws(" ", F.concat(F.lit('"'), name, F.lit('"')), specialty, F.lit("consultant")), F.concat_ws(" ", F.concat(F.lit('"'), name, F.lit('"')), site), F.concat_ws(" ", name, F.lit("research publications")))
+    """Web searches for a person: general, by site (or by specialty, where no site is known), and for a portrait."""
+    # The words of the searches.
+    quoted = F.concat(F.lit('"'), name, F.lit('"'))
+    second = F.when(F.coalesce(site, F.lit("")) != "", F.concat_ws(" ", quoted, site)).otherwise(F.concat_ws(" ", quoted, specialty, F.lit("hospital")))
+    return F.array(F.concat_ws(" ", quoted, specialty, F.lit("consultant")), second, F.concat_ws(" ", quoted, specialty, F.lit("portrait photo")))
 
 
 def answer_list(answer: Column) -> Column:
@@ -80,7 +83,7 @@ def answer_list(answer: Column) -> Column:
 
 
 def answer_year(answer: Column) -> Column:
-    return first_year(without_fences(answer))
+    return whole_year(without_fences(answer))
 
 
 def answer_text(answer: Column) -> Column:

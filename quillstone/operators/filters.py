@@ -123,6 +123,23 @@ def sort_order(key: str | None, descending: bool = False) -> list[Column]:
     return [keys[key].desc() if descending else keys[key].asc(), F.asc("slug")]
 
 
+# The second list of sort modes, of callers that ask by name.
+SORT_MODES = {"score_desc": ("score", True), "score_asc": ("score", False), "price_desc": ("price", True), "price_asc": ("price", False)}
+
+
+def sort_mode(mode: str | None) -> list[Column]:
+    """A mode's order with the slug as tie-break; any other is by name."""
+    column, descending = SORT_MODES.get(mode, ("name", False))
+    return [F.desc(column) if descending else F.asc(column), F.asc("slug")]
+
+
+def resorted(groups: DataFrame, metric: str, key: str, metrics: list[str], descending: bool = True) -> DataFrame:
+    """Group rows, few as they are, by one of their metrics."""
+    if metric not in metrics:
+        raise ValueError(f"unknown metric {metric}")
+    return groups.orderBy(F.desc(metric) if descending else F.asc(metric), key)
+
+
 def page(profiles: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
     """Page `number` (from 1) of `size` rows."""
     return profiles.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)

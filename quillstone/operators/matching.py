@@ -3,59 +3,66 @@
 Three tiers: equal names, then equal first and last word with the shorter name's words in order within the longer, then
 equal first letter and last word at edit distance 1 or 2. In each a candidate must be the only one left. A match uses its candidate
 up, so order counts: home rows go by slug. Every tier implies the same last word and first letter, so blocks of these are independent.
+
+Candidates are found between distinct names, by a join on the block and built-in functions. A name that several rivals share never gives a match but stands in the way of others, so it goes
+on as one row; home names that have no single rival among their candidates drop out. Only the order is left to a step over a block's remaining home rows and candidate pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import core_signature, loose_signature, name_key
 from quillstone.operators.grouping import map_groups
 
 
-def _within(a: str, b: str) -> bool:
-    short, long = sorted((a.split(), b.split()), key=len)
-    if len(short) < 2 or len(long) - len(short) > 2 or short[0] != long[0] or short[-1] != long[-1]:
-        return False
-    rest = iter(long)
-    return all(w in rest for w in short)
+def in_order(a: Column, b: Column) -> Column:
+    """Whether two names' first and last words are equal and all words of the shorter, at most two fewer, are in order within the longer."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    met = F.aggregate(long, F.lit(0), lambda n, w: n + F.coalesce(F.get(short, n) == w, F.lit(False)).cast("int"))
+    return (F.size(short) >= 2) & (F.size(long) - F.size(short) <= 2) & (core_signature(a) == core_signature(b)) & (met == F.size(short))
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def candidates(home: DataFrame, rival: DataFrame) -> DataFrame:
+    """(block, home_key, rival_key, rival_id, near, distance) between distinct names of (key, block) and (key, block, rival_id): rival_id is null where several share the name."""
+    h = home.select("block", F.col("key").alias("home_key")).distinct()
+    r = rival.groupBy("block", F.col("key").alias("rival_key")).agg(F.when(F.count(F.lit(1)) == 1, F.min("who")).alias("rival_id"))
+    two = F.size(F.split("home_key", " ")) >= 2
+    pairs = h.join(r, "block").withColumns({"near": two & ((F.col("home_key") == F.col("rival_key")) | in_order(F.col("home_key"), F.col("rival_key"))), "distance": F.levenshtein("home_key", "rival_key", 2)})
+    return pairs.where((F.col("distance") == 0) | F.col("near") | (two & (F.col("distance") > 0)))
 
 
 def _block(rows: list[tuple]) -> list[tuple]:
-    """rows: (block, side, id, key, core), home rows (side 0) in order of slug."""
-    left = {who: (key, core) for _, side, who, key, core in rows if side}
-    out = []
-    for slug, key, core in ((r[2], r[3], r[4]) for r in rows if not r[1]):
-        same = [r for r, (k, _) in left.items() if k == key]
-        found, sure = (same, "medium") if len(same) == 1 else (None, "low")
-        if found is None:
-            near = [r for r, (k, c) in left.items() if core and c == core and (k == key or _within(k, key))]
-            found = near if len(near) == 1 else None
-        if found is None:
-            far = sorted((d, r) for r, (k, _) in left.items() if core and 0 < (d := _distance(k, key)) <= 2)
-            found = [far[0][1]] if far and (len(far) == 1 or far[1][0] > far[0][0]) else None
-        if found:
-            out.append((slug, found[0], sure))
-            del left[found[0]]
+    """rows: (block, side, who, key, rival_key, near, distance), candidate pairs (side 0) before home rows (side 1) in order of slug."""
+    around, used, out = {}, set(), []
+    for _, side, who, key, other, near, distance in rows:
+        if not side:
+            around.setdefault(key, []).append((other, who, near, distance))
+            continue
+        left = [c for c in around.get(key, ()) if c[0] not in used]
+        same, close = [c for c in left if c[3] == 0], [c for c in left if c[2]]
+        far = sorted(c[3] for c in left if c[3] > 0)
+        best = [c for c in left if far and c[3] == far[0]]
+        for found, sure in ((same, "medium"), (close, "low"), (best, "low")):
+            if len(found) == 1 and found[0][1] is not None:
+                used.add(found[0][0])
+                out.append((who, found[0][1], sure))
+                break
     return out
 
 
 def match(home: DataFrame, rival: DataFrame) -> DataFrame:
     """(slug, rival_id, match_confidence) for home (slug, name) and rival (rival_id, name). Nameless rows match nobody. A block is one initial with one last name."""
 
-    def keyed(df, id_col, side):
+    def keyed(df, id_col):
         k = df.select(F.col(id_col).alias("who"), name_key(F.col("name")).alias("key")).where(F.col("key") != "").dropDuplicates(["who"])
-        return k.select(F.coalesce(loose_signature(F.col("key")), F.col("key")).alias("block"), F.lit(side).alias("side"), "who", "key", core_signature(F.col("key")).alias("core"))
+        return k.withColumn("block", F.coalesce(loose_signature(F.col("key")), F.col("key")))
 
-    rows = keyed(home, "slug", 0).union(keyed(rival, "rival_id", 1))
-    return map_groups(rows, ["block"], ["side", "who"], lambda key, group: _block(group), "slug string, rival_id string, match_confidence string")
+    mine = keyed(home, "slug")
+    pairs = candidates(mine, keyed(rival, "rival_id"))
+    some = pairs.groupBy("home_key").agg(F.count("rival_id").alias("n")).where("n > 0").select("home_key")
+    edges = pairs.join(some, "home_key", "left_semi").select("block", F.lit(0).alias("side"), F.col("rival_id").alias("who"), F.col("home_key").alias("key"), "rival_key", "near", "distance")
+    rows = mine.join(some, F.col("key") == F.col("home_key"), "left_semi").select("block", F.lit(1).alias("side"), "who", "key", F.lit(None).cast("string").alias("rival_key"), F.lit(None).cast("boolean").alias("near"), F.lit(None).cast("int").alias("distance"))
+    return map_groups(edges.union(rows), ["block"], ["side", "who"], lambda key, group: _block(group), "slug string, rival_id string, match_confidence string")

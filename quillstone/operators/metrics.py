@@ -19,9 +19,18 @@ def _tier_counts() -> list[Column]:
     return [count_where(F.col("tier") == t).alias(f"{t.lower()}_count") for t in TIERS]
 
 
-def group_count(df: DataFrame, key: str | Column, most: int | None = None) -> DataFrame:
-    """(name, n), commonest first; ties by name."""
-    out = df.groupBy((F.col(key) if isinstance(key, str) else key).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+UNKNOWN = "Unknown"
+
+
+def or_unknown(df: DataFrame, *columns: str) -> DataFrame:
+    """Nulls of text columns as they are shown."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(UNKNOWN)) for c in columns})
+
+
+def group_count(df: DataFrame, key: str | Column, most: int | None = None, other: str | None = None) -> DataFrame:
+    """(name, n), commonest first; ties by name. Nulls are counted as `other`, if that is given."""
+    name = F.col(key) if isinstance(key, str) else key
+    out = df.groupBy((name if other is None else F.coalesce(name, F.lit(other))).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return out if most is None else out.where("name is not null").orderBy(F.desc("n"), "name").limit(most)
 
 
@@ -30,6 +39,15 @@ def element_count(df: DataFrame, array: str, most: int | None = None) -> DataFra
     return group_count(df.select(F.explode(array).alias("x")), "x", most)
 
 
+def names(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values, nulls apart, in order."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+
+
+def element_names(df: DataFrame, array: str, name: str) -> DataFrame:
+    return names(df.select(F.explode(array).alias(name)), name)
+
+
 def kpis(scored: DataFrame) -> DataFrame:
     return scored.agg(
         F.count(F.lit(1)).alias("total_profiles"),
@@ -110,25 +128,18 @@ def gaps() -> dict[str, Column]:
 
 
 def facets(scored: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(facet, name, n) of all facets. The scalar ones come from one pass by grouping sets."""
+    """(facet, name, n) of all facets from one pass: a row's names are exploded and counted before they are shuffled. `flag` and `linked` count slugs, whose rows in one run are one."""
+    one = lambda facet, name: F.struct(F.lit(facet).alias("facet"), name.alias("name"))
     photo = F.when(flag_is("has_photo", True), "has").otherwise("missing")
-    keys = {"tier": F.col("tier"), "booking_state": F.col("booking_state"), "site": F.col("site"), "bio_depth": F.col("bio_depth"), "photo": photo}
-    base = scored.select(*[c.alias(k) for k, c in keys.items()])
-    sets = base.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"))
-    full = (1 << len(keys)) - 1
-    pick = lambda what: F.coalesce(*[F.when(F.col("gid") == full - (1 << (len(keys) - 1 - i)), what(k)) for i, k in enumerate(keys)])
-    scalar = sets.select(pick(F.lit).alias("facet"), pick(F.col).alias("name"), "n").where("name is not null")
-    special = element_count(scored, "specialty_primary").select(F.lit("specialty").alias("facet"), "name", "n")
-    severity = scored.select("slug", F.explode(F.array_distinct("flags.severity")).alias("name")).where(F.col("name").isin("fail", "warn"))
-    flags = severity.groupBy("name").agg(F.countDistinct("slug").alias("n")).select(F.lit("flag").alias("facet"), "name", "n")
+    scalars = [one(k, F.col(k)) for k in ("tier", "booking_state", "site", "bio_depth")] + [one("photo", photo)]
     lacking = {k: v for k, v in gaps().items() if k in ("bio_needs_expansion", "missing_insurers", "missing_times", "missing_qualifications", "missing_memberships")}
-    row = scored.agg(*[count_where(v).alias(k) for k, v in lacking.items()])
-    gap = row.select(F.inline(F.array(*[F.struct(F.lit("gap").alias("facet"), F.lit(k).alias("name"), F.col(k).alias("n")) for k in lacking])))
-    out = scalar.union(special).union(flags).union(gap)
+    scalars += [one("gap", F.when(v, F.lit(k))) for k, v in lacking.items()]
     if links is not None:
-        linked = scored.join(links.select("slug").distinct(), "slug", "left_semi").agg(F.countDistinct("slug").alias("n"))
-        out = out.union(linked.select(F.lit("linked").alias("facet"), F.lit("rival").alias("name"), "n"))
-    return out
+        scored = scored.join(links.select("slug", F.lit(True).alias("__linked")).distinct(), "slug", "left")
+        scalars.append(one("linked", F.when(F.col("__linked"), F.lit("rival"))))
+    many = [F.transform("specialty_primary", lambda x: one("specialty", x)), F.transform(F.filter(F.array_distinct("flags.severity"), lambda x: x.isin("fail", "warn")), lambda x: one("flag", x))]
+    names = F.concat(F.array(*scalars), *[F.coalesce(m, F.array().cast("array<struct<facet:string,name:string>>")) for m in many])
+    return scored.select(F.inline(names)).where("name is not null").groupBy("facet", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _actions(scored: DataFrame, points: dict[str, tuple[str, float]]) -> DataFrame:
@@ -177,6 +188,27 @@ def impact_summary(scored: DataFrame) -> DataFrame:
     )
 
 
+# The columns of the three lists of profiles.
+SHORT_LIST = ["name", "slug", "site", "tier", "score", "booking_state", "has_photo", "bio_depth", "insurer_count", "plain_english_score"]
+SEARCH_LIST = ["name", "slug", "site", "specialty_primary", "tier", "score", "plain_english_score", "bio_depth", "has_photo", "booking_state", "price", "insurer_count", "online_bookable", "slots_28_days"]
+DETAIL_LIST = [
+    "name", "title", "slug", "url", "site", "specialty_primary", "tier", "score", "plain_english_score", "plain_english_reason", "bio_depth", "bio_depth_reason", "treatment_specificity", "treatment_specificity_reason",
+    "qualifications_completeness", "has_photo", "booking_state", "price", "insurer_count", "online_bookable", "slots_28_days", "next_slot", "clinical_interests", "languages", "practising_since", "registration_number", "quality_notes", "flags",
+]
+
+
+def listed(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """Those columns of scored profiles; counts and bookability are derived, and what a source does not have is null."""
+    derived = {"insurer_count": F.coalesce(F.size("insurers"), F.lit(0)), "online_bookable": F.coalesce(F.col("booking_state") != "not_bookable", F.lit(False))}
+    have = scored.withColumns({k: v for k, v in derived.items() if k not in scored.columns})
+    return have.select(*[F.col(c) if c in have.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def short_list(ranked: DataFrame) -> DataFrame:
+    """Ranked profiles as reports list them: names and sites never null, scores to one digit."""
+    return or_unknown(listed(ranked, [*SHORT_LIST, "rank"]), "name", "site").withColumn("score", half_up(F.col("score"), 1))
+
+
 def _ranked(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     top = df.orderBy(*order).limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `most` rows
@@ -204,6 +236,16 @@ def exemplar(scored: DataFrame, specialty: str) -> DataFrame:
     return scored.where("score is not null").orderBy(F.desc(F.coalesce(mine, F.lit(False))), F.desc("score"), "slug").limit(1)
 
 
+def exemplar_content(scored: DataFrame, specialty: str, element: str) -> DataFrame:
+    """(slug, content): that element of the best profile of a specialty, or of all if it has none. Arrays as JSON, empty ones null."""
+    best = benchmark_profiles(scored, 1, specialty).withColumn("own", F.lit(0)).unionByName(benchmark_profiles(scored, 1).withColumn("own", F.lit(1))).orderBy("own").limit(1)
+    if element in ("treatments", "specialty_sub", "memberships", "clinical_interests"):
+        content = F.when(~arrays.missing(F.col(element)), F.to_json(element))
+    else:
+        content = F.col("about_text" if element == "bio" else element).cast("string")
+    return best.select("slug", content.alias("content"))
+
+
 def average_of_top(scored: DataFrame, most: int = 5) -> DataFrame:
     return benchmark_profiles(scored, most).agg(half_up(F.avg("score"), 1).alias("benchmark"))
 
@@ -214,12 +256,26 @@ def unpivot(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
 
 
 def outliers(groups: DataFrame, key: str, metrics: list[str], least_size: int = 5, least_groups: int = 3, beyond: float = 1.5) -> DataFrame:
-    """(key, metric, value, z): groups whose rounded metric lies far from the groups' mean. Population deviation; metrics without spread are left out."""
+    """(key, metric, value, z, far): groups whose rounded metric lies far from the groups' mean, the farthest first (far: the distance, not rounded to two digits). Population deviation; metrics without spread are left out."""
     rows = unpivot(groups.where(F.col("profiles") >= least_size), key, metrics)
     stats = rows.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"), F.count(F.lit(1)).alias("n"))
     z = (F.col("value") - F.col("mean")) / F.col("spread")
     near = rows.join(stats.where((F.col("spread") > 1e-12) & (F.col("n") >= least_groups)), "metric")
-    return near.withColumn("z", z).where(F.abs("z") > beyond).select(key, "metric", "value", half_up(F.col("z"), 2).alias("z"))
+    far = near.withColumn("z", z).where(F.abs("z") > beyond).withColumn("far", F.round(F.abs("z"), 9))
+    return far.orderBy(F.desc("far"), key, "metric").select(key, "metric", "value", half_up(F.col("z"), 2).alias("z"), "far")
+
+
+def ranked_outliers(groups: DataFrame, key: str, metrics: list[str], **how) -> DataFrame:
+    """outliers() with their place, few as they are."""
+    found = outliers(groups, key, metrics, **how)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("far"), key, "metric"))).drop("far")
+
+
+def standings(scored: DataFrame) -> DataFrame:
+    """(slug, specialty, standing): above, below or equal to the rounded mean score of each specialty that a profile lists."""
+    rows = scored.select("slug", "score", F.explode("specialty_primary").alias("specialty"))
+    means = rows.groupBy("specialty").agg(mean(F.col("score")).alias("m"))
+    return rows.join(means, "specialty").select("slug", "specialty", F.when(F.col("score") > F.col("m"), "above").when(F.col("score") < F.col("m"), "below").otherwise("equal").alias("standing"))
 
 
 def heatmap(groups: DataFrame, key: str, metrics: list[str], tenths: tuple[str, ...] = (), least_size: int = 5) -> DataFrame:
@@ -240,6 +296,34 @@ def narrative(scored: DataFrame) -> DataFrame:
     return k.select(F.format_string("%d profiles with an average score of %.1f; %.1f%% are Gold and %d need review.", "total_profiles", "avg_score", "gold_pct", "needs_review").alias("sentence"))
 
 
+def report(scored: DataFrame, run_id: str) -> DataFrame:
+    """One row, the run's report in parts: headline, summary, three strengths, three risks, up to four key actions, questions and a note on how sure it is. Made of the run's figures alone."""
+    tiers = scored.agg(*[c.alias(f"tier_{t.lower()}") for c, t in zip([count_where(F.col("tier") == t) for t in TIERS], TIERS)])
+    actions = quick_actions(scored).agg(F.array_sort(F.collect_list(F.struct("rank", "action", "profiles", "impact"))).alias("actions"))  # five rows
+    impact = impact_summary(scored).select("current_avg_score", "projected_avg_score", "current_gold_pct", "projected_gold_pct")
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    row = one(kpis(scored)).join(one(tiers), "__one").join(one(actions), "__one").join(one(impact), "__one")  # one row each
+    say = F.format_string
+    top = F.get("actions", F.lit(0))
+    best = F.when(top.isNotNull(), say("%s (%d profiles, up to %.1f points)", top.action, top.profiles, top.impact)).otherwise("none of weight")
+    act = lambda a: F.struct(a.action.alias("action"), say("%d profiles lack this.", a.profiles).alias("rationale"), say("Up to %.1f points over the run.", a.impact).alias("expected_impact"), F.lit("0-30 days").alias("time_horizon"))
+    return row.select(
+        say("Run %s: %.1f of 100 on average, %.1f%% Gold.", F.lit(run_id[:8]), "avg_score", "gold_pct").alias("headline"),
+        F.concat_ws(
+            " ",
+            say("%d profiles score %.1f on average.", "total_profiles", "avg_score"),
+            say("%d are Gold, %d Incomplete, %d bookable with slots.", "tier_gold", "tier_incomplete", "bookable_count"),
+            F.concat(F.lit("Greatest gain in reach: "), best, F.lit(".")),
+            say("With every action taken the average would go from %.1f to %.1f and Gold from %.1f%% to %.1f%%.", "current_avg_score", "projected_avg_score", "current_gold_pct", "projected_gold_pct"),
+        ).alias("summary"),
+        F.array(say("%d profiles are Gold.", "tier_gold"), say("%d can be booked now.", "bookable_count"), say("Plain English averages %.1f of 5.", "avg_plain_english")).alias("strengths"),
+        F.array(say("%d profiles are Incomplete.", "tier_incomplete"), say("%d need review.", "needs_review"), say("%d have no photo.", "missing_photos")).alias("risks"),
+        F.transform(F.slice("actions", 1, 4), act).alias("key_actions"),
+        F.array(F.lit("Which sites hold most of the Incomplete profiles?"), F.lit("Who sees the first actions through within 30 days?"), F.lit("Should a profile meet a minimum before it is shown?")).alias("questions"),
+        F.lit("Figures are exact counts of the run; projections assume that every listed action is taken.").alias("confidence_note"),
+    )
+
+
 def slot_summary(slots: DataFrame, from_date: Column, key: str = "practitioner_id") -> DataFrame:
     """Per key of (slot_date, price text) rows: slots and days before from_date + 28, mean a day, next date, least price."""
     soon = F.col("slot_date") < F.date_add(from_date, 28)

@@ -5,6 +5,8 @@ Profile queries read the profiles view (schema.py), others the tables as they ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from quillstone.functions import arrays, text
 from quillstone.functions.numbers import half_up
 from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, scoring
 from quillstone.operators.filters import ProfileFilter
+from quillstone.plans import tools
 from quillstone.schema import PROFILES_SQL, profiles, validate
 from quillstone.sources import html, sinks, sitemaps, snapshots
 from quillstone.streaming.ingest import windowed_counts
@@ -146,9 +149,14 @@ def broken_rules(spark, sf_dir):
 # ---- reports over one run
 
 
-@query(_ALL + "SELECT coalesce(tier, 'none') AS name, count(*) AS n FROM t GROUP BY 1")
+@query(_ALL + "SELECT coalesce(tier, 'Unknown') AS name, count(*) AS n FROM t GROUP BY 1")
 def tier_distribution(spark, sf_dir):
-    return metrics.group_count(run(spark, sf_dir), "tier")
+    return metrics.group_count(run(spark, sf_dir), "tier", other=metrics.UNKNOWN)
+
+
+@query(_ALL + "SELECT coalesce(site, 'Unknown') AS name, count(*) AS n FROM t GROUP BY 1")
+def site_distribution(spark, sf_dir):
+    return metrics.group_count(run(spark, sf_dir), "site", other=metrics.UNKNOWN)
 
 
 @query(
@@ -201,14 +209,19 @@ def specialty_avg(spark, sf_dir):
     return metrics.specialty_average(run(spark, sf_dir), "en")
 
 
-@query(_ALL + "SELECT DISTINCT unnest(specialty_primary) AS specialty FROM t")
+def _placed(names: DataFrame, column: str) -> DataFrame:
+    """A list of names, few as they are, in order, with their places."""
+    return names.withColumn("place", F.row_number().over(metrics.Window.orderBy(column)).cast("long"))
+
+
+@query(_ALL + "SELECT specialty, row_number() OVER (ORDER BY specialty) AS place FROM (SELECT DISTINCT unnest(specialty_primary) AS specialty FROM t)")
 def specialty_list(spark, sf_dir):
-    return run(spark, sf_dir).select(F.explode("specialty_primary").alias("specialty")).distinct()
+    return _placed(metrics.element_names(run(spark, sf_dir), "specialty_primary", "specialty"), "specialty")
 
 
-@query(_ALL + "SELECT DISTINCT site FROM t WHERE site IS NOT NULL")
+@query(_ALL + "SELECT site, row_number() OVER (ORDER BY site) AS place FROM (SELECT DISTINCT site FROM t WHERE site IS NOT NULL)")
 def site_list(spark, sf_dir):
-    return run(spark, sf_dir).where("site is not null").select("site").distinct()
+    return _placed(metrics.names(run(spark, sf_dir), "site"), "site")
 
 
 @query(
@@ -272,6 +285,42 @@ def benchmark_average(spark, sf_dir):
     return metrics.average_of_top(run(spark, sf_dir))
 
 
+@query(_ALL + f"SELECT name, slug, coalesce(site, 'Unknown') AS site, tier, {_UP('score')} AS score, booking_state, has_photo, bio_depth, insurer_count, plain_english_score::DOUBLE AS plain_english_score, CAST(row_number() OVER (ORDER BY score DESC, name, slug) AS INT) AS rank FROM t QUALIFY rank <= 5")
+def short_list(spark, sf_dir):
+    return metrics.short_list(metrics.top_performers(run(spark, sf_dir))).withColumn("plain_english_score", F.col("plain_english_score").cast("double"))
+
+
+_SEARCH = "name, slug, site, array_to_string(specialty_primary, ';') AS specialties, tier, score, plain_english_score::DOUBLE AS plain_english_score, bio_depth, has_photo, booking_state, price, insurer_count, booking_state <> 'not_bookable' AS online_bookable, slots_28_days::DOUBLE AS slots_28_days"
+_MODES = {"score_desc": "score DESC", "score_asc": "score", "price_desc": "price DESC", "price_asc": "price", "other": "name"}
+
+
+@query(_ALL + ", x AS (SELECT * FROM t WHERE tier = 'Bronze' AND score >= 45 AND list_contains(specialty_primary, 'en')) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, (SELECT count(*) FROM x) AS total, {_SEARCH}, CAST(row_number() OVER (ORDER BY {o}, slug) AS INT) AS place FROM x" for m, o in _MODES.items()) + ") WHERE place <= 12")
+def tool_search(spark, sf_dir):
+    """The search tool under each sort mode."""
+    scored = run(spark, sf_dir)
+    out = []
+    for mode in _MODES:
+        found = tools.execute(scored, "search_profiles", {"tier": "Bronze", "score_min": 45, "specialty": "en", "sort_by": mode, "limit": 12})
+        place = F.row_number().over(metrics.Window.orderBy(*filters.sort_mode(mode)))  # 12 rows
+        out.append(found.select(F.lit(mode).alias("mode"), "*", place.alias("place")).withColumns({"specialty_primary": F.array_join("specialty_primary", ";")} | {c: F.col(c).cast("double") for c in ("plain_english_score", "slots_28_days")}).withColumnRenamed("specialty_primary", "specialties"))
+    return reduce(DataFrame.union, out)
+
+
+@query(_ALL + "SELECT name, slug, site, array_to_string(specialty_primary, ';') AS specialties, tier, score, practising_since, registration_number, insurer_count, fails, (SELECT count(*) FROM (SELECT 1 LIMIT 0)) AS reasons FROM t WHERE slug = 'p-7'")
+def tool_detail(spark, sf_dir):
+    row = tools.execute(run(spark, sf_dir), "profile_detail", {"slug": "p-7"})
+    fails = F.size(F.filter("flags", lambda f: f.severity == "fail")).cast("long")
+    reasons = (F.col("plain_english_reason").isNotNull().cast("long") + F.col("bio_depth_reason").isNotNull().cast("long")).alias("reasons")
+    return row.select("name", "slug", "site", F.array_join("specialty_primary", ";").alias("specialties"), "tier", "score", "practising_since", "registration_number", "insurer_count", fails.alias("fails"), reasons)
+
+
+@query(_ALL + f"SELECT slug, CASE WHEN membership_count > 0 THEN '[\"society\"]' END AS content, 'memberships' AS element FROM (SELECT *, {_BEST} AS r FROM t WHERE list_contains(specialty_primary, 'de')) WHERE r = 1 UNION ALL SELECT slug, qualifications, 'qualifications' FROM (SELECT *, {_BEST} AS r FROM t) WHERE r = 1")
+def exemplar_contents(spark, sf_dir):
+    """A specialty's best profile's memberships; and, for a specialty that nobody has, the overall best one's qualifications."""
+    scored = run(spark, sf_dir)
+    return metrics.exemplar_content(scored, "de", "memberships").withColumn("element", F.lit("memberships")).union(metrics.exemplar_content(scored, "nobody's", "qualifications").withColumn("element", F.lit("qualifications")))
+
+
 @query(_ALL + "SELECT slug, score FROM t ORDER BY list_contains(specialty_primary, 'de') DESC, score DESC, slug LIMIT 1")
 def exemplar(spark, sf_dir):
     return metrics.exemplar(run(spark, sf_dir), "de").select("slug", "score")
@@ -281,9 +330,20 @@ _UNPIVOT = " UNION ALL ".join(f"SELECT site, '{m}' AS metric, CAST({m} AS DOUBLE
 _SITES = f", b AS (SELECT site, {_BENCH} FROM t WHERE site IS NOT NULL GROUP BY site), u AS ({_UNPIVOT})"
 
 
-@query(_ALL + _SITES + f", w AS (SELECT u.site, metric, value, avg(value) OVER (PARTITION BY metric) AS m, stddev_pop(value) OVER (PARTITION BY metric) AS sd, count(*) OVER (PARTITION BY metric) AS n FROM u JOIN b ON u.site = b.site WHERE profiles >= 5) SELECT site, metric, value, {_UP('(value - m) / sd', 2)} AS z FROM w WHERE sd > 1e-12 AND n >= 3 AND abs((value - m) / sd) > 1.5")
+@query(_ALL + _SITES + f", w AS (SELECT u.site, metric, value, avg(value) OVER (PARTITION BY metric) AS m, stddev_pop(value) OVER (PARTITION BY metric) AS sd, count(*) OVER (PARTITION BY metric) AS n FROM u JOIN b ON u.site = b.site WHERE profiles >= 5) SELECT site, metric, value, {_UP('(value - m) / sd', 2)} AS z, row_number() OVER (ORDER BY round(abs((value - m) / sd), 9) DESC, site, metric) AS place FROM w WHERE sd > 1e-12 AND n >= 3 AND abs((value - m) / sd) > 1.5")
 def site_outliers(spark, sf_dir):
-    return metrics.outliers(metrics.site_benchmark(run(spark, sf_dir)), "site", METRICS)
+    return metrics.ranked_outliers(metrics.site_benchmark(run(spark, sf_dir)), "site", METRICS).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_ALL + f", b AS (SELECT site, {_BENCH} FROM t WHERE site IS NOT NULL GROUP BY site) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, site, row_number() OVER (ORDER BY {m} DESC, site) AS place FROM b" for m in METRICS))
+def site_orders(spark, sf_dir):
+    """The leaderboard by each of six metrics."""
+    sites = metrics.site_benchmark(run(spark, sf_dir))
+    return reduce(DataFrame.union, [_placed_by(filters.resorted(sites, m, "site", METRICS), m).select(F.lit(m).alias("metric"), "site", "place") for m in METRICS])
+
+
+def _placed_by(sites: DataFrame, metric: str) -> DataFrame:
+    return sites.withColumn("place", F.row_number().over(metrics.Window.orderBy(F.desc(metric), "site")).cast("long"))
 
 
 @query(_ALL + _SITES + ", v AS (SELECT u.*, CASE WHEN metric = 'avg_plain_english' THEN value * 10 ELSE value END AS level FROM u JOIN b ON u.site = b.site WHERE profiles >= 5) SELECT site, metric, value, CASE WHEN level >= 70 THEN 'green' WHEN level >= 40 THEN 'amber' ELSE 'red' END AS band FROM v")
@@ -301,17 +361,33 @@ def narrative(spark, sf_dir):
     return metrics.narrative(run(spark, sf_dir))
 
 
+_I = f"SELECT {_MEAN('score')} AS c, {_UP(f'sum(score + {_GAIN}) / greatest(count(*), 1)')} AS p, {_UP("100.0 * count(*) FILTER (tier = 'Gold') / greatest(count(*), 1)")} AS g, {_UP(f'100.0 * count(*) FILTER (score + {_GAIN} >= 80) / greatest(count(*), 1)')} AS q FROM t"
+
+
+@query(
+    _ALL + f""", k AS (SELECT count(*) AS n, {_MEAN('score')} AS a, {_MEAN('plain_english_score')} AS e, count(*) FILTER (tier = 'Gold') AS gold, count(*) FILTER (tier = 'Incomplete') AS inc, count(*) FILTER (booking_state = 'bookable_with_slots') AS bk,
+  count(*) FILTER (NOT manually_reviewed AND {_REVIEW}) AS nr, count(*) FILTER (has_photo IS NOT TRUE) AS np FROM t), i AS ({_I}), q AS (SELECT * FROM ({_ACTION.format(rows=" UNION ALL ".join(_ROW(i, *x) for i, x in enumerate(_QUICK)))}) WHERE rank <= 4)
+SELECT printf('Run run-0: %.1f of 100 on average, %.1f%% Gold.', a, g) AS headline,
+  printf('%d profiles score %.1f on average. %d are Gold, %d Incomplete, %d bookable with slots. Greatest gain in reach: %s (%d profiles, up to %.1f points). With every action taken the average would go from %.1f to %.1f and Gold from %.1f%% to %.1f%%.', n, a, gold, inc, bk, (SELECT action FROM q WHERE rank = 1), (SELECT profiles FROM q WHERE rank = 1), (SELECT impact FROM q WHERE rank = 1), c, p, g, q) AS summary,
+  printf('%d profiles are Gold.|%d can be booked now.|Plain English averages %.1f of 5.', gold, bk, e) AS strengths, printf('%d profiles are Incomplete.|%d need review.|%d have no photo.', inc, nr, np) AS risks,
+  (SELECT string_agg(printf('%s: %d profiles lack this. Up to %.1f points over the run.', action, profiles, impact), '|' ORDER BY rank) FROM q) AS key_actions, 3 AS questions FROM k, i"""
+)
+def run_report(spark, sf_dir):
+    r = metrics.report(run(spark, sf_dir), "run-0")
+    actions = F.array_join(F.transform("key_actions", lambda a: F.concat(a.action, F.lit(": "), a.rationale, F.lit(" "), a.expected_impact)), "|")
+    return r.select("headline", "summary", F.array_join("strengths", "|").alias("strengths"), F.array_join("risks", "|").alias("risks"), actions.alias("key_actions"), F.size("questions").alias("questions"))
+
+
 @query(_ALL + f"SELECT slug, x, CASE WHEN score > m THEN 'above' WHEN score < m THEN 'below' ELSE 'equal' END AS standing FROM (SELECT slug, score, unnest(specialty_primary) AS x FROM t) s JOIN (SELECT x, {_MEAN('score')} AS m FROM (SELECT score, unnest(specialty_primary) AS x FROM t) GROUP BY x) USING (x)")
 def specialty_standing(spark, sf_dir):
-    scored = run(spark, sf_dir).select("slug", "score", F.explode("specialty_primary").alias("x"))
-    means = scored.groupBy("x").agg(half_up(F.avg("score"), 1).alias("m"))
-    return scored.join(means, "x").select("slug", "x", F.when(F.col("score") > F.col("m"), "above").when(F.col("score") < F.col("m"), "below").otherwise("equal").alias("standing"))
+    return metrics.standings(run(spark, sf_dir)).withColumnRenamed("specialty", "x")
 
 
-@query(_ALL + "SELECT count(*) FILTER (has_photo) AS photo, count(about_text) AS about, count(*) FILTER (price > 200) AS dear, count(*) FILTER (site IS NULL AND about_text IS NULL) AS anomalies FROM p")
+@query(_ALL + "SELECT count(*) FILTER (has_photo) AS photo, count(about_text) AS about, count(*) FILTER (price > 200) AS dear, count(*) FILTER (insurer_count > 2 OR about_text IS NULL OR treatment_count = 0 OR time_count = 0) AS anomalies FROM p")
 def presence_counts(spark, sf_dir):
     c = F.col
-    return metrics.presence(profiles(spark, sf_dir), {"photo": c("has_photo"), "about": c("about_text").isNotNull(), "dear": c("price") > 200, "anomalies": c("site").isNull() & c("about_text").isNull()})
+    odd = html.anomalous(F.slice("insurers", 3, 9), c("about_text"), c("treatments"), c("consultation_times"))
+    return metrics.presence(profiles(spark, sf_dir), {"photo": c("has_photo"), "about": c("about_text").isNotNull(), "dear": c("price") > 200, "anomalies": odd})
 
 
 @query(_ALL + "SELECT name, n FROM (SELECT x AS name, count(*) AS n FROM (SELECT unnest(list_slice(['axa', 'aviva', 'vitality'], 1, insurer_count)) AS x FROM p) GROUP BY 1)")
@@ -365,10 +441,10 @@ def review_queue(spark, sf_dir):
     return queue.select("slug", F.array_join(filters.review_reasons(), "|").alias("reasons"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ee%' OR p_brand ILIKE '%ee%' OR p_type ILIKE '%ee%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' OR p_brand ILIKE '%AND#1_' OR p_type ILIKE '%ECO%'")
 def text_search(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.where(text.any_of([F.col(c).ilike("%ee%") for c in ("p_name", "p_brand", "p_type")])).select("p_partkey", "p_name")
+    return part.where(text.any_of([F.col(c).ilike(x) for c, x in (("p_name", "%RING%"), ("p_brand", "%AND#1_"), ("p_type", "%ECO%"))])).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
@@ -420,15 +496,33 @@ def pair_deltas(spark, sf_dir):
     return compare.deltas(_linked(spark, sf_dir)[0]).select("slug", "delta", "lead")
 
 
+@query(_PAIRS + f"SELECT slug, delta, CAST(row_number() OVER (ORDER BY delta, slug) AS INT) AS rank FROM (SELECT slug, {_UP('ra - ha')} AS delta FROM l WHERE ra - ha IS NOT NULL) QUALIFY rank BETWEEN 26 AND 50")
+def delta_page(spark, sf_dir):
+    return compare.delta_page(_linked(spark, sf_dir)[0], 2, 25).select("slug", "delta", "rank")
+
+
+_WIN = lambda x, y: f"CASE WHEN {x} IS NULL AND {y} IS NULL THEN 'tie' WHEN {x} IS NULL OR {y} IS NULL THEN 'incomparable' WHEN {x} = {y} THEN 'tie' WHEN {x} > {y} THEN 'home' ELSE 'rival' END"
+
+
+@query(_PAIRS + f"SELECT slug, hs AS home_score, {_UP('ra')} AS rival_adjusted, concat_ws(',', " + ", ".join(f"'{k}=' || {_WIN(x, y)}" for k, (x, y) in _D.items()) + ") AS dims FROM l WHERE slug = 'p-11' UNION ALL SELECT 'nobody', NULL, NULL, NULL")
+def single_compare(spark, sf_dir):
+    both = run(spark, sf_dir, None)
+    home, rival = both.where("run_id = 'run-0'"), both.where("run_id = 'run-1'")
+    links = rival.select("slug", F.col("slug").alias("rival_id"), F.lit("high").alias("match_confidence"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("matched_at"))
+    found = compare.single(home, rival, links, "p-11").union(compare.single(home, rival, links, "nobody"))
+    dims = F.array_join(F.transform("comparison.dimensions", lambda d: F.concat(d.dimension, F.lit("="), d.winner)), ",")
+    return found.select("slug", F.col("comparison.home_score").alias("home_score"), F.col("comparison.rival_adjusted").alias("rival_adjusted"), dims.alias("dims"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def linked_rows(spark, sf_dir):
     returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, sf_dir, "orders").join(returned, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def unlinked_rows(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return snapshots.delete_keys(table(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -439,6 +533,14 @@ def preferred_link(spark, sf_dir):
     return compare.preferred_links(links).select("slug", "rival_id")
 
 
+@query("SELECT l_orderkey AS slug, l_linenumber AS rival_id FROM lineitem WHERE l_linenumber IN (2, 3) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END DESC, l_shipdate DESC, l_linenumber) = 1")
+def preferred_link_in_run(spark, sf_dir):
+    """Preferred links to the rivals of one run, here lines two and three."""
+    flag = F.col("l_returnflag")
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("rival_id"), F.when(flag == "R", "high").when(flag == "A", "medium").otherwise("low").alias("match_confidence"), F.col("l_shipdate").alias("matched_at"))
+    return compare.preferred_links(links, spark.createDataFrame([(2,), (3,)], "rival_id int")).select("slug", "rival_id")
+
+
 @query("SELECT c_custkey, r_name, n_name, count(*) AS orders, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL".replace("sum(o_totalprice)", "floor(sum(o_totalprice) * 100 + 0.5) / 100"))
 def customer_totals(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
@@ -449,11 +551,16 @@ def customer_totals(spark, sf_dir):
 
 @query()
 def fuzzy_match(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    home = part.select(F.format_string("h%09d", "p_partkey").alias("slug"), F.concat(F.lit("Dr "), "name", F.lit(" "), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
-    mutated = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.substring("name", 1, 1), F.lit("x"), F.expr("substring(name, 2)"))).otherwise(F.col("name"))
-    rival = part.select(F.format_string("r%09d", "p_partkey").alias("rival_id"), F.concat(mutated, F.lit(" "), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
-    return matching.match(home, rival)
+    """Parts as people: names of one letter more or less, middle names and repeats within shared last names, so that uniqueness, order and consumption decide."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    letters = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
+    last = F.concat(F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")), letters(F.col("p_partkey") % 97))
+    first, middle = F.concat(F.lit("ann"), letters(F.col("p_size") % 7)), F.concat(F.lit("mid"), letters(F.col("p_partkey") % 5))
+    whole = F.when(F.col("p_partkey") % 4 == 0, F.concat_ws(" ", first, middle, last)).otherwise(F.concat_ws(" ", first, last))
+    home = part.select(F.format_string("h%09d", "p_partkey").alias("slug"), F.concat(F.lit("Dr "), whole).alias("name"))
+    k = F.col("p_partkey") % 6
+    other = F.when(k == 0, F.concat(whole, F.lit("x"))).when(k == 1, F.concat_ws(" ", first, F.lit("jo"), last)).when(k == 2, F.regexp_replace(whole, "^ann", "anna")).otherwise(whole)
+    return matching.match(home, part.where("p_partkey % 5 < 3").select(F.format_string("r%09d", "p_partkey").alias("rival_id"), other.alias("name")))
 
 
 @query()
@@ -486,9 +593,54 @@ def superlatives(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.superlatives(F.col("text")), ",").alias("terms"))
 
 
-@query("SELECT item_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in text.EMPTY_DECLARATIONS) + " THEN false ELSE length(trim(text)) > 10 END AS substantive FROM benchmark")
+_DECLARED = "CASE item_id % 4 WHEN 0 THEN concat(text, ' He has No Interests to Declare.') WHEN 1 THEN 'Shares' WHEN 2 THEN 'Does not hold a share in any clinic' ELSE text END"
+
+
+@query("SELECT item_id, CASE WHEN " + " OR ".join(f"contains(lower(x), '{p}')" for p in ("no interests to declare", "no financial interests", "nothing to declare", "no relevant interests", "no declarable interests", "does not hold a share", "does not have a financial", "does not hold a financial interest", "does not have any interests to declare", "no share or financial interest")) + f" THEN false ELSE length(trim(x)) > 10 END AS substantive FROM (SELECT item_id, {_DECLARED} AS x FROM benchmark)")
 def boilerplate(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", text.declares_something(F.col("text")).alias("substantive"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.declares_something(F.expr(_DECLARED)).alias("substantive"))
+
+
+_STATED = "CASE c_custkey % 4 WHEN 0 THEN concat('His gmc  number: ', c_custkey, '.') WHEN 1 THEN concat('GMC number:', c_custkey, '-b, of ', c_name) WHEN 2 THEN concat('GMC number: AB', c_custkey, ')') ELSE concat('Number: ', c_custkey) END"
+
+
+@query(f"SELECT c_custkey, code, CASE WHEN regexp_matches(code, '^[0-9]+$') THEN code END AS booking_code FROM (SELECT c_custkey, nullif(regexp_extract({_STATED}, '(?i)GMC\\s*number:\\s*([A-Za-z0-9-]+)', 1), '') AS code FROM customer)".replace("\\\\", "\\"))
+def registration_codes(spark, sf_dir):
+    code = text.registration_code(F.expr(_STATED))
+    return table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"), text.booking_code(code).alias("booking_code"))
+
+
+_BROKEN = "CASE doc_id % 4 WHEN 0 THEN replace(text, 'en', '**') WHEN 1 THEN concat(text, ' **bold**') WHEN 2 THEN concat(text, ' a * b ** c') ELSE text END"
+
+
+@query(f"SELECT doc_id, regexp_matches({_BROKEN}, '\\w\\*{{2,}}\\w|\\*{{2,}}\\w+\\*{{2,}}') AS broken FROM documents".replace("\\\\", "\\"))
+def broken_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.broken_words(F.expr(_BROKEN)).alias("broken"))
+
+
+_AGES = "CASE p_partkey % 6 WHEN 0 THEN concat('Sees ages ', p_size, ' to ', p_size * 3) WHEN 1 THEN concat('from the age of ', p_size, ' - ', 20, ' only') WHEN 2 THEN concat('patients over the age of ', p_size) WHEN 3 THEN concat('above age ', p_size, ' years') WHEN 4 THEN concat('ages ', 40, '-', p_size) ELSE concat('aged ', p_size) END"
+_RANGE, _LEAST = r"(?i)(?:from\s+(?:the\s+)?)?ages?\s+(?:of\s+)?(\d{1,3})\s*(?:to|-)\s*(\d{1,3})", r"(?i)(?:ages?\s+(?:of\s+)?(?:over|above)|(?:over|above)\s+(?:the\s+)?age\s+(?:of\s+)?)(\d{1,3})"
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN a <= b AND b <= 120 THEN a WHEN c <= 120 THEN c END::DOUBLE AS least, CASE WHEN a <= b AND b <= 120 THEN b END::DOUBLE AS most
+FROM (SELECT p_partkey, TRY_CAST(regexp_extract(x, '{_RANGE}', 1) AS INT) AS a, TRY_CAST(regexp_extract(x, '{_RANGE}', 2) AS INT) AS b, TRY_CAST(regexp_extract(x, '{_LEAST}', 1) AS INT) AS c FROM (SELECT p_partkey, {_AGES} AS x FROM part))"""
+)
+def age_limits(spark, sf_dir):
+    age = text.age_limit(F.expr(_AGES))
+    return table(spark, sf_dir, "part").select("p_partkey", age.least.cast("double").alias("least"), age.most.cast("double").alias("most"))
+
+
+@query("SELECT p_partkey, TRY_CAST(nullif(regexp_extract(concat(p_name, ' since ', 1880 + p_partkey % 300, CASE WHEN p_partkey % 3 = 0 THEN '5' ELSE '' END), '\\b((?:19|20)\\d{2})\\b', 1), '') AS DOUBLE) AS year FROM part".replace("\\\\", "\\"))
+def answer_years(spark, sf_dir):
+    answer = F.expr("concat(p_name, ' since ', 1880 + p_partkey % 300, CASE WHEN p_partkey % 3 = 0 THEN '5' ELSE '' END)")
+    return table(spark, sf_dir, "part").select("p_partkey", desk.answer_year(answer).cast("double").alias("year"))
+
+
+@query("SELECT s_suppkey, '\"' || s_name || '\" knees consultant' AS a, CASE WHEN s_suppkey % 3 = 0 THEN '\"' || s_name || '\" knees hospital' ELSE '\"' || s_name || '\" Leeds' END AS b, '\"' || s_name || '\" knees portrait photo' AS c FROM supplier")
+def search_texts(spark, sf_dir):
+    q = desk.queries_for(F.col("s_name"), F.when(F.col("s_suppkey") % 3 != 0, "Leeds"), F.lit("knees"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *[F.get(q, F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
 @query("SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS found FROM (SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1) AS m FROM documents)) WHERE len(list_distinct_ordered) > 0")
@@ -528,7 +680,8 @@ def page_snippets(spark, sf_dir):
 @query()
 def parse_pages(spark, sf_dir):
     out = html.parse(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "name", "has_photo", "booking_state", "bio_depth", "phone", "email", F.size("sections").alias("n_sections"), F.array_join("low_confidence", ",").alias("low_confidence"))
+    flagged = scoring.flags(html.page_flags() | {k: F.lit(False) for k in list(scoring.FLAGS)[:8]})
+    return out.select("page_id", "name", "has_photo", "booking_state", "booking_code", "booking_caveat", "bio_depth", "phone", "email", "age_text", "in_network", F.size("sections").alias("n_sections"), F.array_join("low_confidence", ",").alias("low_confidence"), F.array_join(F.transform(flagged, lambda f: f.code), ",").alias("page_flags"))
 
 
 @query("SELECT doc_id, n_chars, CASE WHEN strlen(t) > 0 THEN t END AS label FROM (SELECT doc_id, n_chars, 'Language: ' || lang || chr(10) || chr(10) || 'Source: ' || source AS t FROM documents)")
@@ -603,6 +756,19 @@ def csv_export(spark, sf_dir):
     return sinks.csv_lines(run(spark, sf_dir), columns)
 
 
+@query(_ALL + "SELECT concat_ws(',', " + ", ".join(_CSV(c) for c in ("name", "site", "tier", "score", "insurer_count", "to_json(specialty_primary)")) + ") AS line, row_number() OVER (ORDER BY name, slug) AS place FROM t WHERE tier = 'Bronze' AND site ILIKE '%c1%'")
+def csv_report(spark, sf_dir):
+    """The lines of a report of allowed columns for a tier and sites, with their places (by name)."""
+    scored = run(spark, sf_dir)
+    _, lines = sinks.report_lines(scored, ["name", "site", "secret", "tier", "score", "insurer_count", "specialty_primary"], "Bronze", "C1")
+    return lines.select("line", F.row_number().over(metrics.Window.orderBy("name", "slug")).cast("long").alias("place"))
+
+
+@query(_ALL + "SELECT rank, concat_ws(',', rank, '\"' || action || '\"', profiles, regexp_replace(points::VARCHAR, '\\.0$', ''), regexp_replace(impact::VARCHAR, '\\.0$', '')) AS line FROM (".replace("\\\\", "\\") + _ACTION.format(rows=" UNION ALL ".join(_ROW(i, *x) for i, x in enumerate(_CENTRE))) + ")")
+def csv_actions(spark, sf_dir):
+    return sinks.action_plan(metrics.action_centre(run(spark, sf_dir)))[1]
+
+
 @query("SELECT DISTINCT url, regexp_replace(regexp_extract(url, '([^/]+)/?$', 1), '[?#].*$', '') AS slug FROM pages WHERE url LIKE 'http%'")
 def sitemap_urls(spark, sf_dir):
     xml = table(spark, sf_dir, "pages").select(F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc></url>")).alias("value"))
@@ -612,12 +778,15 @@ def sitemap_urls(spark, sf_dir):
 # ---- the desk
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in scoring.FLAGS.items()) + ") AS t (code, severity, description)")
+_SEVERITIES = "('PROFILE_NO_PHOTO', 'fail'), ('CONTENT_MISSING_BIO', 'fail'), ('CONTENT_THIN_BIO', 'warn'), ('CONTENT_NO_TREATMENTS', 'warn'), ('CONTENT_NO_QUALIFICATIONS', 'fail'), ('CONTENT_NO_INSURERS', 'warn'), ('BOOKING_NO_SLOTS', 'warn'), ('BOOKING_NOT_BOOKABLE', 'info'), ('CONTENT_CMS_CORRUPTION', 'warn'), ('PROFILE_SUBSTANTIVE_DECLARATION', 'info'), ('PROFILE_OUTSIDE_NETWORK', 'info'), ('PROFILE_AGE_RESTRICTION', 'info'), ('QA_LOW_CONFIDENCE', 'warn')"
+
+
+@query(f"SELECT code, severity FROM (VALUES {_SEVERITIES}) AS t (code, severity)")
 def flag_dictionary(spark, sf_dir):
-    return desk.flag_dictionary(spark)
+    return desk.flag_dictionary(spark).select("code", "severity")
 
 
-@query(_ALL + "SELECT severity, count(*) AS n FROM (SELECT split_part(x, ':', 2) AS code FROM (SELECT unnest(flags) AS x FROM a)) JOIN (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in scoring.FLAGS.items()) + ") AS d (code, severity) USING (code) GROUP BY 1")
+@query(_ALL + f"SELECT severity, count(*) AS n FROM (SELECT split_part(x, ':', 2) AS code FROM (SELECT unnest(flags) AS x FROM a)) JOIN (VALUES {_SEVERITIES}) AS d (code, severity) USING (code) GROUP BY 1")
 def flags_by_severity(spark, sf_dir):
     codes = run(spark, sf_dir, None).select(F.explode("flags.code").alias("code"))
     return codes.join(desk.flag_dictionary(spark), "code").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
@@ -661,8 +830,3 @@ def element_contents(spark, sf_dir):
 def merged_words(spark, sf_dir):
     names, types = F.split("p_name", " "), F.split(F.concat(F.upper("p_name"), F.lit(" "), "p_type"), " ")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(arrays.merged_ci(names, types), "|").alias("words"))
-
-
-def tool(name: str):
-    """Named queries for callers that ask by name."""
-    return QUERIES[name]

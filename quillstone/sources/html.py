@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,10 +13,21 @@ from quillstone.functions import arrays, text
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CONSENT = {"ccc", "cookie-consent", "onetrust-consent-sdk"}
-_LINKS = "array<struct<href:string,text:string>>"
+_LINKS = "array<struct<href:string,text:string,tel:string>>"
+_SHORT = re.compile(r"\bage[sd]?\b", re.I)
+# The classes of what a page says beside its booking, in order of preference; "booking" stands for any class that holds the word.
+_CAVEATS = (("", "booking-caveat"), ("", "booking__caveat"), ("p", "booking"), ("caveat", "booking"))
+# Classes and ids under which rivals' pages show a name, a biography or sites.
+RIVAL_MARKS = {
+    "name": ["consultant-name", "specialist-name", "profile-name", "consultant-profile__name"],
+    "about_text": ["consultant-about", "consultant-bio", "consultant-biography", "consultant-profile__about", "about-text"],
+    "hospitals": ["hospital-list", "consultant-hospitals", "location-list", "available-hospitals"],
+}
+_LISTS_OF, _MARKS = set(RIVAL_MARKS["hospitals"]), {*RIVAL_MARKS["name"], *RIVAL_MARKS["about_text"]}
 OUTLINE = (
     f"title string, h1s array<struct<text:string,named:boolean,consent:boolean>>, metas array<struct<name:string,content:string>>, links {_LINKS}, frames array<string>,"
     " photo string, images array<struct<src:string,alt:string>>, marks array<string>, telephones array<string>, booking boolean, sites array<string>,"
+    " shorts array<string>, caveats array<string>, data array<struct<name:string,value:string>>, parts array<struct<mark:string,text:string>>,"
     f" sections array<struct<tag:string,heading:string,blocks:array<string>,items:array<string>,subheads:array<string>,links:{_LINKS}>>, body string"
 )
 
@@ -26,12 +38,17 @@ class Outline(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack, self.text, self.open, self.skip = [], [], [], 0
-        self.out = {"title": None, "h1s": [], "metas": [], "links": [], "frames": [], "photo": None, "images": [], "marks": [], "telephones": [], "booking": False, "sites": [], "sections": []}
+        self.out = {"title": None, "h1s": [], "metas": [], "links": [], "frames": [], "photo": None, "images": [], "marks": [], "telephones": [], "booking": False, "sites": [], "shorts": [], "caveats": [""] * len(_CAVEATS), "data": [], "parts": [], "sections": []}
+        self.shorts: list[tuple[int, str]] = []
         self.sections: list[tuple[int, int, dict]] = []  # level, depth, section
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         marks = set(a.get("class", "").split()) | {a.get("id", "")}
+        self.out["data"] += [{"name": k, "value": v} for k, v in a.items() if k.startswith("data-")]
+        if tag in ("p", "div", "li"):  # what holds a block is no short text
+            for o in self.open:
+                o["plain"] = False
         if tag in ("script", "style", "noscript"):
             self.skip += 1
         if any("booking" in m for m in marks):
@@ -54,7 +71,7 @@ class Outline(HTMLParser):
         if level:
             self.sections = [s for s in self.sections if s[0] < level]
         self.stack.append((tag, marks))
-        self.open.append({"tag": tag, "at": len(self.text), "a": a, "marks": marks, "level": level, "depth": depth})
+        self.open.append({"tag": tag, "at": len(self.text), "a": a, "marks": marks, "level": level, "depth": depth, "plain": tag in ("p", "li", "span", "div"), "from": self.getpos()})
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "noscript") and self.skip:
@@ -80,15 +97,24 @@ class Outline(HTMLParser):
             if tag == "li" and words:
                 section["items"].append(words)
             if tag == "a" and words and o["a"].get("href") and o["depth"] > depth:  # within the heading's siblings
-                section["links"].append({"href": o["a"]["href"], "text": words})
+                section["links"].append({"href": o["a"]["href"], "text": words, "tel": o["a"].get("data-tel-href")})
             if o["level"] and words:
                 section["subheads"].append(words)
             if depth == o["depth"] and words:
                 section["blocks"].append(words)
+        if o["plain"] and 0 < len(words) < 200 and _SHORT.search(words):
+            self.shorts.append((o["from"], words))
+        for i, (what, where) in enumerate(_CAVEATS):
+            inside = any(where in m for _, ms in self.stack for m in ms)
+            if where in o["marks"] if not what else inside and (tag == what or what in o["marks"]):
+                out["caveats"][i] += words
+        out["parts"] += [{"mark": m, "text": words} for m in o["marks"] & _MARKS if words]
+        if tag == "li" and words:
+            out["parts"] += [{"mark": m, "text": words} for _, ms in self.stack for m in ms & _LISTS_OF]
         if tag == "title":
             out["title"] = words
         elif tag == "a":
-            out["links"].append({"href": o["a"].get("href"), "text": words})
+            out["links"].append({"href": o["a"].get("href"), "text": words, "tel": o["a"].get("data-tel-href")})
         elif tag == "h1":
             out["h1s"].append({"text": words, "named": o["a"].get("itemprop") == "name", "consent": any(m & _CONSENT for _, m in self.stack)})
         if o["a"].get("itemprop") == "telephone":
@@ -105,11 +131,11 @@ class Outline(HTMLParser):
         self.close()
         while self.open:
             self._closed((self.open.pop(), self.stack.pop())[0])
-        return self.out | {"body": "".join(self.text)}
+        return self.out | {"shorts": [t for _, t in sorted(self.shorts, key=lambda x: x[0])], "body": "".join(self.text)}
 
 
 def _outlines(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([Outline().result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "images", "marks", "telephones", "booking", "sites", "sections", "body"])
+    return pd.DataFrame([Outline().result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "images", "marks", "telephones", "booking", "sites", "shorts", "caveats", "data", "parts", "sections", "body"])
 
 
 def outline(html: Column) -> Column:
@@ -140,8 +166,11 @@ def _text(category: str) -> Column:
     return text.empty_to_null(F.array_join(_first(_of(category)).blocks, "\n"))
 
 
-def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...] = ()) -> DataFrame:
-    """`pages` without its html, with the profile fields that a page shows. A null page has nulls and empty arrays. Links to `own_domains` are no external website."""
+def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...] = (), network: str = "") -> DataFrame:
+    """`pages` without its html, with the profile fields that a page shows. A null page has nulls and empty arrays.
+
+    Links to `own_domains` are no external website. `network` is the name of the network whose sites the pages are about: a site is in it unless it says otherwise.
+    """
     p = pages.withColumn("o", outline(F.col(html_col)))
     classified = F.transform("o.sections", lambda s: F.struct(text.heading_category(s.heading, s.tag).alias("category"), s.heading.alias("heading"), s.blocks.alias("blocks"), s["items"].alias("items"), s.subheads.alias("subheads"), s.links.alias("links")))
     p = p.withColumn("classified", classified)
@@ -168,26 +197,43 @@ def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...]
     about, declaration = text.without_artefacts(_text("ABOUT")), F.array_join(_first(_of("DECLARATION")).blocks, " ")
     labelled = F.flatten(F.transform(F.filter(_first(_of("SPECIALTIES")).blocks, lambda b: F.lower(b).startswith("sub-specialties:")), lambda b: F.split(F.regexp_replace(b, r"(?i)^sub-specialties:\s*", ""), r",\s*")))
     frame = F.exists("o.frames", lambda f: f.contains("book"))
-    age = text.age_restriction(_first(F.filter(F.split("o.body", "\n"), lambda x: (F.length(x) < 200) & x.rlike(r"(?i)\baged?\b|only sees? adults"))))
+    age = text.age_restriction(F.col("o.body"), F.col("o.shorts"))
+    registration = text.registration_code(F.col("o.body"))
+    caveat = _first(F.filter(F.transform("o.caveats", F.trim), lambda x: F.lower(x).contains("booking")))
+    caveat = F.coalesce(caveat, text.empty_to_null(F.trim(F.regexp_extract(F.col(html_col), r"(?i)Online booking is[^<]*(?:only|initial)[^<]*", 0))))
+    outside = rf"(?i)\b(?:non-?{re.escape(network.split()[0])}|independent)\b" if network else r"(?i)\bindependent\b"
+    at_partner = site.rlike(rf"(?i){r'\s+'.join(map(re.escape, network.split()))}\s+at\s+") if network else F.lit(False)
+    interests, none = _list("SPECIAL_INTERESTS"), F.array().cast("array<string>")
+    treatments = F.when(F.size(_list("TREATMENTS")) > 0, _list("TREATMENTS")).otherwise(interests)
+    declared = text.declares_something(text.empty_to_null(declaration))
     fields = {
         "name": text.spaces(h1),
         "title": title,
-        "registration_number": text.empty_to_null(F.regexp_extract("o.body", r"(?i)GMC\s*number:\s*(\S+)", 1)),
+        "registration_number": registration,
+        "booking_code": text.booking_code(registration),
         "has_photo": F.coalesce(F.col("o.photo").rlike("^(http|/)"), F.lit(False)),
         "booking_state": F.when(F.coalesce(frame, F.lit(False)) | F.col("o.booking"), "bookable_no_slots").otherwise("not_bookable"),
+        "booking_caveat": caveat,
         "about_text": about,
+        "overview_text": text.without_artefacts(_text("OVERVIEW")),
+        "related_experience_text": text.without_artefacts(_text("RELATED_EXPERIENCE")),
         "bio_depth": text.bio_depth(about),
         "specialty_primary": _list("SPECIALTIES"),
         "specialty_sub": F.coalesce(_clean(F.concat(_first(_of("SPECIALTIES")).subheads, labelled)), F.array().cast("array<string>")),
-        "treatments": arrays.distinct_ci(_list("TREATMENTS")),
+        "treatments": F.coalesce(arrays.distinct_ci(treatments), none),
+        "treatments_excluded": none,
         "qualifications": _text("QUALIFICATIONS"),
-        "memberships": _list("MEMBERSHIPS"),
+        "memberships": F.coalesce(arrays.distinct_ci(_list("MEMBERSHIPS")), none),
+        "clinical_interests": F.coalesce(arrays.distinct_ci(F.concat(interests, _list("OTHER_INTERESTS"))), none),
+        "personal_interests": _text("PERSONAL_INTERESTS"),
+        "professional_roles": _text("PROFESSIONAL_ROLES"),
         "insurers": arrays.distinct_ci(_list("INSURERS")),
         "insurer_count": F.size(_list("INSURERS")),
         "consultation_times": _list("CONSULTATION_TIMES"),
         "languages": _list("LANGUAGES"),
         "practising_since": year,
-        "declaration_substantive": F.coalesce(text.declares_something(declaration), F.lit(False)),
+        "declaration": F.when(F.size(_first(_of("DECLARATION")).blocks) > 0, _first(_of("DECLARATION")).blocks),
+        "declaration_substantive": declared,
         "news": F.transform(_first(_of("IN_THE_NEWS")).links, lambda a: F.struct(a.text.alias("title"), a.href.alias("url"))),
         "phone": text.first_landline(numbers),
         "mobile": text.first_mobile(numbers),
@@ -196,14 +242,49 @@ def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...]
         "rating": text.rating(F.col("o.body")),
         "site": site,
         "site_code": code,
+        "in_network": ~F.coalesce(site.rlike(outside), F.lit(False)),
+        "at_partner": F.coalesce(at_partner, F.lit(False)),
+        "age_text": age["text"],
         "age_least": age.least,
         "age_most": age.most,
-        "cms_corruption": F.coalesce(F.col("o.body").rlike(r"_x000D_|Â |\{\{"), F.lit(False)),
+        "cms_corruption": F.coalesce(text.broken_words(F.col("o.body")), F.lit(False)),
         "sections": F.transform(F.filter("classified", lambda s: s.category.isNotNull()), lambda s: s.category),
     }
     out = p.select(*[c for c in pages.columns if c != html_col], *[v.alias(k) for k, v in fields.items()])
-    low = F.array_compact(F.array(F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.lit("name")), F.when(F.col("registration_number").isNull(), F.lit("registration_number"))))
-    return out.withColumn("low_confidence", low)
+    sure = confidence()
+    return out.withColumns({"confidence": sure, "low_confidence": F.map_keys(F.map_filter(sure, lambda k, v: v == "low"))})
+
+
+# The fields whose reading is graded, with the grade of one that was not found.
+GRADES = {
+    "name": "low", "title": "medium", "registration_number": "low", "has_photo": "high", "specialty_primary": "medium", "specialty_sub": "medium", "treatments": "medium", "insurers": "medium", "qualifications": "medium",
+    "practising_since": "medium", "memberships": "medium", "clinical_interests": "medium", "personal_interests": "medium", "languages": "medium", "consultation_times": "medium", "declaration": "medium", "news": "medium",
+    "professional_roles": "medium", "site": "medium", "booking_state": "high", "phone": "medium", "email": "medium", "age_text": "medium", "rating": "medium", "website": "medium",
+}
+_LISTS = {"specialty_primary", "specialty_sub", "treatments", "insurers", "memberships", "clinical_interests", "languages", "consultation_times", "news"}
+
+
+def confidence() -> Column:
+    """map<field, grade> of a parsed row: high where the field was found. Treatments taken from special interests count as not found."""
+    found = {k: F.col(k).isNotNull() & (F.size(k) > 0) if k in _LISTS else F.coalesce(F.col(k).cast("string"), F.lit("")) != "" for k in GRADES}
+    found["treatments"] = F.array_contains("sections", "TREATMENTS") & (F.size("treatments") > 0)
+    return F.create_map(*[x for k, other in GRADES.items() for x in (F.lit(k), F.when(F.coalesce(found[k], F.lit(False)), "high").otherwise(other))])
+
+
+def page_flags() -> dict[str, Column]:
+    """Conditions of the flags that come from reading a page, for scoring.flags(extra)."""
+    return {
+        "CONTENT_CMS_CORRUPTION": F.col("cms_corruption"),
+        "PROFILE_SUBSTANTIVE_DECLARATION": F.coalesce(F.col("declaration_substantive"), F.lit(False)),
+        "PROFILE_OUTSIDE_NETWORK": ~F.col("in_network"),
+        "PROFILE_AGE_RESTRICTION": F.col("age_text").isNotNull(),
+        "QA_LOW_CONFIDENCE": F.size("low_confidence") > 0,
+    }
+
+
+def anomalous(unmapped: Column, about: Column, treatments: Column, phones: Column) -> Column:
+    """Whether a rival's page was read badly: a section that maps to no field, no biography, no treatment or no telephone."""
+    return (arrays.length(unmapped) > 0) | about.isNull() | arrays.missing(treatments) | arrays.missing(phones)
 
 
 def sections_by_key(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -251,14 +332,26 @@ def parse_rival(pages: DataFrame, html_col: str = "html", badge: str = "accredit
     from_meta = lambda pattern: text.delimited(text.empty_to_null(F.regexp_extract(given, pattern, 1)))
     words = lambda field: text.normalise(F.array_join(section_values(F.col("sections"), *headings(field)), " "))
     listed = lambda field, found=None: F.coalesce(*([F.when(F.size(found) > 0, found)] if found is not None else []), section_list(F.col("sections"), *headings(field)), F.array().cast("array<string>"))
-    tel = F.transform(F.filter("o.links", lambda a: a.href.startswith("tel:")), lambda a: text.spaces(a.text))
+    attribute = lambda *names: _first(F.filter(F.transform(F.filter("o.data", lambda d: d["name"].isin(*names)), lambda d: text.normalise(d.value)), lambda v: v.isNotNull()))
+    marked = lambda field: F.transform(F.filter("o.parts", lambda x: x.mark.isin(RIVAL_MARKS[field])), lambda x: text.normalise(x.text))
+    meta = lambda name: text.normalise(_first(F.filter("o.metas", lambda m: m["name"] == name)).content)
+    bare = lambda c: F.regexp_replace(c, "(?i)^tel:", "")
+    calls = F.filter("o.links", lambda a: F.coalesce(a.href.startswith("tel:"), F.lit(False)) | a.tel.isNotNull())
+    tel = F.filter(F.transform(calls, lambda a: F.coalesce(text.empty_to_null(text.spaces(a.text)), text.normalise(bare(a.tel)), text.normalise(bare(a.href)))), lambda x: x.isNotNull())
+    digits = lambda c: text.empty_to_null(F.regexp_extract(c, r"(\d{5,8})", 1))
     mail = F.transform(F.filter("o.links", lambda a: a.href.startswith("mailto:")), lambda a: F.trim(F.try_url_decode(F.regexp_replace(a.href, r"^mailto:|\?.*$", ""))))
     sites = F.transform(F.filter("o.links", lambda a: a.href.startswith("http") & F.lower(a.text).contains("website")), lambda a: a.href)
     fields = {
-        "name": F.coalesce(text.normalise(F.regexp_extract(given, r"Name:\s*([^,]+)", 1)), text.normalise(F.regexp_extract("o.title", r"^([^:|]+)", 1))),
-        "registration_number": text.registration_number(text.empty_to_null(F.regexp_extract(F.array_join(section_values(F.col("sections"), *headings("registration")), " "), r"(\d{5,8})", 1))),
+        "name": F.coalesce(text.normalise(F.regexp_extract(given, r"Name:\s*([^,]+)", 1)), text.normalise(F.regexp_extract("o.title", r"^([^:|]+)", 1)), attribute("data-consultant-name"), _first(marked("name"))),
+        "registration_number": F.coalesce(
+            text.registration_number(attribute("data-clipboard-text")),
+            text.registration_number(digits(F.array_join(section_values(F.col("sections"), *headings("registration")), " "))),
+            text.registration_number(digits(F.regexp_extract("o.body", r"(?i)GMC\s*(?:number|no\.?|registration)?\s*:?\s*(\d{5,8})", 0))),
+            text.registration_number(meta("gmc-number")),
+            text.registration_number(attribute("data-gmc", "data-gmc-number", "data-registration-number")),
+        ),
         "has_photo": F.exists("o.images", lambda i: i.src.startswith("http") & (F.lower(i.alt) == F.lower(F.regexp_extract(given, r"Name:\s*([^,]+)", 1)))),
-        "about_text": words("about_text"),
+        "about_text": F.coalesce(words("about_text"), _first(F.filter(marked("about_text"), lambda x: F.length(x) > 20))),
         "specialty_primary": listed("specialty_primary", from_meta(r"(?i),\s*specialty:\s*(.*?)(?:,\s*subspecialty:|$)")),
         "specialty_sub": listed("specialty_sub", from_meta(r"(?i)subspecialty:\s*(.*)$")),
         "treatments": listed("treatments"),
@@ -266,7 +359,7 @@ def parse_rival(pages: DataFrame, html_col: str = "html", badge: str = "accredit
         "memberships": listed("memberships"),
         "clinical_interests": listed("clinical_interests"),
         "languages": listed("languages"),
-        "hospitals": listed("hospitals"),
+        "hospitals": F.when(F.size(listed("hospitals")) > 0, listed("hospitals")).otherwise(F.coalesce(F.array_distinct(F.filter(marked("hospitals"), lambda x: x.isNotNull())), F.array().cast("array<string>"))),
         "fee_assured": F.when(F.exists("o.marks", lambda m: m.contains("not-fee-assured")), False).when(F.exists("o.marks", lambda m: m.contains("fee-assured")), True),
         "phones": F.array_distinct(tel),
         "emails": F.array_distinct(mail),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions.text import csv_field
+from quillstone.operators.metrics import listed
 
 CONTACTS = ["phone", "mobile", "email", "website"]
 
@@ -29,6 +30,39 @@ def csv_header(df: DataFrame, columns: dict[str, str] | None = None, contacts: b
     return ",".join(quote(h) for c, h in headers.items() if contacts or c not in CONTACTS)
 
 
+# The columns that a report may have, with their headers.
+REPORT_COLUMNS = {
+    "name": "Name", "title": "Title Prefix", "slug": "Slug", "url": "Profile URL", "registration_number": "Registration Number", "site": "Hospital", "score": "Completeness Score", "tier": "Quality Tier", "plain_english_score": "Plain English Score",
+    "bio_depth": "Bio Depth", "treatment_specificity": "Treatment Specificity", "qualifications_completeness": "Qualifications Rating", "has_photo": "Has Photo", "specialty_primary": "Specialties", "insurer_count": "Insurer Count",
+    "practising_since": "Practising Since", "languages": "Languages", "clinical_interests": "Clinical Interests", "booking_state": "Booking State", "online_bookable": "Online Bookable", "slots_28_days": "Available Slots (28 days)",
+    "price": "Consultation Price", "next_slot": "Next Available", "days_to_next_slot": "Days to First Available", "plain_english_reason": "Plain English Reason", "bio_depth_reason": "Bio Depth Reason", "treatment_specificity_reason": "Treatment Reason",
+    "qualifications_reason": "Qualifications Reason", "quality_notes": "AI Quality Notes", "flags": "All Flags (JSON)", "scrape_status": "Scrape Status", "scrape_error": "Scrape Error",
+}
+
+
+def report_lines(scored: DataFrame, columns: list[str], tier: str = "all", site: str = "") -> tuple[str, DataFrame]:
+    """(header, (line, name, slug) in order of name) of the allowed ones among `columns`, in the order given, for a tier and for sites that hold a text."""
+    chosen = {c: REPORT_COLUMNS[c] for c in columns if c in REPORT_COLUMNS}
+    if not chosen:
+        raise ValueError("no valid columns selected")
+    rows = scored if tier in ("", "all") else scored.where(F.col("tier") == tier)
+    rows = rows.where(F.col("site").ilike(f"%{site}%")) if site else rows
+    rows = listed(rows, list(dict.fromkeys([*chosen, "name", "slug"]))).orderBy("name", "slug")
+    fields = [csv_field(as_text(rows, c)) for c in chosen]
+    return csv_header(rows, chosen, contacts=True), rows.select(F.concat_ws(",", *fields).alias("line"), "name", "slug")
+
+
+# The action plan's headers.
+ACTION_COLUMNS = {"rank": "Rank", "action": "Action", "profiles": "Profiles Affected", "points": "Points Per Profile", "impact": "Total Impact"}
+
+
+def action_plan(actions: DataFrame) -> tuple[str, DataFrame]:
+    """(header, lines by rank) of ranked actions; the action stands in quotes, whole numbers without a point."""
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    line = F.concat_ws(",", plain("rank"), F.concat(F.lit('"'), "action", F.lit('"')), plain("profiles"), plain("points"), plain("impact"))
+    return ",".join(ACTION_COLUMNS.values()), actions.orderBy("rank").select("rank", line.alias("line"))
+
+
 def write_csv(df: DataFrame, path: str, columns: dict[str, str] | None = None, contacts: bool = False) -> None:
     """Text files of lines; the header is for whoever joins them (csv_header)."""
     csv_lines(df, columns, contacts).write.text(path)

@@ -64,6 +64,11 @@ def pending(urls: DataFrame, known: DataFrame, stage: str, key: str = "slug") ->
     return urls.join(done, key, "left_anti")
 
 
+def with_earlier(urls: DataFrame, known: DataFrame, columns: list[str], key: str = "slug") -> DataFrame:
+    """A resumed run's keys with what an earlier attempt left: its status and those columns, nulls where it did not get to them."""
+    return urls.join(known.select(key, "scrape_status", *columns), key, "left")
+
+
 def write_run(rows: DataFrame, path: str) -> None:
     """Replace the partitions of the runs in `rows` and no others."""
     rows.repartition("run_id", F.pmod(F.xxhash64("slug"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

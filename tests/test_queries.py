@@ -14,7 +14,7 @@ from quillstone.plans.queries import QUERIES, SQL
 def _plain(x):
     if hasattr(x, "item"):
         x = x.item()
-    if x is None or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
         return None
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return round(float(x), 6)
@@ -43,10 +43,20 @@ def test_parse_pages_reads_every_page(spark, sf_dir):
     assert QUERIES["parse_pages"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
-def test_fuzzy_match_is_one_to_one(spark, sf_dir):
+def test_fuzzy_match_decides(spark, sf_dir):
     got = QUERIES["fuzzy_match"](spark, sf_dir).toPandas()
-    assert len(got) and got["slug"].is_unique and got["rival_id"].is_unique
-    assert (got["slug"].str[1:] == got["rival_id"].str[1:]).all()
+    assert got["slug"].is_unique and got["rival_id"].is_unique and set(got["match_confidence"]) == {"medium", "low"}
+    assert 0 < (got["slug"].str[1:] != got["rival_id"].str[1:]).sum() < len(got)
+
+
+@pytest.mark.parametrize("name", ["text_search", "unlinked_rows", "boilerplate", "broken_words", "registration_codes", "age_limits", "answer_years", "csv_report", "tool_search", "delta_page"])
+def test_oracles_see_both_sides(engine, name):
+    """Rows that the pattern takes and, where a column says so, rows that it does not."""
+    rows = engine.execute(SQL[name]).df()
+    assert len(rows)
+    for column in rows.columns.intersection(["substantive", "broken", "booking_code", "least", "most", "year"]):
+        kinds = rows[column].isna() if rows[column].isna().any() else rows[column].astype(str)
+        assert kinds.nunique() > 1, column
 
 
 def test_corroborated_means_two_addresses(spark, sf_dir):

@@ -5,29 +5,49 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import compare, corroboration, filters, matching
+from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, scoring
+from quillstone.plans import tools
 from quillstone.sources import html, sinks, sitemaps, snapshots
 from quillstone.streaming.ingest import ingest_pages, windowed_counts
 
 PAGE = """<html><head><meta class="swiftype" name="fullname" content="Dr Meta"></head><body><div id="ccc"><h1>Cookies</h1></div>
-<h1 itemprop="name">Professor  Ann Lee</h1><p>GMC number: 1234567</p><aside class="consultant__image"><img src="/p.jpg"></aside><iframe src="https://x/booking"></iframe>
-<h2>About</h2><p>She treats knees. Browser does not support frames</p><h3>Odd</h3><p>and hips</p>
+<h1 itemprop="name">Professor  Ann Lee</h1><p>GMC number: 1234567, since then</p><aside class="consultant__image"><img src="/p.jpg"></aside><iframe src="https://x/booking"></iframe>
+<div class="x-booking-box"><p>Note on booking: new patients.</p></div>
+<h2>Overview</h2><p>In short.</p><h2>About</h2><p>She treats knees. Browser does not support frames</p><h3>Odd</h3><p>and hips</p>
 <h2>Specialties</h2><h3>Knee</h3><p>Sub-specialties: Hip, Spine</p><h2>Treatments and tests offered</h2><ul><li>Scan,</li><li>scan</li><li>Biopsy</li></ul>
-<h2>Practising since: 2004</h2><h2>Locations</h2><div><h3>Leeds Hospital</h3><a href="/hospitals/leeds">see</a></div><h2>Declaration</h2><p>No interests to declare</p>
+<h2>Practising since: 2004</h2><h2>Locations</h2><div><h3>Acme Health at Leeds Hospital</h3><a href="/hospitals/leeds">see</a></div><h2>Declaration</h2><p>No interests to declare</p>
+<h2>Related experience</h2><p>Led a unit.</p><h2>Special interests</h2><ul><li>Cartilage</li></ul><h2>Other interests</h2><ul><li>Gait</li><li>cartilage</li></ul><h2>Personal interests</h2><p>Rowing</p><h2>Professional roles</h2><p>Chair</p>
 <h2>In the news</h2><p><a href="https://n.example/1">Story</a></p><span itemprop="telephone">01632 960001</span><a href="mailto:a%40b.c?x=1">mail</a><a href="https://facebook.com/x">f</a><a href="https://own.example/">own</a>
-<p>CQC rating: Good</p><p>Sees patients aged 3 - 16</p></body></html>"""
+<p>CQC rating: Good</p><div>All ages welcome <p>She s****ees</p></div><p>Sees ages 30 to 4 no more</p><p>Sees patients of ages 3 - 16</p></body></html>"""
+BARE = "<h1>Dr Bo Ek</h1><h2>Special interests</h2><ul><li>Feet</li></ul><h2>Locations</h2><div><h3>Independent Clinic</h3></div><p>Online booking is for initial visits <b>x</b></p><p>He only sees adults over the age of 21</p>"
 
 
 def test_parse(spark):
-    r = html.parse(spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id int, html string")).orderBy("page_id").collect()
+    r = html.parse(spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, BARE)], "page_id int, html string"), network="Acme Health").orderBy("page_id").collect()
     a = r[0]
-    assert (a["name"], a.title, a.registration_number, a.has_photo, a.booking_state) == ("Professor Ann Lee", "Professor", "1234567", True, "bookable_no_slots")
+    assert (a["name"], a.title, a.registration_number, a.booking_code, a.has_photo, a.booking_state) == ("Professor Ann Lee", "Professor", "1234567", "1234567", True, "bookable_no_slots")
+    assert a.booking_caveat == "Note on booking: new patients." and a.overview_text == "In short." and a.related_experience_text == "Led a unit."
     assert a.about_text.startswith("She treats knees.") and "hips" in a.about_text and "frames" not in a.about_text
     assert a.specialty_sub == ["Knee", "Hip", "Spine"] and a.treatments == ["Scan", "Biopsy"] and a.practising_since == 2004
-    assert (a.site, a.site_code, a.phone, a.mobile, a.email, a.website, a.rating) == ("Leeds Hospital", "leeds", "01632960001", None, "a@b.c", "https://n.example/1", "Good")
-    assert (a.declaration_substantive, a.age_least, a.age_most, a.low_confidence) == (False, 3, 16, [])
+    assert (a.clinical_interests, a.personal_interests, a.professional_roles, a.treatments_excluded) == (["Cartilage", "Gait"], "Rowing", "Chair", [])
+    assert (a.site, a.site_code, a.in_network, a.at_partner) == ("Acme Health at Leeds Hospital", "leeds", True, True)
+    assert (a.phone, a.mobile, a.email, a.website, a.rating) == ("01632960001", None, "a@b.c", "https://n.example/1", "Good")
+    assert (a.declaration, a.declaration_substantive, a.age_text, a.age_least, a.age_most, a.cms_corruption, a.low_confidence) == (["No interests to declare"], False, "ages 3 - 16", 3, 16, True, [])
     assert [(n.title, n.url) for n in a.news] == [("Story", "https://n.example/1")]
+    assert len(a.confidence) == 25 and (a.confidence["name"], a.confidence["treatments"], a.confidence["languages"], a.confidence["has_photo"]) == ("high", "high", "medium", "high")
     assert r[1]["name"] is None and r[1].treatments == [] and r[1].bio_depth == "missing" and r[2].low_confidence == ["name", "registration_number"]
+    b = r[3]
+    assert (b.treatments, b.confidence["treatments"], b.in_network, b.at_partner, b.declaration, b.declaration_substantive) == (["Feet"], "medium", False, False, None, None)
+    assert (b.age_text, b.age_least, b.booking_caveat, b.low_confidence) == ("only sees adults", 18, "Online booking is for initial visits", ["registration_number"])
+
+
+def test_page_flags(spark):
+    pages = html.parse(spark.createDataFrame([(1, PAGE), (4, BARE)], "page_id int, html string")).withColumn("plain_english_score", F.lit(4))
+    got = scoring.scored(pages, extra=html.page_flags()).orderBy("page_id").collect()
+    codes = [{f.code for f in r.flags} - set(list(scoring.FLAGS)[:8]) for r in got]
+    assert codes == [{"CONTENT_CMS_CORRUPTION", "PROFILE_AGE_RESTRICTION"}, {"PROFILE_OUTSIDE_NETWORK", "PROFILE_AGE_RESTRICTION", "QA_LOW_CONFIDENCE"}]
+    shown = spark.createDataFrame([(["x"], "t", ["a"], ["1"]), ([], None, ["a"], ["1"]), ([], "t", [], ["1"]), ([], "t", ["a"], None), ([], "t", ["a"], ["1"])], "u array<string>, a string, t array<string>, p array<string>")
+    assert [r[0] for r in shown.select(html.anomalous(F.col("u"), F.col("a"), F.col("t"), F.col("p"))).collect()] == [True, True, True, True, False]
 
 
 def test_sections_by_key(spark):
@@ -91,15 +111,60 @@ def test_sinks(spark, tmp_path):
 
 
 def test_matching(spark):
-    home = spark.createDataFrame([("s1", "Dr Adam Lawson"), ("s2", "Dr Adam Jon Lawson"), ("s3", "Ms Eva Smithe"), ("s4", None), ("s5", "Bo Ek")], "slug string, name string")
-    rival = spark.createDataFrame([("1", "adam lawson"), ("2", "adam john lawson"), ("3", "eva smithe"), ("4", "eva smithe"), ("5", "bo ek"), ("6", "eve smithe")], "rival_id string, name string")
+    home = spark.createDataFrame([("s1", "Dr Ida Brook"), ("s2", "Dr Ida Lou Brook"), ("s3", "Ms Una Marlowe"), ("s4", None), ("s5", "Bo Ek"), ("s6", "Cher")], "slug string, name string")
+    rival = spark.createDataFrame([("1", "ida brook"), ("2", "ida louise brook"), ("3", "una marlowe"), ("4", "una marlowe"), ("5", "bo ek"), ("6", "uma marlowe"), ("7", "cher")], "rival_id string, name string")
     got = {r.slug: (r.rival_id, r.match_confidence) for r in matching.match(home, rival).collect()}
-    assert got == {"s1": ("1", "medium"), "s2": ("2", "low"), "s3": ("6", "low"), "s5": ("5", "medium")}
+    # two rivals share s3's name, so the one at distance 1 is hers
+    assert got == {"s1": ("1", "medium"), "s3": ("6", "low"), "s5": ("5", "medium"), "s6": ("7", "medium")}
+
+
+def plain_match(home, rival):
+    """The three tiers by comparing everyone with everyone, in order of slug."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def ordered(a, b):
+        short, long = sorted((a.split(), b.split()), key=len)
+        rest = iter(long)
+        return len(short) > 1 and len(long) - len(short) <= 2 and short[0] == long[0] and short[-1] == long[-1] and all(w in rest for w in short)
+
+    left, out = dict(rival), {}
+    for slug, key in sorted(home):
+        words = key.split()
+        block = {r: k for r, k in left.items() if (k[0], k.split()[-1]) == (key[0], words[-1]) and len(k.split()) > 1 and len(words) > 1 or k == key}
+        same = [r for r, k in block.items() if k == key]
+        near = [r for r, k in block.items() if len(words) > 1 and (k == key or ordered(k, key))]
+        far = sorted((distance(k, key), r) for r, k in block.items() if len(words) > 1 and 0 < distance(k, key) <= 2)
+        far = [r for d, r in far if d == far[0][0]]
+        for found, sure in ((same, "medium"), (near, "low"), (far, "low")):
+            if len(found) == 1:
+                out[slug] = (found[0], sure)
+                del left[found[0]]
+                break
+    return out
+
+
+def test_matching_by_brute_force(spark):
+    rng = random.Random(7)
+    firsts, middles, lasts = ["ann", "anna", "anne", "ana", "bob", "bo"], ["", "", "jo", "lee jo", "max"], ["ek", "ekk", "brook", "marlowe"]
+    person = lambda: " ".join(x for x in (rng.choice(firsts), rng.choice(middles), rng.choice(lasts)) if x)
+    home, rival = [(f"s{i:03}", person()) for i in range(90)] + [("s500", "cher")], [(f"r{i:03}", person()) for i in range(70)] + [("r500", "cher")]
+    got = matching.match(spark.createDataFrame(home, "slug string, name string"), spark.createDataFrame(rival, "rival_id string, name string"))
+    want = plain_match(home, rival)
+    assert {r.slug: (r.rival_id, r.match_confidence) for r in got.collect()} == want
+    assert {s for _, s in want.values()} == {"medium", "low"} and len(want) > 15
 
 
 def test_links(spark):
     links = spark.createDataFrame([("a", "1", "low", "2024-01-02"), ("a", "2", "high", "2024-01-01"), ("b", "1", "odd", "2024-01-01"), ("b", "2", "odd", "2024-01-03")], "slug string, rival_id string, match_confidence string, matched_at string")
     assert {r.slug: r.rival_id for r in compare.preferred_links(links).collect()} == {"a": "2", "b": "2"}
+    assert {r.slug: r.rival_id for r in compare.preferred_links(links, spark.createDataFrame([("1",)], "rival_id string")).collect()} == {"a": "1", "b": "1"}
     home = spark.createDataFrame([("a", "7"), ("b", "8")], "slug string, number string")
     rival = spark.createDataFrame([("1", "7"), ("2", "9")], "rival_id string, number string")
     kept = compare.checked_links(links.withColumn("match_method", F.lit("name")), home, rival).collect()
@@ -140,20 +205,23 @@ def test_stream(spark, sf_dir, tmp_path):
     assert windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).count() > 0
 
 
-RIVAL = """<html><head><meta name="Description" content="Name: Dr Stu Cole, specialty: Gastroenterology, General (internal) medicine, subspecialty: Endoscopy, Liver"><title>Dr Stu Cole : Gastro</title></head><body>
-<a href="https://example.com/p">Launch Website</a><a href="tel:02081948539">020 8194 8539</a><a href="mailto:secretary%40example.com">mail</a>
-<div><h4>About me</h4><p>A physician.</p><h4>Areas of interest</h4><p>Biliary disease; Endoscopic procedures</p><h4>GMC registration</h4><p>Reference number 02211202</p>
-<h4>Affiliations / memberships</h4><p>Society of Endoscopy</p><h4>Hobbies</h4><p>Chess</p></div><img src="https://s3/x.png" alt="Dr Stu Cole"><img src="/b.png" alt="Accredited breast care centre"><div class="is-not-fee-assured">Not</div></body></html>"""
+RIVAL = """<html><head><meta name="Description" content="Name: Dr Wilma Tarn, specialty: Podiatry, Gait (clinical) study, subspecialty: Arches, Heels"><title>Dr Wilma Tarn : Podiatry</title></head><body>
+<div id="ref"><span class="ref" data-clipboard-text="0070315">copy</span></div><a href="https://tarn.example/feet">Launch Website</a><a href="#" data-tel-href="tel:01632960123"></a><a href="tel:01632960456">01632 960 456</a><a href="mailto:desk%40tarn.example">mail</a>
+<div><h4>Biography</h4><p>Looks after feet.</p><h4>Interests</h4><p>Flat arches; Running shoes, orthotics</p><h4>GMC registration</h4><p>Number 0099999</p>
+<h4>Professional bodies</h4><ul><li>Society of Soles</li></ul><h4>Pets</h4><p>Two cats</p></div><div class="hospital-list"><ul><li>North Ward</li><li>South Ward</li><li>North Ward</li></ul></div>
+<img src="https://img.example/w.png" alt="Dr Wilma Tarn"><img src="/b.png" alt="Accredited foot school"><div class="is-fee-assured">Yes</div></body></html>"""
+OTHER_RIVAL = """<body data-consultant-name="Dr Otto Quill" data-gmc="0000812345"><div class="about-text">He has long looked after ankles.</div></body>"""
 
 
 def test_parse_rival(spark):
-    r = html.parse_rival(spark.createDataFrame([("1", RIVAL), ("2", None)], "rival_id string, html string")).orderBy("rival_id").collect()
+    r = html.parse_rival(spark.createDataFrame([("1", RIVAL), ("2", None), ("3", OTHER_RIVAL)], "rival_id string, html string")).orderBy("rival_id").collect()
     a = r[0]
-    assert (a["name"], a.registration_number, a.has_photo, a.about_text, a.fee_assured) == ("Dr Stu Cole", "2211202", True, "A physician.", False)
-    assert a.specialty_primary == ["Gastroenterology", "General (internal) medicine"] and a.specialty_sub == ["Endoscopy", "Liver"]
-    assert a.clinical_interests == ["Biliary disease", "Endoscopic procedures"] and a.treatments == [] and a.memberships == ["Society of Endoscopy"]
-    assert (a.phones, a.emails, a.websites, a.badges, a.unmapped) == (["020 8194 8539"], ["secretary@example.com"], ["https://example.com/p"], ["Accredited breast care centre"], ["hobbies"])
-    assert a.sections["about_me"]["values"] == ["A physician."] and r[1]["name"] is None and r[1].memberships == []
+    assert (a["name"], a.registration_number, a.has_photo, a.about_text, a.fee_assured) == ("Dr Wilma Tarn", "70315", True, "Looks after feet.", True)
+    assert a.specialty_primary == ["Podiatry", "Gait (clinical) study"] and a.specialty_sub == ["Arches", "Heels"]
+    assert a.clinical_interests == ["Flat arches", "Running shoes", "orthotics"] and a.treatments == [] and a.memberships == ["Society of Soles"] and a.hospitals == ["North Ward", "South Ward"]
+    assert (a.phones, a.emails, a.websites, a.badges, a.unmapped) == (["01632960123", "01632 960 456"], ["desk@tarn.example"], ["https://tarn.example/feet"], ["Accredited foot school"], ["pets"])
+    assert a.sections["biography"]["values"] == ["Looks after feet."] and r[1]["name"] is None and r[1].memberships == []
+    assert (r[2]["name"], r[2].registration_number, r[2].about_text, r[2].phones) == ("Dr Otto Quill", "812345", "He has long looked after ankles.", [])
 
 
 def test_photos_and_truncate(spark, tmp_path):
@@ -168,3 +236,59 @@ def test_photos_and_truncate(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
     rows = spark.createDataFrame([("1", "1"), ("1", "2"), ("1", None), (None, "2"), (None, None)], "h string, r string")
     assert [r[0] for r in rows.select(compare.number_status(F.col("h"), F.col("r"))).collect()] == ["match", "mismatch", "missing_on_rival", "missing_on_home", "missing_both"]
+
+
+def profiles_of(spark, rows):
+    """Scored profiles (slug, name, tier, score, price) with empty arrays elsewhere."""
+    df = spark.createDataFrame(rows, "slug string, name string, tier string, score double, price double")
+    empty = F.array().cast("array<string>")
+    return df.withColumns({"site": F.lit(None).cast("string"), "booking_state": F.lit("not_bookable"), "bio_depth": F.lit("thin"), "has_photo": F.lit(None).cast("boolean"), "plain_english_score": F.lit(3), "slots_28_days": F.lit(None).cast("int"), "insurers": empty, "specialty_primary": empty, "flags": F.array().cast("array<struct<code:string,severity:string,message:string>>")})
+
+
+def test_tools(spark):
+    scored = profiles_of(spark, [(f"s{i:02}", f"N {9 - i % 10}", "Gold", float(i), float(-i)) for i in range(60)])
+    one = tools.execute(scored, "search_profiles", {"score_min": 10, "sort_by": "price_asc", "limit": 99})
+    assert len(one.columns) == 15 and [r.slug for r in one.orderBy("price").collect()][:2] == ["s59", "s58"] and one.count() == 50 and one.first().total == 50
+    assert tools.execute(scored, "search_profiles", {}).count() == 20 and filters.clamp_limit(None) == 20 and filters.clamp_limit(99) == 50
+    assert len(tools.execute(scored, "profile_detail", {"name": "n 3"}).columns) == 28 and tools.execute(scored, "profile_detail", {"slug": "none"}).count() == 0
+    for bad in (("odd", {}), ("profile_detail", {})):
+        try:
+            tools.execute(scored, *bad)
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+
+
+def test_reports_in_csv(spark):
+    scored = profiles_of(spark, [("b", "B, \"x\"", "Gold", 1.5, 2.0), ("a", "A", "Gold", 3.0, None), ("c", "C", "Bronze", 3.0, None)])
+    header, lines = sinks.report_lines(scored, ["name", "price", "password", "online_bookable"], "Gold")
+    assert header == "Name,Consultation Price,Online Bookable" and [r.line for r in lines.collect()] == ["A,,false", '"B, ""x""",2.0,false']
+    header, lines = sinks.action_plan(spark.createDataFrame([(2, "Do, so", 3, 12.5, 37.5), (1, "Act", 4, 10.0, 40.0)], "rank int, action string, profiles long, points double, impact double"))
+    assert header == "Rank,Action,Profiles Affected,Points Per Profile,Total Impact" and [r.line for r in lines.collect()] == ['1,"Act",4,10,40', '2,"Do, so",3,12.5,37.5']
+    for columns in ([], ["password"]):
+        try:
+            sinks.report_lines(scored, columns)
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+
+
+def test_small_relations(spark, tmp_path):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(compare.display_lead(F.lit(a).cast("double"), F.lit(b).cast("double"))) for a, b in ((None, 3), (3, None), (5, 6), (None, None))] == ["rival", "home", "tie", "tie"]
+    assert one(scoring.capped(F.lit(8), F.lit(5), F.lit(10))) == 10
+    rows = spark.createDataFrame([("r", True), ("r", False), ("r", False)], "rewrite_id string, corroborated boolean")
+    assert tuple(desk.sources_by_support(rows).first()) == ("r", 1, 2)
+    profile = spark.createDataFrame([("r", "s", "word " * 160, None, ["t"] * 5, [], [], None)], "run_id string, slug string, about_text string, qualifications string, treatments array<string>, specialty_sub array<string>, memberships array<string>, practising_since int")
+    assert {r.element for r in scoring.elements(profile).where("selected").collect()} == {"qualifications", "specialty_sub", "memberships", "practising_since"}
+    known = spark.createDataFrame([("a", "parse_done", "x"), ("b", "error", None)], "slug string, scrape_status string, about_text string")
+    got = snapshots.with_earlier(spark.createDataFrame([("a",), ("z",)], "slug string"), known, ["about_text"]).orderBy("slug").collect()
+    assert [tuple(r) for r in got] == [("a", "parse_done", "x"), ("z", None, None)]
+    source, target = str(tmp_path / "from"), str(tmp_path / "to")
+    snapshots.write_run(spark.createDataFrame([("r1", "a", 1), ("r2", "a", 2)], "run_id string, slug string, n int"), source)
+    snapshots.copy_run(spark, source, target, "r2")
+    assert [(r.run_id, r.n) for r in spark.read.parquet(target).collect()] == [("r2", 2)]
+    places = spark.createDataFrame([("a", 1.0, 5.0), ("b", 3.0, 2.0)], "site string, x double, y double")
+    assert [r.site for r in filters.resorted(places, "y", "site", ["x", "y"]).collect()] == ["a", "b"] and [r.site for r in filters.resorted(places, "x", "site", ["x", "y"], descending=False).collect()] == ["a", "b"]
+    nulls = spark.createDataFrame([(None,), ("Gold",), (None,)], "tier string")
+    assert {r.name: r.n for r in metrics.group_count(nulls, "tier", other=metrics.UNKNOWN).collect()} == {"Unknown": 2, "Gold": 1}
