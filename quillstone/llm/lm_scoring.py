@@ -208,7 +208,7 @@ def score_distinct(docs: DataFrame, order: int, fold_mod: int, held_out: int, fo
                 )
 
     whole = blocks + fold_blocks
-    asked = rows.repartition(whole, "block").sortWithinPartitions("block").mapInArrow(ask, "bucket int, block int, level int, keys binary, counts binary")
+    asked = rows.repartitionById(whole, "block").sortWithinPartitions("block").mapInArrow(ask, "bucket int, block int, level int, keys binary, counts binary")
     answer_schema = "bucket int, block int, level int, total binary, kept binary, distinct long, tokens long, fold_tokens long, bins array<int>, events array<long>"
     arrow = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("total", pa.binary()), ("kept", pa.binary()), ("distinct", pa.int64()), ("tokens", pa.int64()), ("fold_tokens", pa.int64()), ("bins", pa.list_(pa.int32())), ("events", pa.list_(pa.int64()))])
 
@@ -235,7 +235,7 @@ def score_distinct(docs: DataFrame, order: int, fold_mod: int, held_out: int, fo
                 out.append((bucket, -1, 0, None, None, int((whole > 0).sum()), int(whole.sum()), int(folds.sum()), which.tolist(), np.bincount(back, folds[seen], len(which)).astype(int).tolist()))
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
 
-    answers = stored(asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer, answer_schema), "ngrams")
+    answers = stored(asked.repartitionById(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer, answer_schema), "ngrams")
     train_docs, fold_docs = (x or 0 for x in rows.agg(F.sum(F.when(~F.col("held_out"), F.col("copies"))), F.sum(F.when(F.col("block") >= blocks, F.col("copies")))).first())
     stats = answers.where("block = -1")
     distinct, tokens, fold_tokens = (x or 0 for x in stats.agg(F.sum("distinct"), F.sum("tokens"), F.sum("fold_tokens")).first())
@@ -264,7 +264,8 @@ def score_distinct(docs: DataFrame, order: int, fold_mod: int, held_out: int, fo
             n = np.bincount(place.ravel(), copies, len(both)).astype(np.int64)
             return pa.table({"bucket": pa.array(both[:, 0], pa.int32()), "at": pa.array(both[:, 1], pa.int32()), "n": pa.array(n, pa.int64())})
 
-        mine = rows.where(F.col("block") >= blocks).repartition(fold_blocks, "block").groupBy("block").cogroup(answers.where(F.col("block") >= blocks).select("block", "level", "bucket", "kept").repartition(fold_blocks, "block").groupBy("block"))
+        of_fold = lambda df, *columns: df.where(F.col("block") >= blocks).select((F.col("block") - blocks).alias("at"), *columns).repartitionById(fold_blocks, "at").groupBy("at")
+        mine = of_fold(rows, "text", "copies").cogroup(of_fold(answers, "level", "bucket", "kept"))
         events = mine.applyInArrow(tune, "bucket int, at int, n long").groupBy("bucket", "at").agg(F.sum("n")).collect()
         kept_model.weights.append(fit_weights([tuple(x) for x in events]))
     model.weights = kept_model.weights
@@ -289,7 +290,7 @@ def score_distinct(docs: DataFrame, order: int, fold_mod: int, held_out: int, fo
         )
 
     asked_for = answers.where("block >= 0").select("block", "level", "bucket", "total")
-    return rows.repartition(whole, "block").groupBy("block").cogroup(asked_for.repartition(whole, "block").groupBy("block")).applyInArrow(finish, schema)
+    return rows.repartitionById(whole, "block").groupBy("block").cogroup(asked_for.repartitionById(whole, "block").groupBy("block")).applyInArrow(finish, schema)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,12 +88,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         bins, offsets = vector_best_fit(group["length"].to_numpy(), length, docs_cap, cost_cap, rule, weights)
-        return group.assign(sequence_id=group["block"] * (1 << 32) + bins, offset=offsets).drop(columns="block")
+        return group.assign(sequence_id=group["block"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns="block")
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     # the place of reading, so that equal pieces are spread too
-    block = F.pmod(F.xxhash64("doc_id", "start", "read"), F.lit(blocks))
-    return cut.withColumn("block", block).drop("read").repartition(blocks, "block").groupBy("block").applyInPandas(run, schema)
+    block = F.pmod(F.xxhash64("doc_id", "start", "read"), F.lit(blocks)).cast("int")
+    return cut.withColumn("block", block).drop("read").repartitionById(blocks, "block").groupBy("block").applyInPandas(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

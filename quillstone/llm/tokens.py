@@ -3,7 +3,8 @@
 A byte-level BPE splits a text before it merges, and it always splits where white space follows something
 else. So a text is cut before such spaces and line feeds, and a worker encodes each distinct part once.
 New parts are encoded many at a time as one text, whose ids are cut again by the
-tokens' lengths in bytes. Parts of over 48 characters are never kept; a full memo starts anew.
+tokens' lengths in bytes. Parts of over 48 characters are never kept. The memo has two generations: a part that is used moves to the young one, and when that is
+full it becomes the old one, so that parts that are rare go and common ones stay.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ LONG = 48
 class Encoder:
     """Special tokens' strings are ordinary text. `dtype`: the smaller of 2 and 4 bytes that holds every id."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,16 +31,15 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]  # a byte-level vocabulary has a character for each byte
-        self.most, self.plain, self.spaced = most, {}, {}
+        self.most, self.plain, self.spaced = most, [{}, {}], [{}, {}]  # young and old generations
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, memo: dict, new: list[str], joined: bool) -> dict:
         """Encode `new`; the parts too long to keep come back in a dict of their own."""
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            return self._learn(memo, new, joined) if len(new) <= self.most else self._single(new, joined)
+        if len(new) > self.most:
+            return self._single(new, joined)
         long = [x for x in new if len(x) > LONG or joined and (not x or x[-1].isspace())]
         aside = self._single(long, joined) if long else {}
         rest = [x for x in new if x not in aside]
@@ -62,12 +62,19 @@ class Encoder:
         whole = [x if x[:1] == "\n" or not joined else " " + x for x in parts]
         return {x: ids.tobytes() for x, ids in zip(parts, self._encode(whole))}
 
-    def _look_up(self, memo: dict, rows: list[list[str]], joined: bool) -> list[bytes]:
+    def _look_up(self, memo: list[dict], rows: list[list[str]], joined: bool) -> list[bytes]:
         distinct = set().union(*rows)
-        if len(memo) + len(distinct) > self.most:
-            memo.clear()
-        aside = self._learn(memo, [x for x in distinct if x not in memo], joined)
-        get = memo.__getitem__ if not aside else lambda x: memo[x] if x in memo else aside[x]
+        if len(memo[0]) + len(distinct) > self.most // 2:
+            memo[:] = {}, memo[0]
+        young, old = memo
+        new = []
+        for x in distinct.difference(young):
+            if x in old:
+                young[x] = old[x]
+            else:
+                new.append(x)
+        aside = self._learn(young, new, joined) if new else {}
+        get = young.__getitem__ if not aside else lambda x: young[x] if x in young else aside[x]
         return [b"".join(map(get, row)) for row in rows]
 
     def raws(self, texts: list[str], at_once: int = 64) -> list[bytes]:

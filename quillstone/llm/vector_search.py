@@ -161,8 +161,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None =
     def find(batches):
         now, kept, built = None, [], None
         for pdf in batches:
-            key = pdf["grp"].to_numpy() * cuts + pdf["part"].to_numpy()
-            side = pdf["side"].to_numpy()
+            key, side = pdf["place"].to_numpy(), pdf["side"].to_numpy()
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]) if len(pdf) else []
             for i, j in zip(cut, [*cut[1:], len(pdf)]):
                 if key[i] != now:
@@ -175,8 +174,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None =
                     for k in range(0, len(rows), 64):
                         yield built.nearest(rows.iloc[k : k + 64], index, rerank, top)
 
-    top, order = k, ["grp", "part", "side"]
-    found = vectors_.union(queries_).repartition(groups * cuts, "grp", "part").sortWithinPartitions(*order).mapInPandas(find, "query_id long, vec_id long, score double")
+    top, place = k, F.col("grp") * cuts + F.col("part")  # a task for each part of each group
+    found = vectors_.union(queries_).withColumn("place", place).repartitionById(groups * cuts, "place").sortWithinPartitions("place", "side").mapInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
