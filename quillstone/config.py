@@ -11,6 +11,7 @@ from pathlib import Path
 WEIGHTS = {"has_photo": 10.0, "bio_depth": 15.0, "treatments": 10.0, "qualifications": 10.0, "specialty": 10.0, "insurers": 8.0, "consultation_times": 7.0, "plain_english": 10.0, "booking": 10.0, "practising_since": 5.0, "memberships": 5.0}
 THRESHOLDS = {"Gold": 80.0, "Silver": 60.0, "Bronze": 40.0}
 GATES = {"Gold": ("photo", "bio", "specialty"), "Silver": ("photo", "specialty"), "Bronze": ("specialty",)}
+GATE_NAMES = {"photo": "has_photo", "bio": "bio_depth_substantive", "specialty": "specialty_non_empty"}
 NON_PROCEDURAL = ["Psychiatry", "Psychology", "Pain Management", "Clinical Neurophysiology", "Counselling", "Psychotherapy", "Clinical Psychology", "Neuropsychology"]
 
 
@@ -71,6 +72,14 @@ class ScoringConfig:
         w = self.weights
         return w | {"bio_adequate": _round4(w["bio_depth"] * 2 / 3), "plain_english_3": _round4(w["plain_english"] / 2), "booking_no_slots": _round4(w["booking"] / 2)}
 
+    def total(self) -> float:
+        """The sum of the weights as they stand."""
+        return _round4(sum(_number(self.weights.get(k), 0.0) for k in WEIGHTS))
+
+    def mandatory(self) -> dict[str, tuple[float, list[str]]]:
+        """Each tier's least score and the names of its gates, as older callers read them; Incomplete asks for nothing."""
+        return {t: (self.thresholds[t], [GATE_NAMES[g] for g in ("photo", "bio", "specialty") if g in self.gates[t]]) for t in THRESHOLDS} | {"Incomplete": (0.0, [])}
+
     def ordered(self) -> bool:
         t = self.thresholds
         return t["Gold"] > t["Silver"] > t["Bronze"] >= 0

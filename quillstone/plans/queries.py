@@ -132,13 +132,16 @@ def seo_score(spark, sf_dir):
     return profiles(spark, sf_dir).select("run_id", "slug", *[c.cast("double").alias(k) for k, c in scoring.seo_parts().items()])
 
 
-@query(
-    _ALL + f"""SELECT run_id, slug, 'bio' AS element, CASE WHEN about_text IS NULL THEN 0 WHEN len(regexp_split_to_array(trim(about_text), '[ \\t\\n\\r]+')) >= 150 THEN 15 WHEN len(regexp_split_to_array(trim(about_text), '[ \\t\\n\\r]+')) >= 50 THEN 8 ELSE 3 END AS points FROM p
-UNION ALL SELECT run_id, slug, 'treatments', CASE WHEN treatment_count >= 1 THEN 5 ELSE 0 END FROM p UNION ALL SELECT run_id, slug, 'qualifications', CASE WHEN qualifications IS NOT NULL THEN 10 ELSE 0 END FROM p
-UNION ALL SELECT run_id, slug, 'specialty_sub', 0 FROM p UNION ALL SELECT run_id, slug, 'memberships', CASE WHEN membership_count > 0 THEN 5 ELSE 0 END FROM p UNION ALL SELECT run_id, slug, 'practising_since', CASE WHEN practising_since IS NOT NULL THEN 5 ELSE 0 END FROM p"""
-)
+_N_WORDS = "len(regexp_split_to_array(trim(about_text), '[ \\t\\n\\r]+'))"
+_ELEMENTS = {
+    "bio": (f"CASE WHEN about_text IS NULL THEN 0 WHEN {_N_WORDS} >= 150 THEN 15 WHEN {_N_WORDS} >= 50 THEN 8 ELSE 3 END", 15), "treatments": ("CASE WHEN treatment_count >= 1 THEN 5 ELSE 0 END", 10),
+    "qualifications": ("CASE WHEN qualifications IS NOT NULL THEN 10 ELSE 0 END", 10), "specialty_sub": ("0", 5), "memberships": ("CASE WHEN membership_count > 0 THEN 5 ELSE 0 END", 5), "practising_since": ("CASE WHEN practising_since IS NOT NULL THEN 5 ELSE 0 END", 5),
+}
+
+
+@query(_ALL + " UNION ALL ".join(f"SELECT run_id, slug, '{k}' AS element, {e} AS points, {e} < {m} AS selected FROM p" for k, (e, m) in _ELEMENTS.items()))
 def rewrite_elements(spark, sf_dir):
-    return scoring.elements(profiles(spark, sf_dir)).select("run_id", "slug", "element", "points")
+    return scoring.elements(profiles(spark, sf_dir)).select("run_id", "slug", "element", "points", "selected")
 
 
 @query(_ALL + "SELECT run_id, slug, unnest(list_filter([CASE WHEN booking_state = 'not_bookable' AND slots_28_days > 0 THEN 'slots_without_booking' END, CASE WHEN practising_since NOT BETWEEN 1950 AND 2030 THEN 'practising_since_range' END], lambda x: x IS NOT NULL)) AS rule FROM p")
@@ -406,6 +409,22 @@ def explorer_page(spark, sf_dir):
     return paged.select("slug", "score", place.cast("int").alias("place"))
 
 
+_KEYS = {"score": "score", "name": "name", "site": "site", "tier": "CASE tier WHEN 'Gold' THEN 4 WHEN 'Silver' THEN 3 WHEN 'Bronze' THEN 2 WHEN 'Incomplete' THEN 1 ELSE 0 END", "bio_depth": "bio_depth", "booking_state": "booking_state", "plain_english": "plain_english_score"}
+_ORDERS = [(k, down, f"{e} {'DESC NULLS LAST' if down else 'ASC NULLS FIRST'}, slug") for k, e in _KEYS.items() for down in (False, True)] + [("odd", True, "name, slug")]
+
+
+@query(_ALL + " UNION ALL ".join(f"SELECT '{k}' AS key, {str(down).lower()} AS descending, slug, place FROM (SELECT slug, CAST(row_number() OVER (ORDER BY {o}) AS INT) AS place FROM t) WHERE place <= 10" for k, down, o in _ORDERS))
+def explorer_orders(spark, sf_dir):
+    """The first page under each sort key and direction, and under a key that is not on the list."""
+    scored = run(spark, sf_dir)
+    pages = []
+    for k, down, _ in _ORDERS:
+        order = filters.sort_order(k, down)
+        place = F.row_number().over(metrics.Window.orderBy(*order)).cast("int")  # ten rows
+        pages.append(filters.page(scored, order, 1, 10).select(F.lit(k).alias("key"), F.lit(down).alias("descending"), "slug", place.alias("place")))
+    return reduce(DataFrame.union, pages)
+
+
 _COUNTS = {
     "site": (ProfileFilter(site="SRC1"), "site ILIKE '%SRC1%'"),
     "no_photo": (ProfileFilter(has_photo=False), "has_photo IS NOT TRUE"),
@@ -820,10 +839,12 @@ def run_durations(spark, sf_dir):
     return ends.select("user_id", text.duration(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")).alias("took"))
 
 
-@query(_ALL + "SELECT run_id, slug, CASE WHEN membership_count > 0 THEN '[\"society\"]' ELSE '[]' END AS memberships, qualifications FROM p")
+@query(
+    _ALL + """SELECT run_id, slug, about_text AS bio, CASE treatment_count WHEN 0 THEN '[]' WHEN 1 THEN '["biopsy"]' ELSE '["biopsy","scan"]' END AS treatments, qualifications, '[]' AS specialty_sub,
+  CASE WHEN membership_count > 0 THEN '["society"]' ELSE '[]' END AS memberships, CAST(practising_since AS VARCHAR) AS practising_since FROM p"""
+)
 def element_contents(spark, sf_dir):
-    p = profiles(spark, sf_dir)
-    return p.select("run_id", "slug", desk.element_content(F.lit("memberships")).alias("memberships"), desk.element_content(F.lit("qualifications")).alias("qualifications"))
+    return profiles(spark, sf_dir).select("run_id", "slug", *[desk.element_content(F.lit(k)).alias(k) for k in _ELEMENTS])
 
 
 @query("SELECT p_partkey, array_to_string(list_concat(a, list_filter(b, lambda x: len(list_filter(a, lambda y: lower(y) = lower(x))) = 0)), '|') AS words FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(concat(upper(p_name), ' ', p_type), ' ') AS b FROM part)")

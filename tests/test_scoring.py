@@ -62,6 +62,11 @@ def test_config(tmp_path):
         save_config(path, {"thresholds": {"Gold": 10}}, "me")
 
 
+def test_config_for_older_callers():
+    c = ScoringConfig.coerce({"thresholds": {"Gold": 85}, "gates": {"Silver": ["specialty", "odd", "photo"]}})
+    assert c.total() == 100 and c.mandatory() == {"Gold": (85.0, ["has_photo", "bio_depth_substantive", "specialty_non_empty"]), "Silver": (60.0, ["has_photo", "specialty_non_empty"]), "Bronze": (40.0, ["specialty_non_empty"]), "Incomplete": (0.0, [])}
+
+
 def test_config_changes_tier(spark):
     assert score(spark, ScoringConfig.coerce({"gold_needs_no_fail": False}), qualifications=None)[1] == "Gold"
     assert score(spark, ScoringConfig.coerce({"incomplete_from_fails": 0}), qualifications=None, has_photo=False)[1] == "Bronze"
