@@ -195,10 +195,11 @@ class _Held:
         visited = np.zeros((len(q), self.cells), bool)
         for i, cells in enumerate(queries["cells"]):
             visited[i, cells] = True
-        near = (q @ index.coarse.T).astype(np.float32)[:, self.cell]
-        tables = index.tables(q).astype(np.float32)
-        for p, codes in enumerate(self.codes):
-            near += tables[:, p][:, codes]
+        # a row a vector and a column a query, so that a code takes its row of a table at once
+        near = np.ascontiguousarray((index.coarse @ q.T).astype(np.float32))[self.cell]
+        for codes, table in zip(self.codes, np.ascontiguousarray(index.tables(q).transpose(1, 2, 0), np.float32)):
+            near += table[codes]
+        near = np.ascontiguousarray(near.T)
         near[~visited[:, self.cell] | (self.ids == names[:, None])] = -np.inf
         # what ties with the last place is reranked too, so equal copies stay in order of vec_id
         bound = np.partition(near, near.shape[1] - rerank, axis=1)[:, -rerank] if near.shape[1] > rerank else np.full(len(q), -np.inf)
