@@ -21,7 +21,7 @@ LONG = 48
 class Encoder:
     """Special tokens' strings are ordinary text. `dtype`: the smaller of 2 and 4 bytes that holds every id."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
