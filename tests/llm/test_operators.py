@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstone.llm import exact_dedup, language_id, lm_scoring, mixing, near_copies, packing, quality, sharding, simhash, token_files, vector_search
-from quillstone.llm.common import keyed_texts, running, sums_before
+from quillstone.llm.common import keyed_texts, running, shared_dir, sums_before
 from quillstone.llm.tokens import Encoder, default_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, shard string, block string, fp string"
@@ -879,3 +879,15 @@ def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert json.dumps(sorted(Counter(r.sequence_id for r in rows))) and max(r.length for r in rows) <= 1024
+
+
+def test_a_run_leaves_only_the_stages_tables(spark, sf_dir):
+    import os
+
+    import corpus_pipeline
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    assert left == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
