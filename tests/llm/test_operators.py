@@ -610,7 +610,7 @@ def brute_classes(sets, least=0.8):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("how", [{}, {"most": 2, "block": 16}])
+@pytest.mark.parametrize("how", [{}, {"most": 2, "block": 32}, {"most": 2, "block": 16}])
 def test_near_copies(spark, odd, how):
     """Classes are the components of exact similarity, in dense groups of near copies too, whether pairs, tiles or leaders find them."""
     rng = random.Random(6)
