@@ -96,14 +96,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = 600_000) -> Encoder:
+    """This worker's encoder for a vocabulary file; `most`: parts in its memo, some 500 bytes each. A larger memo encodes fewer parts anew."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 def default_vocabulary() -> str:
