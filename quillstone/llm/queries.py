@@ -1,6 +1,6 @@
 """The operators' queries over the whole tables, and DuckDB SQL where SQL can express them."""
 
-from quillstone.llm import exact_dedup, language_id, lm_scoring, mixing, packing, periodic_runs, quality, sharding, simhash, source_divergence, token_files, vector_search
+from quillstone.llm import exact_dedup, language_id, lm_scoring, mixing, packing, periodic_runs, quality, set_sketch, sharding, simhash, source_divergence, token_files, vector_search
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,8 +13,9 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_token_files": token_files.op9_token_files,
     "op10_language_id": language_id.op10_language_id,
+    "op11_set_sketch": set_sketch.op11_set_sketch,
     "op12_source_divergence": source_divergence.op12_source_divergence,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op12_source_divergence": source_divergence.OP12_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op11_set_sketch": set_sketch.OP11_SQL, "op12_source_divergence": source_divergence.OP12_SQL}
