@@ -3,7 +3,7 @@
 A text's set holds its distinct `width`-word shingles (A-Z lowered, words `[^\\x20\\x09-\\x0D]+`; of fewer words, the whole sequence). Texts link if the Jaccard similarity of their sets is at least
 `least`. A set's sketch has `bands * rows` registers: register i is floor(1 - log_base(least h_i)) within 0 to 2**16 - 1, where h_i gives each member an exponential value of rate `RATE`. So
 registers are exponentially spaced, truncated minima; sketches of a union are the greater registers (`merged`), and equal registers are as likely as the sets are similar.
-Each band of `rows` registers is a key. With 40 bands of 4, a pair of similarity 0.8 shares no key with a chance of 7e-10, whatever its sizes.
+Each band of `rows` registers is a key. With 40 bands of 4, a pair of similarity 0.8 shares no key with a chance of 8e-10, whatever its sizes.
 
 Keys are counted first, so those of one set go no further. In shards of up to `most` sets a 64-bit word of the registers' lowest bits sorts out pairs that differ in more than `bits` of them
 (by chance 1e-8 at similarity 0.8; unrelated sets differ in 32). The others' whole sketches meet once a pair: the likelihood of the similarity, given both sets' sizes and how many registers of one are greater, equal and
