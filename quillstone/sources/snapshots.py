@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -34,7 +36,7 @@ def merge(old: DataFrame, delta: DataFrame, keys: list[str], changed: str = "cha
     """old with delta's rows put in. delta's array `changed` names the columns that it sets, so a null can be set too; new keys take all of delta."""
     o, d = old.alias("o"), delta.alias("d")
     both = o.join(d, [F.col(f"o.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys], "full")
-    is_new, is_set = F.coalesce(*[F.col(f"o.{k}") for k in keys]).isNull(), lambda c: F.coalesce(F.array_contains(f"d.{changed}", c), F.lit(False))
+    is_new, is_set = reduce(Column.__and__, [F.col(f"o.{k}").isNull() for k in keys]), lambda c: F.coalesce(F.array_contains(f"d.{changed}", c), F.lit(False))
     pick = lambda c: F.when(is_new | is_set(c), F.col(f"d.{c}")).otherwise(F.col(f"o.{c}")) if c in delta.columns else F.col(f"o.{c}")
     return both.select(*[F.coalesce(f"o.{k}", f"d.{k}").alias(k) for k in keys], *[pick(c).alias(c) for c in old.columns if c not in keys])
 
