@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import arrays
 from quillstone.functions.numbers import count_where, half_up
+from quillstone.operators import ranks
 from quillstone.operators.scoring import adjusted, rival_adjusted
 
 CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
@@ -105,9 +106,7 @@ def deltas(pairs: DataFrame) -> DataFrame:
 
 def delta_page(pairs: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     """A page of deltas, the home side's greatest leads first, with each row's rank."""
-    order = [F.asc("delta"), F.asc("slug")]
-    some = deltas(pairs).orderBy(*order).offset((number - 1) * size).limit(size)
-    return some.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + (number - 1) * size)  # `size` rows
+    return ranks.page(deltas(pairs), [F.asc("delta"), F.asc("slug")], number, size).withColumn("rank", F.col("rank").cast("int"))
 
 
 def top_gaps(pairs: DataFrame, most: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import arrays, text
+from quillstone.operators import ranks
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,8 @@ def review_reasons() -> Column:
 TIER_RANK = {"Gold": 4, "Silver": 3, "Bronze": 2, "Incomplete": 1}
 
 
-def sort_order(key: str | None, descending: bool = False) -> list[Column]:
-    """A whitelisted key's order with the slug as tie-break; an unknown key is name ascending, whatever the direction."""
+def sort_key(key: str | None, descending: bool = False) -> tuple[Column, bool]:
+    """A whitelisted key's column and direction; an unknown key is name ascending, whatever the direction. Ties go by slug."""
     keys = {
         "score": F.col("score"),
         "name": F.col("name"),
@@ -118,19 +119,29 @@ def sort_order(key: str | None, descending: bool = False) -> list[Column]:
         "booking_state": F.col("booking_state"),
         "plain_english": F.col("plain_english_score"),
     }
-    if key not in keys:
-        return [F.asc("name"), F.asc("slug")]
-    return [keys[key].desc() if descending else keys[key].asc(), F.asc("slug")]
+    return (keys[key], descending) if key in keys else (F.col("name"), False)
+
+
+def sort_order(key: str | None, descending: bool = False) -> list[Column]:
+    """sort_key as an order with the slug as tie-break."""
+    column, down = sort_key(key, descending)
+    return [column.desc() if down else column.asc(), F.asc("slug")]
 
 
 # The second list of sort modes, of callers that ask by name.
 SORT_MODES = {"score_desc": ("score", True), "score_asc": ("score", False), "price_desc": ("price", True), "price_asc": ("price", False)}
 
 
-def sort_mode(mode: str | None) -> list[Column]:
-    """A mode's order with the slug as tie-break; any other is by name."""
+def mode_key(mode: str | None) -> tuple[Column, bool]:
+    """A mode's column and direction; any other is by name. Ties go by slug."""
     column, descending = SORT_MODES.get(mode, ("name", False))
-    return [F.desc(column) if descending else F.asc(column), F.asc("slug")]
+    return F.col(column), descending
+
+
+def sort_mode(mode: str | None) -> list[Column]:
+    """mode_key as an order with the slug as tie-break."""
+    column, down = mode_key(mode)
+    return [column.desc() if down else column.asc(), F.asc("slug")]
 
 
 def resorted(groups: DataFrame, metric: str, key: str, metrics: list[str], descending: bool = True) -> DataFrame:
@@ -141,8 +152,8 @@ def resorted(groups: DataFrame, metric: str, key: str, metrics: list[str], desce
 
 
 def page(profiles: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
-    """Page `number` (from 1) of `size` rows."""
-    return profiles.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    """Page `number` (from 1) of `size` rows with their `rank`; deep pages too (ranks.page). ranks.page_after goes on from a page's last row."""
+    return ranks.page(profiles, order, number, size)
 
 
 def clamp_limit(n: int | None, default: int = 20, most: int = 50) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import arrays, text
 from quillstone.functions.numbers import half_up
-from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, scoring
+from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, ranks, scoring
 from quillstone.operators.filters import ProfileFilter
 from quillstone.plans import tools
 from quillstone.schema import PROFILES_SQL, profiles, validate
@@ -299,14 +299,9 @@ _MODES = {"score_desc": "score DESC", "score_asc": "score", "price_desc": "price
 
 @query(_ALL + ", x AS (SELECT * FROM t WHERE tier = 'Bronze' AND score >= 45 AND list_contains(specialty_primary, 'en')) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, (SELECT count(*) FROM x) AS total, {_SEARCH}, CAST(row_number() OVER (ORDER BY {o}, slug) AS INT) AS place FROM x" for m, o in _MODES.items()) + ") WHERE place <= 12")
 def tool_search(spark, sf_dir):
-    """The search tool under each sort mode."""
-    scored = run(spark, sf_dir)
-    out = []
-    for mode in _MODES:
-        found = tools.execute(scored, "search_profiles", {"tier": "Bronze", "score_min": 45, "specialty": "en", "sort_by": mode, "limit": 12})
-        place = F.row_number().over(metrics.Window.orderBy(*filters.sort_mode(mode)))  # 12 rows
-        out.append(found.select(F.lit(mode).alias("mode"), "*", place.alias("place")).withColumns({"specialty_primary": F.array_join("specialty_primary", ";")} | {c: F.col(c).cast("double") for c in ("plain_english_score", "slots_28_days")}).withColumnRenamed("specialty_primary", "specialties"))
-    return reduce(DataFrame.union, out)
+    """The search tool under each sort mode, from one scan."""
+    found = tools.search_modes(run(spark, sf_dir), list(_MODES), tier="Bronze", score_min=45, specialty="en", limit=12)
+    return found.withColumns({"specialty_primary": F.array_join("specialty_primary", ";")} | {c: F.col(c).cast("double") for c in ("plain_english_score", "slots_28_days")}).withColumnRenamed("specialty_primary", "specialties")
 
 
 @query(_ALL + "SELECT name, slug, site, array_to_string(specialty_primary, ';') AS specialties, tier, score, practising_since, registration_number, insurer_count, fails, (SELECT count(*) FROM (SELECT 1 LIMIT 0)) AS reasons FROM t WHERE slug = 'p-7'")
@@ -340,13 +335,9 @@ def site_outliers(spark, sf_dir):
 
 @query(_ALL + f", b AS (SELECT site, {_BENCH} FROM t WHERE site IS NOT NULL GROUP BY site) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, site, row_number() OVER (ORDER BY {m} DESC, site) AS place FROM b" for m in METRICS))
 def site_orders(spark, sf_dir):
-    """The leaderboard by each of six metrics."""
-    sites = metrics.site_benchmark(run(spark, sf_dir))
-    return reduce(DataFrame.union, [_placed_by(filters.resorted(sites, m, "site", METRICS), m).select(F.lit(m).alias("metric"), "site", "place") for m in METRICS])
-
-
-def _placed_by(sites: DataFrame, metric: str) -> DataFrame:
-    return sites.withColumn("place", F.row_number().over(metrics.Window.orderBy(F.desc(metric), "site")).cast("long"))
+    """The leaderboard by each of six metrics: all sites' places from one scan, without a task that sorts them all."""
+    sites = metrics.site_benchmark(run(spark, sf_dir)).select("site", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])))
+    return ranks.ranked(sites, [F.desc("value"), F.asc("site")], "place", ["metric"]).select("metric", "site", "place")
 
 
 @query(_ALL + _SITES + ", v AS (SELECT u.*, CASE WHEN metric = 'avg_plain_english' THEN value * 10 ELSE value END AS level FROM u JOIN b ON u.site = b.site WHERE profiles >= 5) SELECT site, metric, value, CASE WHEN level >= 70 THEN 'green' WHEN level >= 40 THEN 'amber' ELSE 'red' END AS band FROM v")
@@ -404,9 +395,20 @@ def insurer_frequency(spark, sf_dir):
 @query(_ALL + "SELECT slug, score, CAST(row_number() OVER (ORDER BY score DESC, slug) AS INT) AS place FROM t WHERE tier IN ('Silver', 'Bronze') AND (name ILIKE '%th%' OR slug ILIKE '%th%' OR site ILIKE '%th%') QUALIFY place BETWEEN 21 AND 40")
 def explorer_page(spark, sf_dir):
     some = ProfileFilter(tiers=("Silver", "Bronze"), search="th").apply(run(spark, sf_dir))
-    paged = filters.page(some, filters.sort_order("score", True), 2, 20)
-    place = F.row_number().over(metrics.Window.orderBy(F.desc("score"), "slug")) + 20  # one page
-    return paged.select("slug", "score", place.cast("int").alias("place"))
+    return filters.page(some, filters.sort_order("score", True), 2, 20).select("slug", "score", F.col("rank").cast("int").alias("place"))
+
+
+@query(_ALL + "SELECT slug, score, row_number() OVER (ORDER BY score DESC, slug) AS place FROM t QUALIFY place BETWEEN 61 AND 80")
+def deep_page(spark, sf_dir):
+    """A page as deep ones are read: places come from ranges of the order and their counts, whatever the depth."""
+    return ranks.page(run(spark, sf_dir), filters.sort_order("score", True), 4, 20, "place", shallow=0).select("slug", "score", "place")
+
+
+@query(_ALL + "SELECT slug, bio_depth, row_number() OVER (ORDER BY bio_depth DESC, slug) AS n FROM t WHERE (bio_depth < 'thin' OR (bio_depth = 'thin' AND slug > 'p-4')) QUALIFY n <= 15")
+def next_page(spark, sf_dir):
+    """The page after a row that the caller has seen last."""
+    some = ranks.page_after(run(spark, sf_dir), [("bio_depth", True), ("slug", False)], ("thin", "p-4"), 15)
+    return some.select("slug", "bio_depth", F.row_number().over(metrics.Window.orderBy(F.desc("bio_depth"), "slug")).cast("long").alias("n"))  # one page
 
 
 _KEYS = {"score": "score", "name": "name", "site": "site", "tier": "CASE tier WHEN 'Gold' THEN 4 WHEN 'Silver' THEN 3 WHEN 'Bronze' THEN 2 WHEN 'Incomplete' THEN 1 ELSE 0 END", "bio_depth": "bio_depth", "booking_state": "booking_state", "plain_english": "plain_english_score"}
@@ -415,14 +417,10 @@ _ORDERS = [(k, down, f"{e} {'DESC NULLS LAST' if down else 'ASC NULLS FIRST'}, s
 
 @query(_ALL + " UNION ALL ".join(f"SELECT '{k}' AS key, {str(down).lower()} AS descending, slug, place FROM (SELECT slug, CAST(row_number() OVER (ORDER BY {o}) AS INT) AS place FROM t) WHERE place <= 10" for k, down, o in _ORDERS))
 def explorer_orders(spark, sf_dir):
-    """The first page under each sort key and direction, and under a key that is not on the list."""
-    scored = run(spark, sf_dir)
-    pages = []
-    for k, down, _ in _ORDERS:
-        order = filters.sort_order(k, down)
-        place = F.row_number().over(metrics.Window.orderBy(*order)).cast("int")  # ten rows
-        pages.append(filters.page(scored, order, 1, 10).select(F.lit(k).alias("key"), F.lit(down).alias("descending"), "slug", place.alias("place")))
-    return reduce(DataFrame.union, pages)
+    """The first page under each sort key and direction, and under a key that is not on the list, from one scan."""
+    found = ranks.tops(run(spark, sf_dir), {f"{k}/{down}": filters.sort_key(k, down) for k, down, _ in _ORDERS}, "slug", 10)
+    key = F.split("order", "/")
+    return found.select(key[0].alias("key"), (key[1] == "True").alias("descending"), "slug", "place")
 
 
 _COUNTS = {
@@ -780,7 +778,7 @@ def csv_report(spark, sf_dir):
     """The lines of a report of allowed columns for a tier and sites, with their places (by name)."""
     scored = run(spark, sf_dir)
     _, lines = sinks.report_lines(scored, ["name", "site", "secret", "tier", "score", "insurer_count", "specialty_primary"], "Bronze", "C1")
-    return lines.select("line", F.row_number().over(metrics.Window.orderBy("name", "slug")).cast("long").alias("place"))
+    return ranks.ranked(lines, [F.asc("name"), F.asc("slug")], "place").select("line", "place")
 
 
 @query(_ALL + "SELECT rank, concat_ws(',', rank, '\"' || action || '\"', profiles, regexp_replace(points::VARCHAR, '\\.0$', ''), regexp_replace(impact::VARCHAR, '\\.0$', '')) AS line FROM (".replace("\\\\", "\\") + _ACTION.format(rows=" UNION ALL ".join(_ROW(i, *x) for i, x in enumerate(_CENTRE))) + ")")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators.filters import ProfileFilter, clamp_limit, sort_mode
+from quillstone.operators.filters import ProfileFilter, clamp_limit, mode_key
 from quillstone.operators.metrics import DETAIL_LIST, SEARCH_LIST, listed
+from quillstone.operators.ranks import tops
+from quillstone.sources.shared import stored
 
 #: parameter of a search -> field of ProfileFilter
 SEARCH_PARAMETERS = {
@@ -16,10 +18,16 @@ SEARCH_PARAMETERS = {
 
 def search_profiles(scored: DataFrame, **params) -> DataFrame:
     """(total, 14 columns): up to `limit` profiles (20; 50 at most) that meet the parameters, by `sort_by`, each with the number of all that do."""
+    mode = params.pop("sort_by", None)
+    return search_modes(scored, [mode or "name"], **params).orderBy("place").drop("mode", "place")
+
+
+def search_modes(scored: DataFrame, modes: list[str], **params) -> DataFrame:
+    """(mode, 14 columns, place, total): search_profiles under each of several sort modes. The profiles that meet the parameters are found and written once, with the columns that the list shows; their number and all pages come from there."""
     chosen = ProfileFilter(**{field: params[name] for name, field in SEARCH_PARAMETERS.items() if params.get(name) is not None}).apply(scored)
-    some = listed(chosen.orderBy(*sort_mode(params.get("sort_by"))).limit(clamp_limit(params.get("limit"))), SEARCH_LIST)
-    total = chosen.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("one"))  # one row
-    return some.withColumn("one", F.lit(1)).join(total, "one").drop("one")
+    found = stored(listed(chosen, SEARCH_LIST), "found")
+    pages = tops(found, {m: mode_key(m) for m in modes}, "slug", clamp_limit(params.get("limit")), "mode")
+    return pages.withColumn("total", F.lit(found.count()))
 
 
 def profile_detail(scored: DataFrame, slug: str | None = None, name: str | None = None) -> DataFrame:
