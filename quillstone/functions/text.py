@@ -144,15 +144,20 @@ def superlatives(text: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+# How national numbers are written, tried in this order at each place of a text.
+PHONE_SHAPES = [r"0[1-3]\d{1,3}\s*\d{3,4}\s*\d{3,4}", r"07\d{3}\s*\d{3}\s*\d{3}", r"0300\s*\d{3}\s*\d{4}", r"0[1-3]\d{8,9}", r"07\d{9}", r"0300\d{7}"]
+NO_BREAK_SPACE = "\u00a0"
+
+
 def phone(text: Column) -> Column:
     """A national number without spaces, hyphens and brackets, or null if it is none."""
-    bare = F.regexp_replace(text, r"[\s\-()]+", "")
+    bare = F.regexp_replace(F.translate(text, NO_BREAK_SPACE, " "), r"[\s\-()]+", "")
     return F.when(bare.rlike(r"^0[1-37]\d{8,9}$"), bare)
 
 
 def phones(text: Column) -> Column:
-    """Distinct numbers in a text, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"(0[0-9][0-9 ()-]{8,13}[0-9])"), 1)
+    """Distinct numbers in a text, in order. Numbers that stand side by side are told apart by the groups in which each kind is written."""
+    found = F.regexp_extract_all(F.translate(text, NO_BREAK_SPACE, " "), F.lit(f"({'|'.join(PHONE_SHAPES)})"), 1)
     return F.array_distinct(F.filter(F.transform(found, phone), lambda x: x.isNotNull()))
 
 
@@ -165,7 +170,8 @@ def first_landline(numbers: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)"), 1))
+    """Distinct addresses in a text, in order; a sentence's stop after one is no part of it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_+-][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+)"), 1))
 
 
 def host(url: Column) -> Column:

@@ -144,9 +144,25 @@ def rewrite_elements(spark, sf_dir):
     return scoring.elements(profiles(spark, sf_dir)).select("run_id", "slug", "element", "points", "selected")
 
 
-@query(_ALL + "SELECT run_id, slug, unnest(list_filter([CASE WHEN booking_state = 'not_bookable' AND slots_28_days > 0 THEN 'slots_without_booking' END, CASE WHEN practising_since NOT BETWEEN 1950 AND 2030 THEN 'practising_since_range' END], lambda x: x IS NOT NULL)) AS rule FROM p")
+_ODD = {
+    "slug": "CASE WHEN price < 60 THEN '' WHEN price < 62 THEN NULL ELSE slug END", "bio_depth": "CASE WHEN insurer_count = 3 AND price < 150 THEN 'deep' ELSE bio_depth END", "booking_state": "CASE WHEN price > 340 THEN 'closed' ELSE booking_state END",
+    "plain_english_score": "plain_english_score + CASE WHEN price > 300 THEN 2 ELSE 0 END", "practising_since": "practising_since + CASE WHEN price < 100 THEN 20 ELSE -34 END", "price": "price - 55.0", "slots_28_days": "CASE WHEN booking_state = 'not_bookable' AND price > 255 THEN 3 ELSE slots_28_days END",
+}
+_BROKEN_RULES = {
+    "slug_missing": "slug IS NULL OR slug = ''", "bio_depth_unknown": "bio_depth = 'deep'", "booking_state_unknown": "booking_state = 'closed'", "plain_english_range": "plain_english_score > 5", "practising_since_range": "practising_since < 1950 OR practising_since > 2030", "price_negative": "price < 0",
+    "slots_without_booking": "booking_state = 'not_bookable' AND slots_28_days > 0",
+}
+
+
+@query(
+    _ALL + f", o AS (SELECT run_id, slug AS given, {', '.join(f'{e} AS {c}' for c, e in _ODD.items())} FROM p) "
+    + " UNION ALL ".join(f"SELECT run_id, given, '{k}' AS rule FROM o WHERE {c}" for k, c in _BROKEN_RULES.items())
+)
 def broken_rules(spark, sf_dir):
-    return validate(profiles(spark, sf_dir))
+    """Every rule, over profiles some of which break it."""
+    rows = profiles(spark, sf_dir).withColumn("insurer_count", F.size("insurers"))
+    odd = rows.select("run_id", F.col("slug").alias("given"), *[F.expr(e).alias(c) for c, e in _ODD.items()])
+    return validate(odd, ["run_id", "given"])
 
 
 # ---- reports over one run
@@ -595,9 +611,13 @@ def bio_depth(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.bio_depth(F.col("text")).alias("depth"))
 
 
-@query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name_key FROM supplier")
+_TITLED = "concat(CASE s_suppkey % 6 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'Professor Sir ' WHEN 2 THEN 'Mrs  ' WHEN 3 THEN ' Prof. Dr ' WHEN 4 THEN 'Missy ' ELSE '' END, 'Ann-Lee O''Dra_', s_name, CASE WHEN s_suppkey % 2 = 0 THEN ' Dr' ELSE '' END)"
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 4 THEN 'missy ' ELSE '' END || 'ann lee odra supplier' || CASE WHEN s_suppkey % 2 = 0 THEN ' dr' ELSE '' END AS name_key FROM supplier")
 def name_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text.name_key(F.regexp_replace("s_name", "#", "")).alias("name_key"))
+    """Names with titles, marks and odd spaces; the oracle puts together what is to be left."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.name_key(F.expr(_TITLED)).alias("name_key"))
 
 
 @query("SELECT c_custkey, CASE WHEN d = '' THEN NULL WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END AS number FROM (SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS d FROM customer)")
@@ -660,18 +680,42 @@ def search_texts(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", *[F.get(q, F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
-@query("SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS found FROM (SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1) AS m FROM documents)) WHERE len(list_distinct_ordered) > 0")
+@query("SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS found FROM (SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9_+-][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]*[A-Za-z0-9])+)', 1) AS m FROM documents)) WHERE len(list_distinct_ordered) > 0")
 def emails(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", text.emails(F.col("text")).alias("m"))
     return found.where(F.size("m") > 0).select("doc_id", F.array_join("m", ",").alias("found"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') AS found FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(0[0-9][0-9 ()-]{8,13}[0-9])', 1), lambda x: regexp_replace(x, '[\\s\\-()]+', '', 'g')), lambda x: regexp_matches(x, '^0[1-37]\\d{8,9}$')) AS m FROM documents) WHERE len(m) > 0")
+@query(
+    r"""WITH chars AS (SELECT doc_id, translate(text, chr(160), ' ') AS t FROM documents WHERE regexp_matches(text, '0[1-37]')),
+m AS (SELECT doc_id, regexp_extract_all(t, '0[1-3]\d{1,3}\s*\d{3,4}\s*\d{3,4}|07\d{3}\s*\d{3}\s*\d{3}|0300\s*\d{3}\s*\d{4}|0[1-3]\d{8,9}|07\d{9}|0300\d{7}') AS m FROM chars),
+d AS (SELECT doc_id, list_filter(list_transform(m, lambda x: regexp_replace(x, '\s+', '', 'g')), lambda x: len(x) IN (10, 11)) AS m FROM m)
+SELECT doc_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') AS found FROM d WHERE len(m) > 0"""
+)
 def phones(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", text.phones(F.col("text")).alias("m"))
     return found.where(F.size("m") > 0).select("doc_id", F.array_join("m", ",").alias("found"))
 
 
+_K3 = "lpad(cast(c_custkey % 1000 AS string), 3, '0')"
+_CARD = f"""CASE c_custkey % 7 WHEN 0 THEN concat('Call 0121 496 0', {_K3}, ' 07700 900', {_K3}, ' or 0121 4960', {_K3}) WHEN 1 THEN concat('01214960', {_K3}, ' 07700900', {_K3}, '.') WHEN 2 THEN concat('Tel. 0121 496 0', {_K3}, ' 12 to 14 Main St')
+  WHEN 3 THEN concat('020 7946 0', {_K3}, ' 0300 123 4', {_K3}, ' 07700 900 ', {_K3}) WHEN 4 THEN concat('Ref 07700 90 ', {_K3}, ', room 0121') WHEN 5 THEN concat('03001234', {_K3}, '/01632960', {_K3}) ELSE concat('none of 1', {_K3}, '0') END"""
+_MAIL = f"CASE c_custkey % 3 WHEN 0 THEN concat('Write to a-b+', {_K3}, '@c-d.example.org. Or to us@x.example, now') WHEN 1 THEN concat('<', {_K3}, '.x_y@mail.example>; ', {_K3}, '.x_y@mail.example.') ELSE 'a@ b.example @c.example' END"
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS k FROM customer)
+SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '01214960' || k || ',07700900' || k WHEN 1 THEN '01214960' || k || ',07700900' || k WHEN 2 THEN '01214960' || k WHEN 3 THEN '02079460' || k || ',03001234' || k || ',07700900' || k
+  WHEN 5 THEN '03001234' || k || ',01632960' || k ELSE '' END AS phones,
+  CASE c_custkey % 7 WHEN 0 THEN '07700900' || k WHEN 1 THEN '07700900' || k WHEN 3 THEN '07700900' || k END AS mobile,
+  CASE c_custkey % 3 WHEN 0 THEN 'a-b+' || k || '@c-d.example.org,us@x.example' WHEN 1 THEN k || '.x_y@mail.example' ELSE '' END AS emails FROM c"""
+)
+def contact_cards(spark, sf_dir):
+    """Numbers and addresses side by side; the oracle puts together what each line was made of."""
+    cards = table(spark, sf_dir, "customer").select("c_custkey", text.phones(F.expr(_CARD)).alias("p"), text.emails(F.expr(_MAIL)).alias("m"))
+    return cards.select("c_custkey", F.array_join("p", ",").alias("phones"), text.first_mobile(F.col("p")).alias("mobile"), F.array_join("m", ",").alias("emails"))
+
+
 @query("SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
 def hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(text.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
@@ -694,13 +738,55 @@ def page_snippets(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.length(snippet) > 0).alias("has_text"), snippet.alias("snippet"))
 
 
-@query()
+_STRIPPED = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query(
+    f"""WITH m AS (SELECT page_id, nullif(replace(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&amp;', '&'), '') AS name,
+  list_filter(list_transform(regexp_extract_all({_STRIPPED}, '0[1-3]\\d{{1,3}}\\s*\\d{{3,4}}\\s*\\d{{3,4}}|07\\d{{3}}\\s*\\d{{3}}\\s*\\d{{3}}|0300\\s*\\d{{3}}\\s*\\d{{4}}|0[1-3]\\d{{8,9}}|07\\d{{9}}|0300\\d{{7}}'), lambda x: regexp_replace(x, '\\s', '', 'g')), lambda x: len(x) IN (10, 11) AND x[:2] <> '07') AS tel FROM pages)
+SELECT page_id, name, false AS has_photo, 'not_bookable' AS booking_state, NULL AS booking_code, NULL AS booking_caveat, 'missing' AS bio_depth, tel[1] AS phone, NULL AS email, NULL AS age_text, true AS in_network, 0 AS n_sections,
+  CASE WHEN name IS NULL THEN 'name,' ELSE '' END || 'registration_number' AS low_confidence, 'QA_LOW_CONFIDENCE' AS page_flags FROM m"""
+)
 def parse_pages(spark, sf_dir):
     out = html.parse(table(spark, sf_dir, "pages"))
     flagged = scoring.flags(html.page_flags() | {k: F.lit(False) for k in list(scoring.FLAGS)[:8]})
     return out.select("page_id", "name", "has_photo", "booking_state", "booking_code", "booking_caveat", "bio_depth", "phone", "email", "age_text", "in_network", F.size("sections").alias("n_sections"), F.array_join("low_confidence", ",").alias("low_confidence"), F.array_join(F.transform(flagged, lambda f: f.code), ",").alias("page_flags"))
 
 
+_PAGE = """concat('<h1 itemprop="name">', CASE page_id % 3 WHEN 0 THEN 'Professor' WHEN 1 THEN 'Dr' ELSE '' END, ' Pat  ', page_id, '</h1>', CASE WHEN page_id % 5 > 0 THEN concat('<p>GMC number: ', 4000000 + page_id, ' </p>') ELSE '' END, CASE WHEN page_id % 2 = 0 THEN '<iframe src="https://x/booking"></iframe>' ELSE '' END,
+  '<div><h2>About</h2><p>', repeat('Knees. ', page_id % 60), '</p><h2>Treatments and tests offered</h2><ul><li>Scan</li><li>scan</li><li>T', page_id % 4, '</li></ul><h2>Practising since: ', 1940 + page_id % 100, '</h2></div>', CASE WHEN page_id % 4 = 0 THEN concat('<p>Sees patients of ages ', page_id % 9, ' - 90</p>') ELSE '' END,
+  '<a href="tel:0121 496 0', lpad(cast(page_id % 1000 AS string), 3, '0'), '"></a><a href="tel:07700900', lpad(cast(page_id % 1000 AS string), 3, '0'), '"></a><a href="mailto:p', page_id, '@x.example">m</a>', html)"""
+
+
+@query(
+    """WITH p AS (SELECT page_id AS i, lpad((page_id % 1000)::VARCHAR, 3, '0') AS k, CASE page_id % 3 WHEN 0 THEN 'Professor' WHEN 1 THEN 'Dr' END AS title FROM pages)
+SELECT i AS page_id, coalesce(title || ' ', '') || 'Pat ' || i AS name, title, CASE WHEN i % 5 > 0 THEN (4000000 + i)::VARCHAR END AS number, CASE WHEN i % 2 = 0 THEN 'bookable_no_slots' ELSE 'not_bookable' END AS booking_state,
+  CASE WHEN i % 60 = 0 THEN 'missing' WHEN 7 * (i % 60) - 1 <= 100 THEN 'thin' WHEN 7 * (i % 60) - 1 <= 300 THEN 'adequate' ELSE 'substantive' END AS bio_depth, 'Scan|T' || i % 4 AS treatments, CASE WHEN i % 100 BETWEEN 10 AND 90 THEN 1940 + i % 100 END::DOUBLE AS since,
+  CASE WHEN i % 4 = 0 THEN i % 9 END::DOUBLE AS age_least, CASE WHEN i % 4 = 0 THEN 90 END::DOUBLE AS age_most, '01214960' || k AS phone, '07700900' || k AS mobile, 'p' || i || '@x.example' AS email FROM p"""
+)
+def parse_profiles(spark, sf_dir):
+    """Profile pages in front of whole pages; the oracle says what each was made of."""
+    out = html.parse(table(spark, sf_dir, "pages").select("page_id", F.expr(_PAGE).alias("html")))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return out.select("page_id", "name", "title", F.col("registration_number").alias("number"), "booking_state", "bio_depth", F.array_join("treatments", "|").alias("treatments"), F.col("practising_since").cast("double").alias("since"), number("age_least"), number("age_most"), "phone", "mobile", "email")
+
+
+_RIVAL = """concat('<meta name="description" content="Name: Dr P', page_id, ', specialty: Knees, Hip ', page_id % 3, ', subspecialty: Arches; Heels">', CASE page_id % 4 WHEN 0 THEN concat('<div><h4>GMC registration</h4><p>No 00', 70000 + page_id, '</p></div>')
+  WHEN 1 THEN concat('<i data-clipboard-text="0', 80000 + page_id, '"></i>') WHEN 2 THEN concat('<p>GMC no. ', 90000 + page_id, '</p>') ELSE '' END, '<div><h4>Interests</h4><p>Gait ', page_id % 5, '; Feet</p><h4>Hobby</h4><p>x</p></div><a href="tel:0', 1632960000 + page_id, '"></a><a href="mailto:u',
+  page_id, '%40x.example?s=1">m</a>', CASE WHEN page_id % 2 = 0 THEN '<div class="is-fee-assured">y</div>' WHEN page_id % 3 = 0 THEN '<div class="not-fee-assured">n</div>' ELSE '' END, html)"""
+
+
+@query(
+    """SELECT page_id, 'Dr P' || page_id AS name, CASE page_id % 4 WHEN 0 THEN (70000 + page_id)::VARCHAR WHEN 1 THEN (80000 + page_id)::VARCHAR WHEN 2 THEN (90000 + page_id)::VARCHAR END AS number, 'Knees|Hip ' || page_id % 3 AS specialties, 'Arches|Heels' AS subs,
+  'Gait ' || page_id % 5 || '|Feet' AS interests, '0' || (1632960000 + page_id) AS phones, 'u' || page_id || '@x.example' AS emails, CASE WHEN page_id % 2 = 0 THEN true WHEN page_id % 3 = 0 THEN false END AS fee_assured, true AS has_unmapped FROM pages"""
+)
+def parse_rival(spark, sf_dir):
+    """Rival profiles in front of whole pages; the oracle says what each was made of."""
+    out = html.parse_rival(table(spark, sf_dir, "pages").select("page_id", F.expr(_RIVAL).alias("html")))
+    one = lambda c: F.array_join(c, "|")
+    return out.select("page_id", "name", F.col("registration_number").alias("number"), one("specialty_primary").alias("specialties"), one("specialty_sub").alias("subs"), one("clinical_interests").alias("interests"), one("phones").alias("phones"), one("emails").alias("emails"), "fee_assured", F.array_contains("unmapped", "hobby").alias("has_unmapped"))
+
+
 @query("SELECT doc_id, n_chars, CASE WHEN strlen(t) > 0 THEN t END AS label FROM (SELECT doc_id, n_chars, 'Language: ' || lang || chr(10) || chr(10) || 'Source: ' || source AS t FROM documents)")
 def labelled_parts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars", text.labelled_parts(Language=F.col("lang"), Source=F.col("source")).alias("label"))

@@ -17,8 +17,8 @@ BIO_DEPTHS = ["missing", "thin", "adequate", "substantive"]
 BOOKING_STATES = ["not_bookable", "bookable_no_slots", "bookable_with_slots"]
 
 
-def validate(profiles: DataFrame) -> DataFrame:
-    """(run_id, slug, rule): one row for each broken rule of a profile."""
+def validate(profiles: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(run_id, slug, rule): one row for each broken rule of a profile; `keys` may name others in their place."""
     rules = {
         "slug_missing": F.col("slug").isNull() | (F.col("slug") == ""),
         "bio_depth_unknown": ~F.col("bio_depth").isin(BIO_DEPTHS),
@@ -29,7 +29,7 @@ def validate(profiles: DataFrame) -> DataFrame:
         "slots_without_booking": (F.col("booking_state") == "not_bookable") & (F.col("slots_28_days") > 0),
     }
     broken = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-    return profiles.select("run_id", "slug", F.explode(broken).alias("rule"))
+    return profiles.select(*(keys or ["run_id", "slug"]), F.explode(broken).alias("rule"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

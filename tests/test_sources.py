@@ -205,22 +205,23 @@ def test_stream(spark, sf_dir, tmp_path):
     assert windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).count() > 0
 
 
-RIVAL = """<html><head><meta name="Description" content="Name: Dr Wilma Tarn, specialty: Podiatry, Gait (clinical) study, subspecialty: Arches, Heels"><title>Dr Wilma Tarn : Podiatry</title></head><body>
-<div id="ref"><span class="ref" data-clipboard-text="0070315">copy</span></div><a href="https://tarn.example/feet">Launch Website</a><a href="#" data-tel-href="tel:01632960123"></a><a href="tel:01632960456">01632 960 456</a><a href="mailto:desk%40tarn.example">mail</a>
-<div><h4>Biography</h4><p>Looks after feet.</p><h4>Interests</h4><p>Flat arches; Running shoes, orthotics</p><h4>GMC registration</h4><p>Number 0099999</p>
-<h4>Professional bodies</h4><ul><li>Society of Soles</li></ul><h4>Pets</h4><p>Two cats</p></div><div class="hospital-list"><ul><li>North Ward</li><li>South Ward</li><li>North Ward</li></ul></div>
-<img src="https://img.example/w.png" alt="Dr Wilma Tarn"><img src="/b.png" alt="Accredited foot school"><div class="is-fee-assured">Yes</div></body></html>"""
+RIVAL = """<title>Dr Wilma Tarn | clinic pages</title><main><p class="not-fee-assured">no agreed fees</p>
+<section><h3>Practises at</h3><ol><li>South Ward</li><li>North Ward</li><li>South Ward</li></ol></section><section><h3>Favourite walks</h3><p>Coast path</p></section>
+<section><h3>Registration</h3><p>since 1999, no. 0070315</p></section><section><h3>Languages</h3><p>Welsh, Cornish</p></section>
+<table><tr><td>Web</td><td><a href="https://tarn.example/feet">her website</a> <a href="/local">website</a></td></tr><tr><td>Desk</td><td><a data-tel-href="tel:01632 960123">  </a><a href="tel:0163">01632 960 456</a><a href="tel:0163">01632  960 456</a></td></tr></table>
+<footer><img alt="ACCREDITED foot school" src="/b.png"><img alt="Dr Wilma Tarn" src="/w.png"><a href="mailto: desk@tarn.example">write</a></footer></main>
+<section><h3>Biography</h3><p>Looks after feet.</p><p>And gait.</p></section>"""
 OTHER_RIVAL = """<body data-consultant-name="Dr Otto Quill" data-gmc="0000812345"><div class="about-text">He has long looked after ankles.</div></body>"""
 
 
 def test_parse_rival(spark):
     r = html.parse_rival(spark.createDataFrame([("1", RIVAL), ("2", None), ("3", OTHER_RIVAL)], "rival_id string, html string")).orderBy("rival_id").collect()
     a = r[0]
-    assert (a["name"], a.registration_number, a.has_photo, a.about_text, a.fee_assured) == ("Dr Wilma Tarn", "70315", True, "Looks after feet.", True)
-    assert a.specialty_primary == ["Podiatry", "Gait (clinical) study"] and a.specialty_sub == ["Arches", "Heels"]
-    assert a.clinical_interests == ["Flat arches", "Running shoes", "orthotics"] and a.treatments == [] and a.memberships == ["Society of Soles"] and a.hospitals == ["North Ward", "South Ward"]
-    assert (a.phones, a.emails, a.websites, a.badges, a.unmapped) == (["01632960123", "01632 960 456"], ["desk@tarn.example"], ["https://tarn.example/feet"], ["Accredited foot school"], ["pets"])
-    assert a.sections["biography"]["values"] == ["Looks after feet."] and r[1]["name"] is None and r[1].memberships == []
+    assert (a["name"], a.registration_number, a.has_photo, a.about_text, a.fee_assured) == ("Dr Wilma Tarn", "70315", False, "Looks after feet. And gait.", False)
+    assert (a.hospitals, a.languages, a.unmapped, a.badges) == (["South Ward", "North Ward"], ["Welsh", "Cornish"], ["favourite_walks"], ["ACCREDITED foot school"])
+    assert (a.phones, a.emails, a.websites) == (["01632 960123", "01632 960 456"], ["desk@tarn.example"], ["https://tarn.example/feet"])
+    assert a.specialty_primary == a.specialty_sub == a.memberships == a.treatments == a.clinical_interests == []
+    assert a.sections["biography"]["values"] == ["Looks after feet.", "And gait."] and r[1]["name"] is None and r[1].memberships == []
     assert (r[2]["name"], r[2].registration_number, r[2].about_text, r[2].phones) == ("Dr Otto Quill", "812345", "He has long looked after ankles.", [])
 
 

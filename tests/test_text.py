@@ -80,6 +80,18 @@ def test_patterns(spark):
         assert one(spark, text.whole_year(F.lit(line))) == year
 
 
+def test_numbers_side_by_side(spark):
+    """Each line's numbers, told apart by the groups in which they are written."""
+    lines = {
+        "0121 496 0123 07700 900123": ["01214960123", "07700900123"], "01214960123 07700900123": ["01214960123", "07700900123"], "0121 496 0123 12 to 14 Main St": ["01214960123"], "020\u00a07946\u00a00123,07700900123": ["02079460123", "07700900123"],
+        "0300 123 4567 0300 123 4567": ["03001234567"], "0800 123 4567, 0121 49": [], "9 0121 496 012": ["0121496012"], "": [],
+    }
+    for line, found in lines.items():
+        assert one(spark, text.phones(F.lit(line))) == found, line
+    for line, found in {"write to a@b.org.": ["a@b.org"], "a-b@c-d.org, A+1@x.y.z; a-b@c-d.org": ["a-b@c-d.org", "A+1@x.y.z"], "a@b @c.d e@-.": []}.items():
+        assert one(spark, text.emails(F.lit(line))) == found, line
+
+
 def test_facts(spark):
     words = lambda s: text.fact_words(F.lit(s))
     assert one(spark, words("The Knee, and the KNEE-joint surgery!")) == ["knee", "joint", "surgery"]
