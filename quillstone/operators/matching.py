@@ -2,10 +2,15 @@
 
 Three tiers: equal names, then equal first and last word with the shorter name's words in order within the longer, then
 equal first letter and last word at edit distance 1 or 2. In each a candidate must be the only one left. A match uses its candidate
-up, so order counts: home rows go by slug. Every tier implies the same last word and first letter, so blocks of these are independent.
+up, so order counts: home rows go by slug. Every tier implies the same last word and first letter.
 
-Candidates are found between distinct names, by a join on the block and built-in functions. A name that several rivals share never gives a match but stands in the way of others, so it goes
-on as one row; home names that have no single rival among their candidates drop out. Only the order is left to a step over a block's remaining home rows and candidate pairs.
+Candidates are found between distinct names, by keys that two names share only if they may be candidates, so a last name that a hundred thousand rows have is no all-pairs job. Names within two edits share a text that two
+deletions or fewer leave of each: these are the keys, of what stands between the first letter and the last word. Middles too long for that are cut into three parts, of which two edits leave one whole. Names whose words lie
+in order within each other share the words that two deletions or fewer leave. A name that several rivals share never gives a match but stands in the way of others, so it goes on as one row.
+
+The order is settled in rounds, as joins: every home row chooses among the rivals that no earlier row is known to use, every rival is then used by the first row by slug that chose it, and so on until nothing changes. What is
+right for the first k rows stays so, and the next round is right for one more at least; the one state that no round changes is that of going through the rows one by one. Rows
+that wait for each other in a chain take a round each, others settle together.
 """
 
 from __future__ import annotations
@@ -14,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import core_signature, loose_signature, name_key
-from quillstone.operators.grouping import map_groups
+from quillstone.sources.shared import remove, stored, stored_at
+
+#: middles of up to so many characters have keys by deletion, from three fewer on (also) by parts
+LONG = 42
 
 
 def in_order(a: Column, b: Column) -> Column:
@@ -25,44 +33,97 @@ def in_order(a: Column, b: Column) -> Column:
     return (F.size(short) >= 2) & (F.size(long) - F.size(short) <= 2) & (core_signature(a) == core_signature(b)) & (met == F.size(short))
 
 
+def _upto(n: Column) -> Column:
+    """1 to n; nothing for n < 1."""
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def deletions(text: Column) -> Column:
+    """The distinct texts that two deletions or fewer leave of a text."""
+    less = lambda s: F.transform(_upto(F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    one = less(text)
+    return F.array_distinct(F.concat(F.array(text), one, F.flatten(F.transform(one, less))))
+
+
+def word_deletions(words: Column) -> Column:
+    """(left, gone): what up to two deletions leave of an array of words, and how many they were; distinct."""
+    less = lambda w: F.transform(_upto(F.size(w)), lambda i: F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0)))))
+    one, entry = less(words), lambda k: lambda w: F.struct(F.array_join(w, " ").alias("left"), F.lit(k).alias("gone"))
+    return F.array_distinct(F.concat(F.array(entry(0)(words)), F.transform(one, entry(1)), F.transform(F.flatten(F.transform(one, less)), entry(2))))
+
+
+def _parts(middle: Column, probe: bool) -> Column:
+    """Keys of a long middle: its three parts with its length and their number; or, as a probe, every text that may be such a part of a middle within two edits."""
+    def of(n, shifts):
+        cut = lambda k: F.floor(n * k / 3).cast("int")
+        return [F.concat_ws("/", n, F.lit(k), F.substring(middle, cut(k) + 1 + s, cut(k + 1) - cut(k))) for k in range(3) for s in shifts]
+
+    n = F.length(middle)
+    keys = [x for d in range(-2, 3) for x in of(n + d, range(-2, 3))] if probe else of(n, [0])
+    return F.when(n >= LONG - 3, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<string>"))
+
+
+def _keyed(names: DataFrame, name: str, probe: bool) -> DataFrame:
+    """(block, key, gone, name): the keys of distinct names (block, name). gone: for words, how many are left out."""
+    words, key = F.split(name, " "), F.col(name)
+    middle = F.substring(key, F.lit(2), F.length(key) - F.length(F.element_at(words, -1)) - 2)
+    some = F.struct
+    short = F.when(F.length(middle) <= LONG, F.transform(deletions(middle), lambda t: some(F.concat(F.lit("e/"), t).alias("key"), F.lit(0).alias("gone"))))
+    long = F.transform(_parts(middle, probe), lambda t: some(F.concat(F.lit("p/"), t).alias("key"), F.lit(0).alias("gone")))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    order = F.transform(word_deletions(inner), lambda w: some(F.concat(F.lit("w/"), words[0], F.lit("/"), w.left).alias("key"), w.gone.alias("gone")))
+    alone = F.array(some(F.lit("=").alias("key"), F.lit(0).alias("gone")))  # one word: its block is the name
+    keys = F.when(F.size(words) < 2, alone).otherwise(F.concat(F.coalesce(short, F.slice(alone, 1, 0)), long, order))
+    return names.select("block", name, F.explode(keys).alias("k")).select("block", "k.key", "k.gone", name)
+
+
 def candidates(home: DataFrame, rival: DataFrame) -> DataFrame:
     """(block, home_key, rival_key, rival_id, near, distance) between distinct names of (key, block) and (key, block, rival_id): rival_id is null where several share the name."""
     h = home.select("block", F.col("key").alias("home_key")).distinct()
     r = rival.groupBy("block", F.col("key").alias("rival_key")).agg(F.when(F.count(F.lit(1)) == 1, F.min("who")).alias("rival_id"))
+    met = _keyed(h, "home_key", True).alias("h").join(_keyed(r, "rival_key", False).alias("r"), ["block", "key"]).where("h.gone = 0 or r.gone = 0")
+    met = met.select("block", "home_key", "rival_key").distinct()
     two = F.size(F.split("home_key", " ")) >= 2
-    pairs = h.join(r, "block").withColumns({"near": two & ((F.col("home_key") == F.col("rival_key")) | in_order(F.col("home_key"), F.col("rival_key"))), "distance": F.levenshtein("home_key", "rival_key", 2)})
-    return pairs.where((F.col("distance") == 0) | F.col("near") | (two & (F.col("distance") > 0)))
-
-
-def _block(rows: list[tuple]) -> list[tuple]:
-    """rows: (block, side, who, key, rival_key, near, distance), candidate pairs (side 0) before home rows (side 1) in order of slug."""
-    around, used, out = {}, set(), []
-    for _, side, who, key, other, near, distance in rows:
-        if not side:
-            around.setdefault(key, []).append((other, who, near, distance))
-            continue
-        left = [c for c in around.get(key, ()) if c[0] not in used]
-        same, close = [c for c in left if c[3] == 0], [c for c in left if c[2]]
-        far = sorted(c[3] for c in left if c[3] > 0)
-        best = [c for c in left if far and c[3] == far[0]]
-        for found, sure in ((same, "medium"), (close, "low"), (best, "low")):
-            if len(found) == 1 and found[0][1] is not None:
-                used.add(found[0][0])
-                out.append((who, found[0][1], sure))
-                break
-    return out
+    pairs = met.withColumns({"near": two & ((F.col("home_key") == F.col("rival_key")) | in_order(F.col("home_key"), F.col("rival_key"))), "distance": F.levenshtein("home_key", "rival_key", 2)})
+    pairs = pairs.where((F.col("distance") == 0) | F.col("near") | (two & (F.col("distance") > 0)))
+    return pairs.join(r, ["block", "rival_key"])
+
+
+def chosen(options: DataFrame, used: DataFrame | None) -> DataFrame:
+    """(rival_key, slug, rival_id, match_confidence): which row uses each rival name, if rows see as used what earlier rows use in `used`."""
+    if used is not None:
+        options = options.join(used.select("rival_key", F.col("slug").alias("by")), "rival_key", "left").where("by is null or by >= slug")
+    one = F.struct("rival_key", "rival_id")
+    tiers = {"same": F.col("distance") == 0, "close": F.col("near"), "far1": F.col("distance") == 1, "far2": F.col("distance") == 2}
+    counts = options.groupBy("slug").agg(*[F.struct(F.count(F.when(c, 1)).alias("n"), F.min(F.when(c, one)).alias("one")).alias(k) for k, c in tiers.items()])
+    far = F.when(F.col("far1.n") > 0, F.col("far1")).otherwise(F.col("far2"))
+    only = lambda t: (t.n == 1) & t.one.rival_id.isNotNull()
+    pick = F.when(only(F.col("same")), F.struct(F.col("same.one").alias("one"), F.lit("medium").alias("sure")))
+    for t in (F.col("close"), far):
+        pick = pick.when(only(t), F.struct(t.one.alias("one"), F.lit("low").alias("sure")))
+    choices = counts.select("slug", pick.alias("p")).where("p is not null").select("slug", "p.one.rival_key", "p.one.rival_id", F.col("p.sure").alias("match_confidence"))
+    return choices.groupBy("rival_key").agg(F.min_by(F.struct("slug", "rival_id", "match_confidence"), "slug").alias("c")).select("rival_key", "c.*")
 
 
 def match(home: DataFrame, rival: DataFrame) -> DataFrame:
-    """(slug, rival_id, match_confidence) for home (slug, name) and rival (rival_id, name). Nameless rows match nobody. A block is one initial with one last name."""
+    """(slug, rival_id, match_confidence) for home (slug, name) and rival (rival_id, name). Nameless rows match nobody."""
 
     def keyed(df, id_col):
         k = df.select(F.col(id_col).alias("who"), name_key(F.col("name")).alias("key")).where(F.col("key") != "").dropDuplicates(["who"])
         return k.withColumn("block", F.coalesce(loose_signature(F.col("key")), F.col("key")))
 
     mine = keyed(home, "slug")
-    pairs = candidates(mine, keyed(rival, "rival_id"))
-    some = pairs.groupBy("home_key").agg(F.count("rival_id").alias("n")).where("n > 0").select("home_key")
-    edges = pairs.join(some, "home_key", "left_semi").select("block", F.lit(0).alias("side"), F.col("rival_id").alias("who"), F.col("home_key").alias("key"), "rival_key", "near", "distance")
-    rows = mine.join(some, F.col("key") == F.col("home_key"), "left_semi").select("block", F.lit(1).alias("side"), "who", "key", F.lit(None).cast("string").alias("rival_key"), F.lit(None).cast("boolean").alias("near"), F.lit(None).cast("int").alias("distance"))
-    return map_groups(edges.union(rows), ["block"], ["side", "who"], lambda key, group: _block(group), "slug string, rival_id string, match_confidence string")
+    pairs = candidates(mine, keyed(rival, "rival_id")).select(F.col("home_key").alias("key"), F.struct("block", "rival_key").alias("rival_key"), "rival_id", "near", "distance")
+    options = stored(mine.join(pairs, "key").select(F.col("who").alias("slug"), "rival_key", "rival_id", "near", "distance"), "options")
+    # a row without a single rival among its candidates can never match, nor use one up
+    free = options.groupBy("slug").agg(F.count("rival_id").alias("n")).where("n > 0").select("slug")
+    options = stored(options.join(free, "slug", "left_semi"), "open-options")
+    state = used = path = None
+    while True:
+        last, last_path = state, path
+        used, path = stored_at(chosen(options, used), "used")
+        state = tuple(used.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("rival_key", "slug", "match_confidence"))).first())
+        if last_path:
+            remove(used.sparkSession, last_path)
+        if state == last or not state[0]:
+            return used.select("slug", "rival_id", "match_confidence")

@@ -49,6 +49,20 @@ def test_fuzzy_match_decides(spark, sf_dir):
     assert 0 < (got["slug"].str[1:] != got["rival_id"].str[1:]).sum() < len(got)
 
 
+def test_fuzzy_match_of_the_whole_table(spark, sf_dir, monkeypatch):
+    """Every part against every part, by comparing everyone with everyone."""
+    from test_sources import plain_match
+
+    from quillstone.functions.text import name_key
+    from quillstone.operators import matching
+
+    sides, real = [], matching.match
+    monkeypatch.setattr(matching, "match", lambda home, rival: sides.extend([home, rival]) or real(home, rival))
+    got = QUERIES["fuzzy_match"](spark, sf_dir).collect()
+    home, rival = ([tuple(r) for r in df.select(df.columns[0], name_key(df["name"])).collect()] for df in sides)
+    assert {r.slug: (r.rival_id, r.match_confidence) for r in got} == plain_match(home, rival) and len(home) == len(rival)
+
+
 @pytest.mark.parametrize("name", ["text_search", "unlinked_rows", "boilerplate", "broken_words", "registration_codes", "age_limits", "answer_years", "csv_report", "tool_search", "delta_page"])
 def test_oracles_see_both_sides(engine, name):
     """Rows that the pattern takes and, where a column says so, rows that it does not."""
