@@ -38,18 +38,14 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def deletions(text: Column) -> Column:
-    """The distinct texts that two deletions or fewer leave of a text."""
-    less = lambda s: F.transform(_upto(F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    one = less(text)
-    return F.array_distinct(F.concat(F.array(text), one, F.flatten(F.transform(one, less))))
+def _shorter(text: Column) -> Column:
+    """What each single deletion leaves of a text."""
+    return F.transform(_upto(F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
 
 
-def word_deletions(words: Column) -> Column:
-    """(left, gone): what up to two deletions leave of an array of words, and how many they were; distinct."""
-    less = lambda w: F.transform(_upto(F.size(w)), lambda i: F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0)))))
-    one, entry = less(words), lambda k: lambda w: F.struct(F.array_join(w, " ").alias("left"), F.lit(k).alias("gone"))
-    return F.array_distinct(F.concat(F.array(entry(0)(words)), F.transform(one, entry(1)), F.transform(F.flatten(F.transform(one, less)), entry(2))))
+def _fewer(words: Column) -> Column:
+    """What each single deletion leaves of an array."""
+    return F.transform(_upto(F.size(words)), lambda i: F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0)))))
 
 
 def _parts(middle: Column, probe: bool) -> Column:
@@ -64,25 +60,32 @@ def _parts(middle: Column, probe: bool) -> Column:
 
 
 def _keyed(names: DataFrame, name: str, probe: bool) -> DataFrame:
-    """(block, key, gone, name): the keys of distinct names (block, name). gone: for words, how many are left out."""
-    words, key = F.split(name, " "), F.col(name)
-    middle = F.substring(key, F.lit(2), F.length(key) - F.length(F.element_at(words, -1)) - 2)
-    some = F.struct
-    short = F.when(F.length(middle) <= LONG, F.transform(deletions(middle), lambda t: some(F.concat(F.lit("e/"), t).alias("key"), F.lit(0).alias("gone"))))
-    long = F.transform(_parts(middle, probe), lambda t: some(F.concat(F.lit("p/"), t).alias("key"), F.lit(0).alias("gone")))
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    order = F.transform(word_deletions(inner), lambda w: some(F.concat(F.lit("w/"), words[0], F.lit("/"), w.left).alias("key"), w.gone.alias("gone")))
-    alone = F.array(some(F.lit("=").alias("key"), F.lit(0).alias("gone")))  # one word: its block is the name
-    keys = F.when(F.size(words) < 2, alone).otherwise(F.concat(F.coalesce(short, F.slice(alone, 1, 0)), long, order))
-    return names.select("block", name, F.explode(keys).alias("k")).select("block", "k.key", "k.gone", name)
+    """(block, key, gone, name): the keys of distinct names (block, name). gone: how much is left out of a middle or its words. Two names within two edits share a key of which two letters are left out of the longer one, unless that is shorter than two."""
+    words, key, middle, inner = F.col("words"), F.col(name), F.col("middle"), F.col("inner")
+    entry = lambda kind, gone: lambda t: F.struct(F.concat(F.lit(kind), t).alias("key"), F.lit(gone).alias("gone"))
+    none = F.array().cast("array<struct<key:string,gone:int>>")
+    # a step at a time, so that nothing is worked out twice
+    rows = names.select("block", name).withColumn("words", F.split(name, " "))
+    rows = rows.withColumns({"middle": F.substring(key, F.lit(2), F.length(key) - F.length(F.element_at(words, -1)) - 2), "inner": F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))})
+    rows = rows.withColumns({"m1": F.when(F.length(middle) <= LONG, _shorter(middle)), "w1": _fewer(inner)})
+    rows = rows.withColumns({"m2": F.array_distinct(F.flatten(F.transform("m1", _shorter))), "w2": F.array_distinct(F.flatten(F.transform("w1", _fewer)))})
+    short = F.when(F.length(middle) <= LONG, F.concat(F.array(entry("e/", 0)(middle)), F.transform(F.array_distinct("m1"), entry("e/", 1)), F.transform("m2", entry("e/", 2)))).otherwise(none)
+    long = F.transform(_parts(middle, probe), entry("p/", 2))
+    start = F.concat(F.lit("w/"), words[0], F.lit("/"))
+    order = F.concat(*[F.transform(w, lambda x, k=k: F.struct(F.concat(start, F.array_join(x, " ")).alias("key"), F.lit(k).alias("gone"))) for k, w in ((0, F.array(inner)), (1, F.array_distinct("w1")), (2, F.col("w2")))])
+    alone = F.array(F.struct(F.lit("=").alias("key"), F.lit(2).alias("gone")))  # one word: its block is the name
+    keys = F.when(F.size(words) < 2, alone).otherwise(F.concat(short, long, order))
+    return rows.select("block", name, F.length(middle).alias("size"), F.explode(keys).alias("k")).select("block", "k.key", "k.gone", "size", name)
 
 
 def candidates(home: DataFrame, rival: DataFrame) -> DataFrame:
     """(block, home_key, rival_key, rival_id, near, distance) between distinct names of (key, block) and (key, block, rival_id): rival_id is null where several share the name."""
     h = home.select("block", F.col("key").alias("home_key")).distinct()
     r = rival.groupBy("block", F.col("key").alias("rival_key")).agg(F.when(F.count(F.lit(1)) == 1, F.min("who")).alias("rival_id"))
-    met = _keyed(h, "home_key", True).alias("h").join(_keyed(r, "rival_key", False).alias("r"), ["block", "key"]).where("h.gone = 0 or r.gone = 0")
-    met = met.select("block", "home_key", "rival_key").distinct()
+    met = _keyed(h, "home_key", True).alias("h").join(_keyed(r, "rival_key", False).alias("r"), ["block", "key"])
+    most = F.greatest("h.gone", "r.gone")
+    edits = (most == 2) | (most == F.greatest("h.size", "r.size"))  # equal names share many keys, others few
+    met = met.where(F.when(F.col("key").startswith("w/"), F.least("h.gone", "r.gone") == 0).otherwise(edits)).select("block", "home_key", "rival_key").distinct()
     two = F.size(F.split("home_key", " ")) >= 2
     pairs = met.withColumns({"near": two & ((F.col("home_key") == F.col("rival_key")) | in_order(F.col("home_key"), F.col("rival_key"))), "distance": F.levenshtein("home_key", "rival_key", 2)})
     pairs = pairs.where((F.col("distance") == 0) | F.col("near") | (two & (F.col("distance") > 0)))

@@ -587,7 +587,7 @@ def fuzzy_match(spark, sf_dir):
     """All parts as people on both sides: names of one letter more or less, middle names and repeats within shared last names, so that uniqueness, order and consumption decide."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type")
     letters = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
-    last = F.concat(F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")), letters(F.col("p_partkey") % 97))
+    last = F.concat(F.lit("lee"), letters(F.regexp_replace("p_brand", "[^0-9]", "")), letters(F.col("p_partkey") % 11))
     first, middle = F.concat(F.lit("ann"), letters(F.col("p_size") % 7)), F.concat(F.lit("mid"), letters(F.col("p_partkey") % 5))
     whole = F.when(F.col("p_partkey") % 4 == 0, F.concat_ws(" ", first, middle, last)).otherwise(F.concat_ws(" ", first, last))
     home = part.select(F.format_string("h%09d", "p_partkey").alias("slug"), F.concat(F.lit("Dr "), whole).alias("name"))
