@@ -8,17 +8,20 @@ Candidates are found between distinct names, by keys that two names share only i
 deletions or fewer leave of each: these are the keys, of what stands between the first letter and the last word. Middles too long for that are cut into three parts, of which two edits leave one whole. Names whose words lie
 in order within each other share the words that two deletions or fewer leave. A name that several rivals share never gives a match but stands in the way of others, so it goes on as one row.
 
-The order is settled in rounds, as joins: every home row chooses among the rivals that no earlier row is known to use, every rival is then used by the first row by slug that chose it, and so on until nothing changes. What is
+In small blocks (one initial with one last name) the rows are gone through one by one. In larger ones the order is settled in rounds, as joins: every home row chooses among the rivals that no earlier row is known to use, every rival is then used by the first row by slug that chose it, and so on until nothing changes. What is
 right for the first k rows stays so, and the next round is right for one more at least; the one state that no round changes is that of going through the rows one by one. Rows
 that wait for each other in a chain take a round each, others settle together.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import core_signature, loose_signature, name_key
+from quillstone.operators.grouping import map_groups
 from quillstone.sources.shared import remove, stored, stored_at
 
 #: middles of up to so many characters have keys by deletion, from three fewer on (also) by parts
@@ -108,19 +111,8 @@ def chosen(options: DataFrame, used: DataFrame | None) -> DataFrame:
     return choices.groupBy("rival_key").agg(F.min_by(F.struct("slug", "rival_id", "match_confidence"), "slug").alias("c")).select("rival_key", "c.*")
 
 
-def match(home: DataFrame, rival: DataFrame) -> DataFrame:
-    """(slug, rival_id, match_confidence) for home (slug, name) and rival (rival_id, name). Nameless rows match nobody."""
-
-    def keyed(df, id_col):
-        k = df.select(F.col(id_col).alias("who"), name_key(F.col("name")).alias("key")).where(F.col("key") != "").dropDuplicates(["who"])
-        return k.withColumn("block", F.coalesce(loose_signature(F.col("key")), F.col("key")))
-
-    mine = keyed(home, "slug")
-    pairs = candidates(mine, keyed(rival, "rival_id")).select(F.col("home_key").alias("key"), F.struct("block", "rival_key").alias("rival_key"), "rival_id", "near", "distance")
-    options = stored(mine.join(pairs, "key").select(F.col("who").alias("slug"), "rival_key", "rival_id", "near", "distance"), "options")
-    # a row without a single rival among its candidates can never match, nor use one up
-    free = options.groupBy("slug").agg(F.count("rival_id").alias("n")).where("n > 0").select("slug")
-    options = stored(options.join(free, "slug", "left_semi"), "open-options")
+def by_rounds(options: DataFrame) -> DataFrame:
+    """(slug, rival_id, match_confidence) from (slug, rival_key, rival_id, near, distance)."""
     state = used = path = None
     while True:
         last, last_path = state, path
@@ -130,3 +122,39 @@ def match(home: DataFrame, rival: DataFrame) -> DataFrame:
             remove(used.sparkSession, last_path)
         if state == last or not state[0]:
             return used.select("slug", "rival_id", "match_confidence")
+
+
+def _one_by_one(rows: list[tuple]) -> list[tuple]:
+    """by_rounds for a block's rows (block, slug, rival_key, rival_id, near, distance), sorted by slug."""
+    used, out = set(), []
+    for slug, some in groupby(rows, key=lambda r: r[1]):
+        left = [r for r in some if r[2] not in used]
+        nearest = min((r[5] for r in left if r[5] > 0), default=None)
+        tiers = ([r for r in left if r[5] == 0], "medium"), ([r for r in left if r[4]], "low"), ([r for r in left if r[5] == nearest], "low")
+        for found, sure in tiers:
+            if len(found) == 1 and found[0][3] is not None:
+                used.add(found[0][2])
+                out.append((slug, found[0][3], sure))
+                break
+    return out
+
+
+def match(home: DataFrame, rival: DataFrame, most: int = 20_000) -> DataFrame:
+    """(slug, rival_id, match_confidence) for home (slug, name) and rival (rival_id, name). Nameless rows match nobody. Blocks of up to `most` candidate pairs are gone through row by row, many to a task, larger ones in rounds."""
+
+    def keyed(df, id_col):
+        k = df.select(F.col(id_col).alias("who"), name_key(F.col("name")).alias("key")).where(F.col("key") != "").dropDuplicates(["who"])
+        return k.withColumn("block", F.coalesce(loose_signature(F.col("key")), F.col("key")))
+
+    mine = keyed(home, "slug")
+    pairs = candidates(mine, keyed(rival, "rival_id")).drop("block").withColumnRenamed("home_key", "key")
+    # a name without a single rival among its candidates can never match, nor use one up
+    free = pairs.groupBy("key").agg(F.count("rival_id").alias("n")).where("n > 0").select("key")
+    options = stored(mine.join(pairs.join(free, "key", "left_semi"), "key").select("block", F.col("who").alias("slug"), "rival_key", "rival_id", "near", "distance"), "options")
+    large = stored(options.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("block"), "large-blocks")
+    names, schema = ["slug", "rival_key", "rival_id", "near", "distance"], "slug string, rival_id string, match_confidence string"
+    if large.isEmpty():
+        return map_groups(options, ["block"], ["slug"], lambda key, rows: _one_by_one(rows), schema)
+    small = map_groups(options.join(large, "block", "left_anti"), ["block"], ["slug"], lambda key, rows: _one_by_one(rows), schema)
+    # rival names are told apart by their text: a block is in it
+    return small.union(by_rounds(stored(options.join(large, "block", "left_semi").select(*names), "large-options")))
