@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import re
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
+from quillstone.sources.shared import file_system
+
 # Default points of each dimension, in order.
 WEIGHTS = {"has_photo": 10.0, "bio_depth": 15.0, "treatments": 10.0, "qualifications": 10.0, "specialty": 10.0, "insurers": 8.0, "consultation_times": 7.0, "plain_english": 10.0, "booking": 10.0, "practising_since": 5.0, "memberships": 5.0}
 THRESHOLDS = {"Gold": 80.0, "Silver": 60.0, "Bronze": 40.0}
@@ -104,3 +109,83 @@ def save_config(path: str, raw: dict, by: str) -> ScoringConfig:
 
 def reset_config(path: str, by: str) -> ScoringConfig:
     return save_config(path, {}, by)
+
+
+class SharedConfig:
+    """The configuration of a cluster, as files v-<n>.json in a folder that all of it shares, on any file system of Hadoop's.
+
+    A version is written whole under another name and then put in place only if there is none of its number, so of two writers of version n + 1 one becomes n + 2 and no change is lost; a reader never sees half a
+    file. On HDFS a rename without overwriting does that, on a mounted folder a hard link; an object store without an atomic rename does not qualify. Old versions stay, as a history.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _at(self, name: str = ""):
+        return file_system(self.spark, f"{self.folder}/{name}" if name else self.folder)
+
+    def versions(self) -> list[int]:
+        fs, where = self._at()
+        if not fs.exists(where):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        return sorted(int(n[2:-5]) for n in names if re.fullmatch(r"v-\d+\.json", n))
+
+    def read(self, version: int | None = None) -> ScoringConfig:
+        """The newest version, or a given one; the default if there is none or it can't be read."""
+        known = self.versions()
+        version = version or (known[-1] if known else 0)
+        if version not in known:
+            return ScoringConfig()
+        fs, where = self._at(f"v-{version}.json")
+        stream = fs.open(where)
+        try:
+            raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return ScoringConfig.coerce(json.loads(raw))
+        except ValueError:
+            return ScoringConfig()
+
+    def save(self, raw: dict, by: str) -> ScoringConfig:
+        """Coerce, check the order of thresholds, write with the next free version."""
+        new = ScoringConfig.coerce(raw)
+        if not new.ordered():
+            raise ValueError("thresholds must fall from Gold to Bronze")
+        while True:
+            known = self.versions()
+            new = replace(new, version=(known[-1] if known else 1) + 1, updated_by=by)
+            if self._put(new.version, json.dumps(asdict(new), indent=1)):
+                return new
+
+    def change(self, edit, by: str) -> ScoringConfig:
+        """Save what `edit` makes of the newest version's values, a dict; again with what is newest then, if another writer was first: two changes of different values both stay."""
+        while True:
+            old = self.read()
+            known = self.versions()
+            new = replace(ScoringConfig.coerce(edit(asdict(old))), version=max([1, *known]) + 1, updated_by=by)
+            if not new.ordered():
+                raise ValueError("thresholds must fall from Gold to Bronze")
+            if known[-1:] in ([], [old.version]) and self._put(new.version, json.dumps(asdict(new), indent=1)):
+                return new
+
+    def reset(self, by: str) -> ScoringConfig:
+        return self.save({}, by)
+
+    def _put(self, version: int, content: str) -> bool:
+        """Whether the file is ours now: False if there was one of the version."""
+        fs, aside = self._at(f".{uuid.uuid4().hex}")
+        _, final = self._at(f"v-{version}.json")
+        out = fs.create(aside, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        try:
+            if fs.getScheme() != "file":
+                return bool(fs.rename(aside, final))  # false where the name is taken
+            os.link(aside.toUri().getPath(), final.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(aside, False)

@@ -5,6 +5,7 @@ Profile queries read the profiles view (schema.py), others the tables as they ar
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import arrays, text
 from quillstone.functions.numbers import half_up
-from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, ranks, scoring
+from quillstone.operators import compare, corroboration, desk, filters, matching, metrics, ranks, scoring, search
 from quillstone.operators.filters import ProfileFilter
 from quillstone.plans import tools
 from quillstone.schema import PROFILES_SQL, profiles, validate
-from quillstone.sources import html, sinks, sitemaps, snapshots
+from quillstone.sources import buckets, html, sinks, sitemaps, snapshots
+from quillstone.sources.shared import shared_folder
 from quillstone.streaming.ingest import windowed_counts
 
 QUERIES, SQL = {}, {}
@@ -414,6 +416,16 @@ def explorer_page(spark, sf_dir):
     return filters.page(some, filters.sort_order("score", True), 2, 20).select("slug", "score", F.col("rank").cast("int").alias("place"))
 
 
+@query(_ALL + "SELECT 'he_e%an' AS term, slug, name FROM p WHERE run_id = 'run-1' AND (name ILIKE '%he_e%an%' OR slug ILIKE '%he_e%an%' OR site ILIKE '%he_e%an%') UNION ALL SELECT 'SRC12', slug, name FROM p WHERE run_id = 'run-1' AND (name ILIKE '%src12%' OR slug ILIKE '%src12%' OR site ILIKE '%src12%')")
+def indexed_search(spark, sf_dir):
+    """Two terms through an index of three-letter parts over a bucketed table of both runs."""
+    folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    buckets.write(profiles(spark, sf_dir).select("run_id", "slug", "name", "site"), f"{folder}/table")
+    search.build(buckets.read(spark, f"{folder}/table"), f"{folder}/index")
+    found = [search.search(spark, f"{folder}/table", f"{folder}/index", "run-1", term).select(F.lit(term).alias("term"), "slug", "name") for term in ("he_e%an", "SRC12")]
+    return found[0].union(found[1])
+
+
 @query(_ALL + "SELECT slug, score, row_number() OVER (ORDER BY score DESC, slug) AS place FROM t QUALIFY place BETWEEN 61 AND 80")
 def deep_page(spark, sf_dir):
     """A page as deep ones are read: places come from ranges of the order and their counts, whatever the depth."""
