@@ -26,11 +26,11 @@ from quillstone.llm.common import stored, table, texts
 from quillstone.llm.tokens import default_vocabulary, encoder
 
 
-def pieces(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 2, memo: int = 600_000) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 2, memo_bytes: int = 192 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), without the ids."""
 
     def run(batches):
-        enc = encoder(vocabulary, memo)
+        enc = encoder(vocabulary, memo_bytes)
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, piece, start, size, crc = [], [], [], [], []
@@ -78,10 +78,10 @@ def vector_best_fit(lengths: np.ndarray, length: int, most_docs: int, most_cost:
     return bins, offsets
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end_id: int = 2, most_docs: int | None = None, most_cost: float | None = None, rule: str = "norm", weights=(1.0, 0.25, 0.25), block_rows: int = 8192, memo: int = 600_000) -> DataFrame:
-    """pieces() with sequence_id and offset. `memo`: parts of texts whose ids a worker keeps. most_docs and most_cost default to what `length` tokens can never exceed."""
+def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end_id: int = 2, most_docs: int | None = None, most_cost: float | None = None, rule: str = "norm", weights=(1.0, 0.25, 0.25), block_rows: int = 8192, memo_bytes: int = 192 << 20) -> DataFrame:
+    """pieces() with sequence_id and offset. `memo_bytes`: what a worker keeps of parts' ids. most_docs and most_cost default to what `length` tokens can never exceed."""
     vocabulary = vocabulary or default_vocabulary()
-    cut = stored(pieces(docs, vocabulary, length, end_id, memo).withColumn("read", F.monotonically_increasing_id()), "pieces")
+    cut = stored(pieces(docs, vocabulary, length, end_id, memo_bytes).withColumn("read", F.monotonically_increasing_id()), "pieces")
     blocks = max(1, round(cut.count() / block_rows))
     docs_cap, cost_cap = most_docs or length, most_cost or float(length) ** 2
 
@@ -97,4 +97,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, end
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), memo=900_000)
+    return pack(table(spark, sf_dir, "documents"))

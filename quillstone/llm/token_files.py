@@ -78,13 +78,13 @@ def _write_part(part: int, docs: list, ids: list[np.ndarray], block_ids: int):
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_bytes: int = 6 << 20, block_ids: int = 1 << 18, part_ids: int = 1 << 22, memo: int = 900_000) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_bytes: int = 6 << 20, block_ids: int = 1 << 18, part_ids: int = 1 << 22, memo_bytes: int = 192 << 20) -> None:
     rows = texts(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(1, math.ceil(total / part_bytes))
 
     def run(batches):
-        enc, first, parts, names, ids, held = encoder(vocabulary, memo), TaskContext.get().partitionId() << 32, 0, [], [], 0
+        enc, first, parts, names, ids, held = encoder(vocabulary, memo_bytes), TaskContext.get().partitionId() << 32, 0, [], [], 0
         last = np.array([end_id], enc.dtype if end_id <= np.iinfo(enc.dtype).max else "<u4")
         for batch in batches:
             for name, raw in zip(batch.column("doc_id").to_pylist(), enc.raws(batch.column("text").to_pylist())):

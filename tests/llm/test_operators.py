@@ -104,7 +104,7 @@ def test_fingerprints_compose(a, b, size):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=" \n\t\r\x1c\xa0abZé1'.,s!漢🙂<|>endoftx", max_size=60))
 def test_tokens_equal_the_library(text):
-    enc = test_tokens_equal_the_library.__dict__.setdefault("enc", Encoder(default_vocabulary(), most=300))
+    enc = test_tokens_equal_the_library.__dict__.setdefault("enc", Encoder(default_vocabulary(), memo_bytes=60_000))
     assert np.frombuffer(enc.raws([text, text])[1], enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
