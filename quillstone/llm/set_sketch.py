@@ -8,7 +8,7 @@ Each band of `rows` registers is a key. With 40 bands of 4, a pair of similarity
 Keys are counted first, so those of one set go no further. In shards of up to `most` sets a 64-bit word of the registers' lowest bits sorts out pairs that differ in more than `bits` of them
 (by chance 1e-8 at similarity 0.8; unrelated sets differ in 32). The others' whole sketches meet once a pair: the likelihood of the similarity, given both sets' sizes and how many registers of one are greater, equal and
 less, must allow `least`: at most `slack` below its maximum, which by chance is more once in 10**9. Every pair left is compared exactly on full sets. Larger shards are families, the sets that share their shard's first
-member; near_copies.family_links compares them exactly in tiles, so that only edges which span a family's links leave a task. Nothing is capped.
+member; shingles.family_links compares them exactly in tiles, so that only edges which span a family's links leave a task. Nothing is capped.
 
 Nulls count as empty. A text without words has an empty set and links with nothing. A null doc_id never names a class that has another, and a class of null ids alone has a null name. Rows that repeat get equal rows in `groups`, and `deduplicate`
 keeps one; texts that share a doc_id are told apart. Very long texts are held one at a time, and each contributes one sketch. An empty table gives an empty result. Extra
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import near_copies, simhash
+from quillstone.llm import simhash
 from quillstone.llm.common import keyed_texts, stored, table, without
+from quillstone.llm.shingles import confirmed, family_links, heads, looked_up, mix, named, sets_of
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 _STEP, _M = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -81,62 +82,74 @@ def plausible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, least:
 
 
 def sketches(docs: DataFrame, width: int, count: int) -> DataFrame:
-    """(doc_id, raw, id, n, sketch): the name and size of each text's set; the sketch where this task had not met the set lately."""
+    """(doc_id, raw, id, n, fp, sketch): the name, size and SimHash fingerprint of each text's set; the sketch where this task had not met the set lately."""
 
     def run(batches):
         seen: set[int] = set()
-        for batch, sets in near_copies._sets(batches, width):
-            names, sizes, _ = near_copies.named(sets)
+        for batch, sets in sets_of(batches, width):
+            names, sizes, fps = named(sets)
             new = [i for i, (name, n) in enumerate(zip(names.tolist(), sizes.tolist())) if n and name not in seen and not seen.add(name)]
             if len(seen) > 1 << 17:
                 seen.clear()
             out = [None] * len(sets)
             for i, row in zip(new, registers([sets[i] for i in new], count)):
                 out[i] = row.astype("<u2").tobytes()
-            columns = [batch.column("doc_id"), batch.column("raw"), pa.array(names.view(np.int64)), pa.array(sizes), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "raw", "id", "n", "sketch"])
+            columns = [batch.column("doc_id"), batch.column("raw"), pa.array(names.view(np.int64)), pa.array(sizes), pa.array(fps.view(np.int64)), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "raw", "id", "n", "fp", "sketch"])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, raw long, id long, n long, sketch binary")
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, raw long, id long, n long, fp long, sketch binary")
 
 
-def banded(known: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, id, n, low): a row for each band of (id, n, sketch); low: the first 64 registers' lowest bits."""
+def banded(known: DataFrame, bands: int, rows: int, mark: str = "low") -> DataFrame:
+    """(key, id, n, mark): a row for each band of (id, n, fp, sketch); mark: the fingerprint ("fp") or the first 64 registers' lowest bits ("low")."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            all_registers = np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("sketch")]).astype(np.uint64)
-            low = np.zeros(len(all_registers), np.uint64)
-            for i in range(min(64, bands * rows)):
-                low |= (all_registers[:, i] & np.uint64(1)) << np.uint64(i)
+            found = np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("sketch")]).astype(np.uint64)
+            low = batch.column("fp").to_numpy()
+            if mark == "low":
+                low = np.zeros(len(found), np.uint64)
+                for i in range(min(64, bands * rows)):
+                    low |= (found[:, i] & np.uint64(1)) << np.uint64(i)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(low), bands)).copy()
             for k in range(rows):
-                key = near_copies._mix(key, all_registers[:, k :: rows][:, :bands])
+                key = mix(key, found[:, k::rows][:, :bands])
             each = lambda c: np.repeat(c, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.ravel().view(np.int64), each(batch.column("id").to_numpy()), each(batch.column("n").to_numpy()), each(low.view(np.int64)))], ["key", "id", "n", "low"])
+            columns = key.ravel().view(np.int64), each(batch.column("id").to_numpy()), each(batch.column("n").to_numpy()), each(low.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "mark"])
 
-    return known.select("id", "n", "sketch").mapInArrow(run, "key long, id long, n long, low long")
+    return known.select("id", "n", "fp", "sketch").mapInArrow(run, "key long, id long, n long, mark long")
 
 
-def candidates(shards: DataFrame, least: float, bits: int) -> DataFrame:
-    """(a, b), a < b: pairs of one shard (key, id, n, low) whose sizes allow the similarity and whose lowest bits differ in `bits` at most."""
+def by_bits(bits: int):
+    """Finds the pairs of whole shards whose marks differ in `bits` at most."""
+
+    def near(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        left, right, lag = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+        while lag < len(t["id"]):
+            a = np.flatnonzero(t["shard"][lag:] == t["shard"][:-lag])
+            if not len(a):
+                break
+            # of signed numbers the bits of the absolute value would be counted
+            a = a[np.bitwise_count((t["mark"][a] ^ t["mark"][a + lag]).view(np.uint64)) <= bits]
+            left.append(a), right.append(a + lag)
+            lag += 1
+        return np.concatenate(left), np.concatenate(right)
+
+    return near
+
+
+def candidates(shards: DataFrame, least: float, near) -> DataFrame:
+    """(a, b), a < b: pairs of one shard (key, id, n, mark) that `near` finds and whose sizes allow the similarity."""
 
     def run(batches):
-        for t in simhash.whole_shards(batches, ["key"], ["id", "n", "low"], 500_000):
-            pairs, lag = [np.zeros((0, 2), np.int64)], 1
-            while lag < len(t["id"]):
-                a = np.flatnonzero(t["shard"][lag:] == t["shard"][:-lag])
-                if not len(a):
-                    break
-                b = a + lag
-                n, m = t["n"][a], t["n"][b]
-                near = np.bitwise_count((t["low"][a] ^ t["low"][b]).view(np.uint64)) <= bits  # of signed numbers it would count those of the absolute value
-                near &= np.minimum(n, m) + 1e-9 >= least * np.maximum(n, m)
-                both = np.stack([t["id"][a][near], t["id"][b][near]], 1)
-                pairs.append(np.sort(both, axis=1))
-                lag += 1
-            both = np.unique(np.concatenate(pairs), axis=0)
+        for t in simhash.whole_shards(batches, ["key"], ["id", "n", "mark"], 500_000):
+            a, b = near(t)
+            n, m = t["n"][a], t["n"][b]
+            keep = np.minimum(n, m) + 1e-9 >= least * np.maximum(n, m)
+            both = np.unique(np.sort(np.stack([t["id"][a][keep], t["id"][b][keep]], 1), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
     return shards.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
@@ -156,32 +169,32 @@ def likely(pairs: DataFrame, known: DataFrame, least: float, slack: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, width: int, least: float, bands: int, rows: int, bits: int, slack: float, most: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The texts' sets (doc_id, raw, id, n), and edges (a, b) between ids whose components are those of all links."""
+def links(docs: DataFrame, width: int, least: float, bands: int, rows: int, near, mark: str, slack: float, most: int, block: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The texts' sets (doc_id, raw, id, n), and edges (a, b) between ids whose components are those of all links. `near` finds candidates in a shard by `mark`; `radius`: that of the trees of a family's tile, 64 for every pair."""
     both = stored(sketches(docs, width, bands * rows), "sketches")
-    prints = both.drop("sketch")
-    known = stored(both.where("sketch is not null").select("id", "n", "sketch").dropDuplicates(["id"]), "distinct-sketches")
-    keys = banded(known, bands, rows)
+    prints = both.drop("fp", "sketch")
+    known = stored(both.where("sketch is not null").select("id", "n", "fp", "sketch").dropDuplicates(["id"]), "distinct-sketches")
+    keys = banded(known, bands, rows, mark)
     held = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("family")).where("k > 1"), "keys")
     # a table of its own: a hot key's rows are cut by Spark in this join and go on as rows of a family
     shared = stored(keys.join(held, "key"), "shards")
     families = stored(shared.where(F.col("k") > most).select("family", "id").distinct(), "family-members")
-    found = candidates(shared.where(F.col("k") <= most).select("key", "id", "n", "low"), least, bits)
+    found = candidates(shared.where(F.col("k") <= most).select("key", "id", "n", "mark"), least, near)
     pairs = stored(likely(stored(found, "candidates"), known, least, slack), "likely")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(families.select("id")).distinct(), "named")
-    sets = stored(near_copies.looked_up(docs, ids, prints, width), "sets")
-    edges = near_copies.confirmed(pairs, sets, least)
+    sets = stored(looked_up(docs, ids, prints, width), "sets")
+    edges = confirmed(pairs, sets, least)
     if not families.isEmpty():
-        edges = edges.union(near_copies.family_links(families, sets, 64, least, block))
+        edges = edges.union(family_links(families, sets, radius, least, block))
     return prints, edges
 
 
 def classes(docs: DataFrame, width: int = 4, least: float = 0.8, bands: int = 40, rows: int = 4, bits: int = 24, slack: float = 18.0, most: int = 64, block: int = 512) -> DataFrame:
     """(doc_id, raw, n, keep_id, keep_raw): of each text, told apart by doc_id and its hash, the first text of its class."""
-    prints, edges = links(docs, width, least, bands, rows, bits, slack, most, block)
+    prints, edges = links(docs, width, least, bands, rows, by_bits(bits), "low", slack, most, block, 64)
     alone = prints.where("n = 0").select("doc_id", "raw", "n", F.col("doc_id").alias("keep_id"), F.col("raw").alias("keep_raw"))
     some = prints.where("n > 0")
-    return some.join(near_copies.heads(some, edges), "id").select("doc_id", "raw", "n", F.col("k.doc_id").alias("keep_id"), F.col("k.raw").alias("keep_raw")).union(alone)
+    return some.join(heads(some, edges), "id").select("doc_id", "raw", "n", F.col("k.doc_id").alias("keep_id"), F.col("k.raw").alias("keep_raw")).union(alone)
 
 
 def groups(docs: DataFrame, **how) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, language_id, lm_scoring, mixing, near_copies, packing, quality, sharding, simhash, token_files, vector_search
+from quillstone.llm import exact_dedup, language_id, lm_scoring, mixing, near_copies, packing, quality, sharding, shingles, simhash, token_files, vector_search
 from quillstone.llm.common import keyed_texts, running, shared_dir, sums_before
 from quillstone.llm.tokens import Encoder, default_vocabulary
 
@@ -673,7 +673,7 @@ def test_bits_are_counted_right():
     sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(40)]
     a, b = np.triu_indices(40, 1)
     want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
-    assert near_copies.common_members(sets, a, b, columns=64, step=100).tolist() == want
+    assert shingles.common_members(sets, a, b, columns=64, step=100).tolist() == want
 
 
 def test_the_radius_loses_no_similar_pair():

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_operators import documents, empty, low, odd  # noqa: F401
 
-from quillstone.llm import near_copies, periodic_runs, set_sketch, source_divergence
+from quillstone.llm import periodic_runs, set_sketch, source_divergence
 from quillstone.llm.common import stored
 
 
@@ -132,7 +132,7 @@ def test_hot_keys_leave_as_families_and_pairs_stay_few(spark):
     both = stored(set_sketch.sketches(docs, 4, 160), "t")
     keys = set_sketch.banded(both.where("sketch is not null"), 40, 4)
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1 and k <= 64").select("key")
-    assert set_sketch.candidates(keys.join(held, "key"), 0.8, 24).count() < 15_000
+    assert set_sketch.candidates(keys.join(held, "key"), 0.8, set_sketch.by_bits(24)).count() < 15_000
     assert set_sketch.groups(docs).where("component_id <> 0").count() == 0
 
 
