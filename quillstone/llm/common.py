@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_dir: str | None = None
 _scratch: list[str] = []
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +42,19 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """stored() with the table's path, for discard()."""
     spark = df.sparkSession
     path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete every table that this session's operators have left in the shared folder, and say how many: once no result of theirs is read any more."""
+    n = len(_made)
+    while _made:
+        discard(spark, _made.pop())
+    return n
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of ours that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -119,7 +119,8 @@ def train(docs: DataFrame, mod: int = 4, held_out: int = 2, per_lang: int = 3000
     place = {s: i for i, s in enumerate(langs)}
     # the languages, no more than the model has rows
     rates = docs.sparkSession.createDataFrame([(s, i, min(1.0, per_lang / sizes[s])) for s, i in place.items()], "lang string, place int, rate double")
-    spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.col("text")), 33) / F.lit(float(1 << 31))
+    # with the place of reading, rows that repeat are drawn one by one: many of them are neither all taken nor all left
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), 33) / F.lit(float(1 << 31))
     some = usable.join(F.broadcast(rates), "lang").where("text is not null").where(spread < F.col("rate")).select("place", "text")
     some = stored(some.repartition(max(8, min(200, sum(min(per_lang, n) for n in sizes.values()) // 2000))), "language-sample")
 

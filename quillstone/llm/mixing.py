@@ -83,8 +83,8 @@ def units(rows: DataFrame, weights: dict[str, float] | None, temperature: float,
         sizes = sizes.join(F.broadcast(given), F.col("source") == F.col("name"), "left").drop("name").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     sizes = stored(sizes, "source-sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    if block_bytes is None:
-        block_bytes = max(1 << 14, total // most_blocks)
+    # blocks are never more than most_blocks, so a smaller block that is asked for is raised: the schedule is made at the driver and broadcast
+    block_bytes = max(1 << 14 if block_bytes is None else block_bytes, -(-total // most_blocks))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("size") / F.lit(float(block_bytes)), F.lit(temperature)))
     large = sizes.where(F.col("size") >= block_bytes).orderBy("source").collect()  # at most total / block_bytes

@@ -11,7 +11,7 @@ Where data have no clusters, a fixed share of all vectors is visited by every qu
 input. A group's queries stream past its vectors, at most `part_queries` in one task.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor those not of the commonest length (of equally common ones the shortest), as no inner product
-joins different lengths; a null vec_id neither. Ties go to the smaller vec_id. Rows that repeat a vec_id are one candidate each and ask one query together, with the least of their vectors. An empty table
+joins different lengths; a null vec_id neither. A vector is held whole, however long, some thousand to a task. Ties go to the smaller vec_id. Rows that repeat a vec_id are one candidate each and ask one query together, with the least of their vectors. An empty table
 gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
@@ -127,7 +127,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None =
                 cell, codes = index.encode(np.stack(pdf["v"].to_numpy()))
                 yield pdf.assign(cell=cell, codes=[c.tobytes() for c in codes])
 
-    placed = stored(good.mapInPandas(place, "vec_id long, v array<double>, cell int, codes binary"), "index")
+    # the place of reading tells rows that repeat a vec_id apart, so many of them are cut like others
+    placed = stored(good.mapInPandas(place, "vec_id long, v array<double>, cell int, codes binary").withColumn("read", F.monotonically_increasing_id()), "index")
     counts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell: 4096 at most
     size = np.array([counts.get(c, 0) for c in range(len(index.coarse))])
     first, pieces = layout(size, group_rows)
@@ -151,7 +152,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, cells: int | None =
     queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.mapInPandas(ask, "query_id long, q array<double>, grp int, cells array<int>")
     places = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, pieces))], "cell int, first int, pieces int")  # a row a cell
-    held = placed.join(F.broadcast(places), "cell").withColumn("grp", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int"))
+    held = placed.join(F.broadcast(places), "cell").withColumn("grp", (F.col("first") + F.pmod(F.xxhash64("vec_id", "read"), F.col("pieces"))).cast("int"))
     # a group's queries stream past its vectors; many are cut into parts, each of which meets the vectors in a task of its own
     cuts = max(1, math.ceil(queries.count() / part_queries))
     vectors_ = held.select("grp", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("part"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "v", "cell", "codes", F.lit(None).cast("array<int>").alias("cells"))

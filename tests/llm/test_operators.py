@@ -54,6 +54,26 @@ def test_empty_tables(spark, empty):
     assert vector_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_sweep_deletes_what_queries_left(spark, odd):
+    from pathlib import Path
+
+    from quillstone.llm import common
+
+    kept = simhash.groups(odd)
+    path = Path(common._made[-1].removeprefix("file://"))
+    assert path.exists() and kept.count() and common.sweep(spark) > 0
+    assert not path.exists() and common.sweep(spark) == 0
+
+
+def test_bounds_hold_for_repeated_rows_and_small_blocks(spark):
+    """A language of one text in many rows is learned from one row; blocks that are asked for too small are raised."""
+    docs = documents(spark, [(1, "uno dos tres cuatro", "es", "a")] * 400 + [(i, f"one two three {i}", "en", "b") for i in range(2, 60)])
+    codes = language_id.train(docs, per_lang=5)
+    assert set(codes.langs) == {"es", "en"}
+    blocks = mixing.schedule(docs, block_bytes=1, most_blocks=10).select("source", "block").distinct().count()
+    assert blocks <= 3 * 10
+
+
 def test_empty_token_files(spark, empty, tmp_path):
     path = str(tmp_path / "t")
     token_files.write(empty, path, default_vocabulary())
