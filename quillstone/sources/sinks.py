@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions.text import csv_field
+from quillstone.operators.filters import ProfileFilter, page, sort_order
 from quillstone.operators.metrics import listed
 
 CONTACTS = ["phone", "mobile", "email", "website"]
@@ -30,6 +31,27 @@ def csv_header(df: DataFrame, columns: dict[str, str] | None = None, contacts: b
     return ",".join(quote(h) for c, h in headers.items() if contacts or c not in CONTACTS)
 
 
+AUDIT = "at timestamp, action string, run_id string, by string"
+
+
+def export_profiles(scored: DataFrame, path: str, wanted: ProfileFilter | None = None, sort_by: str | None = None, descending: bool = False, contacts: bool = False, audit: str | None = None, by: str = "unknown", most: int = 100_000) -> str:
+    """Write a run's profiles that meet a filter as lines of CSV, in order, the first `most` of them, and return their header. Contact columns go along only if asked for, and then a row of the table `audit` says when, of which run and for whom.
+
+    Places come from ranges of the order, so the cut is no task's work. Nothing to export is an error, and leaves no audit row.
+    """
+    rows = (wanted or ProfileFilter()).apply(scored)
+    rows = page(rows, sort_order(sort_by, descending), 1, most)
+    first = rows.select("run_id").first()
+    if first is None:
+        raise ValueError("no data to export")
+    columns = {c: c for c in scored.columns}
+    if contacts and audit:
+        spark = scored.sparkSession
+        spark.range(1).select(F.current_timestamp().alias("at"), F.lit("export_with_contact_data").alias("action"), F.lit(first.run_id).alias("run_id"), F.lit(by).alias("by")).write.mode("append").json(audit)
+    csv_lines(rows.orderBy("rank"), columns, contacts).write.text(path)
+    return csv_header(scored, columns, contacts)
+
+
 # The columns that a report may have, with their headers.
 REPORT_COLUMNS = {
     "name": "Name", "title": "Title Prefix", "slug": "Slug", "url": "Profile URL", "registration_number": "Registration Number", "site": "Hospital", "score": "Completeness Score", "tier": "Quality Tier", "plain_english_score": "Plain English Score",

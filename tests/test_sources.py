@@ -274,6 +274,23 @@ def test_reports_in_csv(spark):
             pass
 
 
+def test_exports_are_cut_and_audited(spark, tmp_path):
+    rows = [(f"s{i}", f"N {i % 7}", "Gold", float(i), None) for i in range(40)]
+    scored = profiles_of(spark, rows).withColumns({"run_id": F.lit("r1"), "phone": F.lit("01632960001"), "tags": F.array(F.lit("a"), F.lit("b"))})
+    lines = lambda name: [r.value for r in spark.read.text(f"{tmp_path}/{name}").collect()]
+    audit = f"{tmp_path}/audit"
+    header = sinks.export_profiles(scored, f"{tmp_path}/a", filters.ProfileFilter(least_score=5), "score", True, audit=audit, most=10)
+    assert "phone" not in header and len(lines("a")) == 10 and all("01632960001" not in x for x in lines("a")) and not snapshots.exists(spark, audit)
+    assert [x.split(",")[0] for x in lines("a")] == [f"s{i}" for i in range(39, 29, -1)] and '"[""a"",""b""]"' in lines("a")[0]
+    assert "phone" in sinks.export_profiles(scored, f"{tmp_path}/b", contacts=True, audit=audit, by="10.0.0.1", most=20_000) and len(lines("b")) == 40 and "01632960001" in lines("b")[0]
+    assert [(r.action, r.run_id, r.by) for r in spark.read.schema(sinks.AUDIT).json(audit).collect()] == [("export_with_contact_data", "r1", "10.0.0.1")]
+    try:
+        sinks.export_profiles(scored, f"{tmp_path}/c", filters.ProfileFilter(least_score=500), contacts=True, audit=audit)
+        raise AssertionError("no error")
+    except ValueError:
+        assert spark.read.json(audit).count() == 1
+
+
 def test_small_relations(spark, tmp_path):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert [one(compare.display_lead(F.lit(a).cast("double"), F.lit(b).cast("double"))) for a, b in ((None, 3), (3, None), (5, 6), (None, None))] == ["rival", "home", "tie", "tie"]
