@@ -416,13 +416,13 @@ def explorer_page(spark, sf_dir):
     return filters.page(some, filters.sort_order("score", True), 2, 20).select("slug", "score", F.col("rank").cast("int").alias("place"))
 
 
-@query(_ALL + "SELECT 'he_e%an' AS term, slug, name FROM p WHERE run_id = 'run-1' AND (name ILIKE '%he_e%an%' OR slug ILIKE '%he_e%an%' OR site ILIKE '%he_e%an%') UNION ALL SELECT 'SRC12', slug, name FROM p WHERE run_id = 'run-1' AND (name ILIKE '%src12%' OR slug ILIKE '%src12%' OR site ILIKE '%src12%')")
+@query(_ALL + "SELECT 'the%_n' AS term, slug, name FROM p WHERE run_id = 'run-1' AND (name ILIKE '%the%_n%' OR slug ILIKE '%the%_n%' OR site ILIKE '%the%_n%') UNION ALL SELECT 'SRC13', slug, name FROM p WHERE run_id = 'run-1' AND (name ILIKE '%src13%' OR slug ILIKE '%src13%' OR site ILIKE '%src13%')")
 def indexed_search(spark, sf_dir):
     """Two terms through an index of three-letter parts over a bucketed table of both runs."""
     folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
     buckets.write(profiles(spark, sf_dir).select("run_id", "slug", "name", "site"), f"{folder}/table")
     search.build(buckets.read(spark, f"{folder}/table"), f"{folder}/index")
-    found = [search.search(spark, f"{folder}/table", f"{folder}/index", "run-1", term).select(F.lit(term).alias("term"), "slug", "name") for term in ("he_e%an", "SRC12")]
+    found = [search.search(spark, f"{folder}/table", f"{folder}/index", "run-1", term).select(F.lit(term).alias("term"), "slug", "name") for term in ("the%_n", "SRC13")]
     return found[0].union(found[1])
 
 
@@ -615,6 +615,28 @@ def corroborate(spark, sf_dir):
     return corroboration.corroborate(turns.select(F.col("conv_id").cast("string").alias("rewrite_id"), F.col("turn").alias("source_ord"), "fact_ord", F.col("turn").cast("string").alias("source_id"), address.alias("url"), F.lit("bio").alias("element"), "fact", F.lit("medium").alias("confidence")))
 
 
+_STOP = ", ".join(f"'{w}'" for w in ("a an the is are was were has have had in of on at to for with and or but he she they their his her").split())
+
+
+@query(
+    f"""WITH RECURSIVE parts AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[.\n]')) AS fact, unnest(range(1, len(regexp_split_to_array(text, '[.\n]')) + 1)) AS pos FROM conversations),
+f AS (SELECT conv_id, turn, fact, list_distinct(list_filter(regexp_extract_all(lower(fact), '[a-z0-9_]+'), lambda w: len(w) > 2 AND w NOT IN ({_STOP}))) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS i FROM parts WHERE trim(fact) <> ''),
+near AS (SELECT a.conv_id, a.i AS i, b.i AS j FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.i < b.i AND a.turn <> b.turn WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) >= 0.4 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+n AS (SELECT conv_id, i, coalesce(list(j) FILTER (j IS NOT NULL), []) AS later FROM f LEFT JOIN near USING (conv_id, i) GROUP BY ALL),
+walk(conv_id, i, taken, mine) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT[] FROM f
+  UNION ALL
+  SELECT w.conv_id, n.i, CASE WHEN list_contains(w.taken, n.i) THEN w.taken ELSE list_concat(w.taken, n.later) END, CASE WHEN NOT list_contains(w.taken, n.i) THEN list_filter(n.later, lambda x: NOT list_contains(w.taken, x)) END
+  FROM walk w JOIN n ON n.conv_id = w.conv_id AND n.i = w.i + 1
+), stars AS (SELECT conv_id, i, unnest(list_prepend(i, mine)) AS j FROM walk WHERE mine IS NOT NULL),
+turns AS (SELECT s.conv_id, s.i, f.turn, min(s.j) AS place FROM stars s JOIN f ON f.conv_id = s.conv_id AND f.i = s.j GROUP BY ALL)
+SELECT t.conv_id::VARCHAR AS rewrite_id, f.fact, string_agg(t.turn::VARCHAR, ',' ORDER BY t.place) AS sources, count(*) > 1 AS corroborated FROM turns t JOIN f USING (conv_id, i) GROUP BY t.conv_id, t.i, f.fact"""
+)
+def corroborated_facts(spark, sf_dir):
+    """corroborate() with its sources as text; the oracle walks through each conversation's facts."""
+    return corroborate(spark, sf_dir).select("rewrite_id", "fact", F.array_join("source_ids", ",").alias("sources"), "corroborated")
+
+
 # ---- text
 
 
