@@ -188,7 +188,8 @@ def family_links(families: DataFrame, sets: DataFrame, radius: int, least: float
         rooted = stored(placed.drop("root", "inner").join(stars, F.col("id") == F.col("node"), "left").select("family", "id", "blocks", F.coalesce("root", "id").alias("root")), "rooted")
         counts = rooted.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("all"))
         # the largest component has blocks of its own, the others come after them
-        counts = counts.select("family", "main", (F.col("k") / F.col("all")).alias("share"))
+        # a table of its own, so that Spark can cut a hot family's side of the join
+        counts = stored(counts.select("family", "main", (F.col("k") / F.col("all")).alias("share")), "family-mains")
         placed = rooted.join(counts, "family")
         inner = F.when(F.col("blocks") > few, F.ceil(F.col("blocks") * F.col("share"))).otherwise(0).cast("int")
         outer = F.when(F.col("blocks") > few, F.ceil(F.col("blocks") * (1 - F.col("share")))).otherwise(F.col("blocks")).cast("int")
