@@ -101,32 +101,40 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_byt
     ordered.select("doc_id", "text").mapInArrow(run, FORMAT).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(part, block, at, doc_id, ids): ids as little-endian unsigned 32-bit; at: the document's place in its block."""
+def _with_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks, each with its part's ids by rank."""
     files = spark.read.schema(FORMAT).parquet(path)
     ranks = files.where("block = -1").select(F.col("part").alias("of"), F.col("counts")[0].alias("r_n"), F.col("control").alias("r_control"), F.col("data").alias("r_data"))
-    blocks = files.where("block >= 0").join(ranks, F.col("part") == F.col("of")).drop("of")
-    schema = "part long, block int, at int, doc_id long, ids binary"
+    return files.where("block >= 0").join(ranks, F.col("part") == F.col("of")).drop("of")
+
+
+def _decoded(batches):
+    """(part, block, doc_ids, ends, ids) of each block: ids as little-endian unsigned 32-bit bytes, of which each document's end at 4 * ends."""
+    known = (None, None)
+    for batch in batches:
+        for i in range(batch.num_rows):  # a row is a block: a few hundred thousand ids
+            row = {k: batch.column(k)[i] for k in batch.schema.names}
+            part, counts = row["part"].as_py(), row["counts"].values.to_numpy().astype(np.int64)
+            if known[0] != part:
+                known = part, unpack_codes(row["r_control"].as_py(), row["r_data"].as_py(), row["r_n"].as_py()).astype("<u4")
+            ids = known[1][unpack_codes(row["control"].as_py(), row["data"].as_py(), int(counts.sum()))]
+            yield part, row["block"].as_py(), row["docs"].values, np.cumsum(counts), ids.tobytes()
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(part, block, at, doc_id, ids): ids as little-endian unsigned 32-bit; at: the document's place in its block."""
 
     def run(batches):
-        known = (None, None)
-        for batch in batches:
-            for i in range(batch.num_rows):  # a row is a block: a few hundred thousand ids
-                row = {k: batch.column(k)[i] for k in batch.schema.names}
-                part, counts = row["part"].as_py(), np.array(row["counts"].as_py(), np.int64)
-                if known[0] != part:
-                    known = part, unpack_codes(row["r_control"].as_py(), row["r_data"].as_py(), row["r_n"].as_py())
-                ids = known[1][unpack_codes(row["control"].as_py(), row["data"].as_py(), int(counts.sum()))].astype("<u4").tobytes()
-                ends = (np.cumsum(counts) * 4).tolist()
-                found = [ids[a:b] for a, b in zip([0, *ends], ends)]
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([row["block"].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(row["docs"].as_py(), pa.int64()), pa.array(found, pa.binary())], ["part", "block", "at", "doc_id", "ids"])
+        for part, block, docs, ends, ids in _decoded(batches):
+            found = [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([block] * n, pa.int32()), pa.array(range(n), pa.int32()), docs, pa.array(found, pa.binary())], ["part", "block", "at", "doc_id", "ids"])
 
-    return blocks.mapInArrow(run, schema)
+    return _with_ranks(spark, path).mapInArrow(run, "part long, block int, at int, doc_id long, ids binary")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, from the ids that are read back."""
     files = spark.read.schema(FORMAT).parquet(path).where("block >= 0")
     sizes = files.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     # part: task << 32 plus its number in the task; a task has a few, so sums go over a task's parts and then over the tasks
@@ -136,9 +144,15 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     before = parts.withColumn("inside", inside).join(tasks, "task").select("part", (F.col("inside") + F.col("b")).alias("b"))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("f", first).join(before, "part").select(F.col("part").alias("p"), F.col("block").alias("k"), (F.col("f") + F.col("b")).alias("base"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    docs = read(spark, path).select("part", "block", "at", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    docs = docs.withColumn("within", F.coalesce(within, F.lit(0)))
+
+    def run(batches):
+        for part, block, docs, ends, ids in _decoded(batches):
+            first, whole = np.r_[0, ends[:-1]], memoryview(ids)
+            crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist())]
+            n = len(crc)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([block] * n, pa.int32()), docs, pa.array(first), pa.array(ends - first), pa.array(crc, pa.int64())], ["part", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
+
+    docs = _with_ranks(spark, path).mapInArrow(run, "part long, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return docs.join(starts, (F.col("part") == F.col("p")) & (F.col("block") == F.col("k"))).select("doc_id", (F.col("base") + F.col("within")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
