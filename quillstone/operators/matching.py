@@ -53,13 +53,16 @@ def _fewer(words: Column) -> Column:
 
 def _parts(middle: Column, probe: bool) -> Column:
     """Keys of a long middle: its three parts with its length and their number; or, as a probe, every text that may be such a part of a middle within two edits."""
-    def of(n, shifts):
-        cut = lambda k: F.floor(n * k / 3).cast("int")
-        return [F.concat_ws("/", n, F.lit(k), F.substring(middle, cut(k) + 1 + s, cut(k + 1) - cut(k))) for k in range(3) for s in shifts]
+    n, numbers = F.length(middle), lambda low, high: F.sequence(F.lit(low), F.lit(high))
+    each = lambda low, high, f: F.flatten(F.transform(numbers(low, high), f))
 
-    n = F.length(middle)
-    keys = [x for d in range(-2, 3) for x in of(n + d, range(-2, 3))] if probe else of(n, [0])
-    return F.when(n >= LONG - 3, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<string>"))
+    def part(size, k, shift):
+        start = F.floor(size * k / 3).cast("int")
+        return F.concat_ws("/", size, k, F.substring(middle, start + 1 + shift, F.floor(size * (k + 1) / 3).cast("int") - start))
+
+    near = 2 if probe else 0
+    keys = each(-near, near, lambda d: each(0, 2, lambda k: F.transform(numbers(-near, near), lambda shift: part(n + d, k, shift))))
+    return F.when(n >= LONG - 3, F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
 def _keyed(names: DataFrame, name: str, probe: bool) -> DataFrame:
