@@ -399,6 +399,25 @@ def test_vector_search_of_odd_rows(spark):
     assert sorted((g.query_id, g.rank, g.vec_id) for g in got) == want
 
 
+def test_vector_recall_on_other_rows(spark):
+    """A length that no number of parts divides, huge components, queries unlike the other rows."""
+    rng = np.random.default_rng(5)
+    n, far = 6000, rng.normal(size=(6000, 32))
+    far[::20] = rng.normal(size=(300, 32)) - 3
+    for x in (rng.normal(size=(n, 31)), rng.normal(size=(n, 32)) * 1e30, far, np.where(rng.random((n, 1)) < 0.5, np.ones(32), rng.normal(size=(n, 32)))):
+        x = x.astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in vector_search.search(df).collect():
+            got[r.query_id].add(r.vec_id)
+        recall = []
+        for q in range(0, n, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            recall.append(len(got[q] & set(np.lexsort((np.arange(n), -s))[:20].tolist())) / 20)
+        assert np.mean(recall) >= 0.95, (x.shape, np.mean(recall))
+
+
 def test_vector_recall_on_the_test_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/../sf0.01/embeddings.parquet")
     rows = df.toPandas()
