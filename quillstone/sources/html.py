@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import arrays, text
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Elements that stand within a line: the body's text has a line break around every other one, so words of neighbouring blocks do not grow together.
+_INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "small", "span", "strike", "strong", "sub", "sup", "tt", "u", "var", "wbr"}
 _CONSENT = {"ccc", "cookie-consent", "onetrust-consent-sdk"}
 _LINKS = "array<struct<href:string,text:string,tel:string>>"
 _SHORT = re.compile(r"\bage[sd]?\b", re.I)
@@ -33,17 +35,23 @@ OUTLINE = (
 
 
 class Outline(HTMLParser):
-    """A heading's section runs to the next heading of its level or above, or to the end of the element that holds the heading."""
+    """A heading's section runs to the next heading of its level or above, or to the end of the element that holds the heading.
 
-    def __init__(self):
+    Character references are decoded as browsers do, or only those of the given names, written in full; all others then stay as written.
+    """
+
+    def __init__(self, references: tuple[str, ...] | None = None):
+        self.others = None if references is None else re.compile(rf"&(?!(?:{'|'.join(map(re.escape, references))});)")
         super().__init__(convert_charrefs=True)
-        self.stack, self.text, self.open, self.skip = [], [], [], 0
+        self.stack, self.text, self.body, self.open, self.skip = [], [], [], [], 0
         self.out = {"title": None, "h1s": [], "metas": [], "links": [], "frames": [], "photo": None, "images": [], "marks": [], "telephones": [], "booking": False, "sites": [], "shorts": [], "caveats": [""] * len(_CAVEATS), "data": [], "parts": [], "sections": []}
         self.shorts: list[tuple[int, str]] = []
         self.sections: list[tuple[int, int, dict]] = []  # level, depth, section
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        if tag not in _INLINE:
+            self.body.append("\n")
         marks = set(a.get("class", "").split()) | {a.get("id", "")}
         self.out["data"] += [{"name": k, "value": v} for k, v in a.items() if k.startswith("data-")]
         if tag in ("p", "div", "li"):  # what holds a block is no short text
@@ -74,6 +82,8 @@ class Outline(HTMLParser):
         self.open.append({"tag": tag, "at": len(self.text), "a": a, "marks": marks, "level": level, "depth": depth, "plain": tag in ("p", "li", "span", "div"), "from": self.getpos()})
 
     def handle_endtag(self, tag):
+        if tag not in _INLINE:
+            self.body.append("\n")
         if tag in ("script", "style", "noscript") and self.skip:
             self.skip -= 1
         if tag in _VOID or all(o["tag"] != tag for o in self.open):
@@ -88,6 +98,7 @@ class Outline(HTMLParser):
     def handle_data(self, data):
         if not self.skip:
             self.text.append(data)
+            self.body.append(data)
 
     def _closed(self, o):
         words = "".join(self.text[o["at"] :]).strip()
@@ -127,20 +138,20 @@ class Outline(HTMLParser):
             self.sections.append((o["level"], o["depth"], section))
 
     def result(self, html: str) -> dict:
-        self.feed(html)
+        self.feed(html if self.others is None else self.others.sub("&amp;", html))
         self.close()
         while self.open:
             self._closed((self.open.pop(), self.stack.pop())[0])
-        return self.out | {"shorts": [t for _, t in sorted(self.shorts, key=lambda x: x[0])], "body": "".join(self.text)}
+        return self.out | {"shorts": [t for _, t in sorted(self.shorts, key=lambda x: x[0])], "body": "".join(self.body)}
 
 
-def _outlines(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([Outline().result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "images", "marks", "telephones", "booking", "sites", "shorts", "caveats", "data", "parts", "sections", "body"])
+def outline(html: Column, references: tuple[str, ...] | None = None) -> Column:
+    """The page's outline as a struct (OUTLINE)."""
 
+    def outlines(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([Outline(references).result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "images", "marks", "telephones", "booking", "sites", "shorts", "caveats", "data", "parts", "sections", "body"])
 
-def outline(html: Column) -> Column:
-    """The page's outline as a struct (OUTLINE)."""
-    return F.pandas_udf(_outlines, OUTLINE)(html)
+    return F.pandas_udf(outlines, OUTLINE)(html)
 
 
 def _of(category: str) -> Column:
@@ -166,12 +177,13 @@ def _text(category: str) -> Column:
     return text.empty_to_null(F.array_join(_first(_of(category)).blocks, "\n"))
 
 
-def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...] = (), network: str = "") -> DataFrame:
+def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...] = (), network: str = "", references: tuple[str, ...] | None = None) -> DataFrame:
     """`pages` without its html, with the profile fields that a page shows. A null page has nulls and empty arrays.
 
     Links to `own_domains` are no external website. `network` is the name of the network whose sites the pages are about: a site is in it unless it says otherwise.
+    `references`: the names of the character references to decode, if not all.
     """
-    p = pages.withColumn("o", outline(F.col(html_col)))
+    p = pages.withColumn("o", outline(F.col(html_col), references))
     classified = F.transform("o.sections", lambda s: F.struct(text.heading_category(s.heading, s.tag).alias("category"), s.heading.alias("heading"), s.blocks.alias("blocks"), s["items"].alias("items"), s.subheads.alias("subheads"), s.links.alias("links")))
     p = p.withColumn("classified", classified)
     h1 = F.coalesce(

@@ -50,6 +50,15 @@ def test_page_flags(spark):
     assert [r[0] for r in shown.select(html.anomalous(F.col("u"), F.col("a"), F.col("t"), F.col("p"))).collect()] == [True, True, True, True, False]
 
 
+def test_cut_references_and_neighbouring_blocks(spark):
+    """A heading cut within a reference keeps what is left of it where only whole ones are asked for, and asterisks at a block's end break no word of the next."""
+    rows = [(1, "<title>Ann**</title><h1>Ann &amp;&quot;&amp</h1><p>Hips</p><a href='/x?a=1&copy=2'>x</a>"), (2, "<h1>Bea**</h1><p>Knees</p>"), (3, "<p>Kn**<b>e</b>es</p>")]
+    pages = spark.createDataFrame(rows, "i int, html string")
+    a, b, c = html.parse(pages).orderBy("i").collect()
+    assert (a["name"], a.cms_corruption, b.cms_corruption, c.cms_corruption) == ('Ann &"&', False, False, True)
+    assert html.parse(pages, references=("amp",)).orderBy("i").first()["name"] == "Ann &&quot;&amp"
+
+
 def test_sections_by_key(spark):
     page = "<h2>Main specialties</h2><ul><li>Knee; Hip</li><li>Hip</li></ul><h3>Main Specialties</h3><p>Spine</p>"
     out = html.sections_by_key(spark.createDataFrame([(1, page)], "id int, html string"))
