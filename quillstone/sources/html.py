@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from quillstone.functions import arrays, text
 
@@ -145,13 +148,30 @@ class Outline(HTMLParser):
         return self.out | {"shorts": [t for _, t in sorted(self.shorts, key=lambda x: x[0])], "body": "".join(self.body)}
 
 
-def outline(html: Column, references: tuple[str, ...] | None = None) -> Column:
-    """The page's outline as a struct (OUTLINE)."""
+def slices(bytes_each: list[int], most_rows: int, most_bytes: int) -> list[tuple[int, int]]:
+    """Runs of rows, from and to, of at most so many rows and bytes; a larger row is one alone."""
+    cut, held = [0], 0
+    for i, n in enumerate(bytes_each):
+        if i > cut[-1] and (i - cut[-1] >= most_rows or held + n > most_bytes):
+            cut.append(i)
+            held = 0
+        held += n
+    return list(zip(cut, [*cut[1:], len(bytes_each)])) if bytes_each else []
 
-    def outlines(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([Outline(references).result(x or "") for x in html], columns=["title", "h1s", "metas", "links", "frames", "photo", "images", "marks", "telephones", "booking", "sites", "shorts", "caveats", "data", "parts", "sections", "body"])
 
-    return F.pandas_udf(outlines, OUTLINE)(html)
+def outlined(pages: DataFrame, html_col: str = "html", references: tuple[str, ...] | None = None, most_rows: int = 64, most_bytes: int = 1 << 20) -> DataFrame:
+    """`pages` with each page's outline as a struct `o` (OUTLINE). Outlines, many times their pages' size as Python objects, are made and passed on for at most so many pages and bytes at a time."""
+    outline = StructType.fromDDL(OUTLINE)
+    schema, kind = StructType([*pages.schema.fields]).add("o", outline), to_arrow_type(outline)
+
+    def run(batches):
+        for batch in batches:
+            html = batch.column(html_col)
+            for i, j in slices(pc.fill_null(pc.binary_length(html), 0).to_pylist(), most_rows, most_bytes):
+                made = pa.array([Outline(references).result(x.as_py() or "") for x in html.slice(i, j - i)], kind)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, made], [*batch.schema.names, "o"])
+
+    return pages.mapInArrow(run, schema)
 
 
 def _of(category: str) -> Column:
@@ -183,7 +203,7 @@ def parse(pages: DataFrame, html_col: str = "html", own_domains: tuple[str, ...]
     Links to `own_domains` are no external website. `network` is the name of the network whose sites the pages are about: a site is in it unless it says otherwise.
     `references`: the names of the character references to decode, if not all.
     """
-    p = pages.withColumn("o", outline(F.col(html_col), references))
+    p = outlined(pages, html_col, references)
     classified = F.transform("o.sections", lambda s: F.struct(text.heading_category(s.heading, s.tag).alias("category"), s.heading.alias("heading"), s.blocks.alias("blocks"), s["items"].alias("items"), s.subheads.alias("subheads"), s.links.alias("links")))
     p = p.withColumn("classified", classified)
     h1 = F.coalesce(
@@ -301,11 +321,15 @@ def anomalous(unmapped: Column, about: Column, treatments: Column, phones: Colum
 
 def sections_by_key(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(…, sections map<key, struct<heading, values>>) as a rival's pages are read: each section under its normalised heading, equal headings merged."""
-    p = pages.withColumn("o", outline(F.col(html_col)))
+    return _with_sections(outlined(pages, html_col)).select(*[c for c in pages.columns if c != html_col], "sections")
+
+
+def _with_sections(p: DataFrame) -> DataFrame:
+    """Outlined pages with their `sections`."""
     rows = F.transform("o.sections", lambda s: F.struct(text.section_key(s.heading).alias("key"), s.heading.alias("heading"), F.when(F.size(s["items"]) > 0, s["items"]).otherwise(s.blocks).alias("values")))
     keys = F.array_distinct(F.transform(rows, lambda r: r.key))
     merged = F.transform(keys, lambda k: F.struct(k, F.struct(_first(F.filter(rows, lambda r: r.key == k)).heading.alias("heading"), F.array_distinct(F.filter(F.transform(F.flatten(F.transform(F.filter(rows, lambda r: r.key == k), lambda r: r["values"])), text.normalise), lambda v: v.isNotNull())).alias("values"))))
-    return p.select(*[c for c in pages.columns if c != html_col], F.map_from_entries(merged).alias("sections"))
+    return p.withColumn("sections", F.map_from_entries(merged))
 
 
 def section_values(sections: Column, *headings: str) -> Column:
@@ -338,7 +362,7 @@ RIVAL_HEADINGS = {
 def parse_rival(pages: DataFrame, html_col: str = "html", badge: str = "accredited") -> DataFrame:
     """`pages` without its html, with the fields that a rival's profile page shows; `badge`: a word of its badges' image texts."""
     kept = [c for c in pages.columns if c != html_col]
-    p = sections_by_key(pages.withColumn("__html", F.col(html_col)), html_col).withColumn("o", outline(F.col("__html")))
+    p = _with_sections(outlined(pages, html_col))
     headings = lambda field: RIVAL_HEADINGS[field]
     given = _first(F.filter("o.metas", lambda m: F.lower(m["name"]) == "description")).content
     from_meta = lambda pattern: text.delimited(text.empty_to_null(F.regexp_extract(given, pattern, 1)))

@@ -59,6 +59,17 @@ def test_cut_references_and_neighbouring_blocks(spark):
     assert html.parse(pages, references=("amp",)).orderBy("i").first()["name"] == "Ann &&quot;&amp"
 
 
+def test_outlines_leave_the_worker_in_small_slices(spark):
+    """However many pages a batch holds, few outlines are Python objects at a time, and a rival's page is parsed once."""
+    assert html.slices([5, 5, 5, 99, 1, 1, 1, 1], 3, 10) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)] and html.slices([], 3, 10) == []
+    pages = spark.range(1000).selectExpr("id", "if(id % 7 = 0, null, concat('<h1>P', id, '</h1>')) AS html").coalesce(1)
+    got = html.outlined(pages, most_rows=16).selectExpr("id", "get(o.h1s, 0).text AS h").collect()
+    assert {r.id: r.h for r in got} == {i: None if i % 7 == 0 else f"P{i}" for i in range(1000)}
+    for out in (html.parse(pages), html.parse_rival(pages)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 def test_sections_by_key(spark):
     page = "<h2>Main specialties</h2><ul><li>Knee; Hip</li><li>Hip</li></ul><h3>Main Specialties</h3><p>Spine</p>"
     out = html.sections_by_key(spark.createDataFrame([(1, page)], "id int, html string"))
