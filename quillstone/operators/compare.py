@@ -18,10 +18,19 @@ def ranked_value(column: Column, ranks: dict[str, int], unknown: int | None = No
     return F.coalesce(*[F.when(column == k, v) for k, v in ranks.items()], F.lit(unknown))
 
 
+def linked_to(links: DataFrame, rivals: DataFrame, few: int = 100_000, parts: int = 64) -> DataFrame:
+    """The links to `rivals`. Up to `few` rivals go to every task; more meet the links by rival and a part of the slugs, so no rival's links gather in one task."""
+    names = rivals.select("rival_id").where("rival_id is not null").distinct()
+    if names.limit(few + 1).count() <= few:
+        return links.join(F.broadcast(names), "rival_id", "left_semi")
+    spread = names.select(F.col("rival_id").alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+    return links.join(spread, (F.col("rival_id") == F.col("__r")) & (F.pmod(F.xxhash64("slug"), F.lit(parts)) == F.col("__part")), "left_semi")
+
+
 def preferred_links(links: DataFrame, rivals: DataFrame | None = None) -> DataFrame:
-    """Each slug's link of the greatest confidence, then the latest, then the least rival_id; with `rivals` only links to theirs. By a combinable aggregate: no slug's links gather."""
+    """Each slug's link of the greatest confidence, then the latest, then the least rival_id; with `rivals` only links to theirs. By a combinable aggregate: no slug's links gather, and no rival's."""
     if rivals is not None:
-        links = links.join(rivals.select("rival_id"), "rival_id", "left_semi")
+        links = linked_to(links, rivals)
     best = F.struct(-ranked_value(F.col("match_confidence"), CONFIDENCE, 0), -F.unix_micros(F.col("matched_at").cast("timestamp")), F.col("rival_id"))
     return links.groupBy("slug").agg(F.min_by(F.struct("rival_id", "match_confidence", "matched_at"), best).alias("l")).select("slug", "l.*")
 

@@ -59,6 +59,17 @@ def test_cut_references_and_neighbouring_blocks(spark):
     assert html.parse(pages, references=("amp",)).orderBy("i").first()["name"] == "Ann &&quot;&amp"
 
 
+def test_no_rivals_links_gather(spark):
+    """Links are not dealt by rival alone, whether rivals are few or many."""
+    links = spark.range(3000).selectExpr("id AS slug", "int(id % 7) AS rival_id", "'high' AS match_confidence", "timestamp'2024-01-01' AS matched_at")
+    rivals = spark.createDataFrame([(2,), (3,), (3,), (None,)], "rival_id int")
+    want = {i for i in range(3000) if i % 7 in (2, 3)}
+    for out in (compare.linked_to(links, rivals), compare.linked_to(links, rivals, few=1, parts=8)):
+        assert sorted(r.slug for r in out.collect()) == sorted(want)
+    plan = compare.preferred_links(links, rivals)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_outlines_leave_the_worker_in_small_slices(spark):
     """However many pages a batch holds, few outlines are Python objects at a time, and a rival's page is parsed once."""
     assert html.slices([5, 5, 5, 99, 1, 1, 1, 1], 3, 10) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)] and html.slices([], 3, 10) == []
