@@ -169,8 +169,8 @@ def likely(pairs: DataFrame, known: DataFrame, least: float, slack: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, width: int, least: float, bands: int, rows: int, near, mark: str, slack: float, most: int, block: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The texts' sets (doc_id, raw, id, n), and edges (a, b) between ids whose components are those of all links. `near` finds candidates in a shard by `mark`; `radius`: that of the trees of a family's tile, 64 for every pair."""
+def links(docs: DataFrame, width: int, least: float, bands: int, rows: int, near, mark: str, slack: float, most: int, block: int, radius: int, also=None) -> tuple[DataFrame, DataFrame]:
+    """The texts' sets (doc_id, raw, id, n), and edges (a, b) between ids whose components are those of all links. `near` finds candidates in a shard by `mark`; `radius`: that of the trees of a family's tile, 64 for every pair. `also` finds further pairs (a, b) among the distinct sets (id, n, fp, sketch)."""
     both = stored(sketches(docs, width, bands * rows), "sketches")
     prints = both.drop("fp", "sketch")
     known = stored(both.where("sketch is not null").select("id", "n", "fp", "sketch").dropDuplicates(["id"]), "distinct-sketches")
@@ -180,7 +180,10 @@ def links(docs: DataFrame, width: int, least: float, bands: int, rows: int, near
     shared = stored(keys.join(held, "key"), "shards")
     families = stored(shared.where(F.col("k") > most).select("family", "id").distinct(), "family-members")
     found = candidates(shared.where(F.col("k") <= most).select("key", "id", "n", "mark"), least, near)
-    pairs = stored(likely(stored(found, "candidates"), known, least, slack), "likely")
+    pairs = likely(stored(found, "candidates"), known, least, slack)
+    if also is not None:
+        pairs = pairs.select("a", "b").union(also(known)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = stored(pairs, "likely")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(families.select("id")).distinct(), "named")
     sets = stored(looked_up(docs, ids, prints, width), "sets")
     edges = confirmed(pairs, sets, least)

@@ -668,6 +668,22 @@ def test_near_copies(spark, odd, how):
     assert got == want and len(set(got.values())) < len(got) - 150
 
 
+def test_near_copies_by_pieces_of_fingerprints(spark):
+    """The stage's own SimHash step: its pairs span all fingerprints within three bits, also many sets of one fingerprint."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 30)
+    fps = [int(b) ^ sum(1 << int(k) for k in rng.choice(62, j % 4, replace=False)) for b in base for j in range(6)] + [int(base[0])] * 40
+    known = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, fp long")
+    label = list(range(len(fps)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for r in near_copies.by_pieces(3, tree_rows=8)(known).collect():
+        a, b = sorted((find(r.a), find(r.b)))
+        label[b] = a
+    for i, x in enumerate(fps):
+        for j in range(i):
+            assert (x ^ fps[j]).bit_count() > 3 or find(i) == find(j)
+
+
 def test_near_copies_of_one_template(spark):
     """Pairs just above 0.8 among texts of one template at 0.75, whose distances by sketch overlap; in one tile, and in many."""
     template, rows = " ".join(f"t{i}" for i in range(104)), []
